@@ -28,17 +28,20 @@ SLACK = 1.5
 #: Letters beyond which a longer text does not narrow the calibrated excess.
 ENOUGH = 400
 _BITS = 16  # of an n-gram's code for each character; 0 is a word boundary
-_UNKNOWN = (1 << _BITS) - 1
 
 
 @functools.cache
 def _folded() -> np.ndarray:
-    """For each code point its lower-case letter, 0 if it is no letter."""
-    out = np.zeros(0x110000, np.int32)
+    """For each code point the 16-bit code of its lower-case letter, 0 if it is no letter.
+
+    Letters beyond the basic plane share the private-use codes.
+    """
+    out = np.zeros(0x110000, np.uint16)
     for c in range(0x110000):
         if not 0xD800 <= c < 0xE000 and (s := chr(c)).isalpha():
             low = s.lower()
-            out[c] = ord(low) if len(low) == 1 else c
+            low = ord(low) if len(low) == 1 else c
+            out[c] = low if low < 0x10000 else 0xE000 + low % 0x1900
     return out
 
 
@@ -69,7 +72,7 @@ def letters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     last[some] = body[kept[1:][some] - 1] != 0
     width = sizes + (ORDER - 1) + last
     offsets = np.concatenate([[0], np.cumsum(width)])
-    out = np.zeros(offsets[-1], np.int32)
+    out = np.zeros(offsets[-1], np.uint16)
     at = np.repeat(offsets[:-1] + (ORDER - 1) - kept[:-1], sizes) + np.arange(len(body))
     out[at] = body
     return out, offsets
@@ -89,6 +92,32 @@ def _low(code: np.ndarray, n: int) -> np.ndarray:
     return code & np.uint64((1 << (_BITS * n)) - 1)
 
 
+class HashArray:
+    """Hashes of n-gram codes in order, with the place where each run of leading bits begins."""
+
+    def __init__(self, code: np.ndarray):
+        hashed = tk.mix(code)
+        self.order = np.argsort(hashed)
+        self.keys = np.append(hashed[self.order], np.uint64(2**64 - 1))
+        bits = max(1, int(len(code) * 2).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.begin = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each code, and whether it is there."""
+        hashed = tk.mix(code)
+        at = self.begin[hashed >> self.shift]
+        key = self.keys[at]
+        behind = np.flatnonzero(key < hashed)
+        while len(behind):
+            at[behind] += 1
+            key[behind] = self.keys[at[behind]]
+            behind = behind[key[behind] < hashed[behind]]
+        found = key == hashed
+        np.minimum(at, len(self.keys) - 2, out=at)
+        return at, found
+
+
 class KneserNey:
     """One language: log-probabilities by recursion from the n-gram counts of the highest order."""
 
@@ -99,7 +128,7 @@ class KneserNey:
             order = np.argsort(gram)
             gram, count = gram[order], count[order].astype(float)
             ones, twos = (count == 1).sum(), (count == 2).sum()
-            discount = ones / (ones + 2 * twos) if twos else 0.5
+            discount = np.clip(ones / max(ones + 2 * twos, 1), 0.1, 0.9)
             context, at = np.unique(gram >> np.uint64(_BITS), return_inverse=True)
             total, kinds = np.bincount(at, count), np.bincount(at)
             self.orders.append((n, gram, np.maximum(count - discount, 0) / total[at], context, np.log(discount * kinds / total)))
@@ -125,16 +154,16 @@ class Model:
     """All languages: for each order hashes in order, and a row of values for each."""
 
     names: list[str]
-    alphabet: np.ndarray  #: sorted letters; the code is the place + 1
-    grams: list[tuple[np.ndarray, np.ndarray]]  #: by order 1..ORDER
-    contexts: list[tuple[np.ndarray, np.ndarray]]
+    grams: list[tuple[HashArray, np.ndarray]]  #: by order 1..ORDER
+    contexts: list[tuple[HashArray, np.ndarray]]
     uniform: float
     level: np.ndarray | None = None  #: by language: usual cross-entropy of its own texts
-    excess: np.ndarray | None = None  #: by language: most that a text lies above it, times the root of its letters
+    excess: float = np.inf  #: most that a text lies above its language's level, times the root of its letters
 
     @staticmethod
-    def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]], alphabet: np.ndarray) -> Model:
+    def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
         names = sorted(counts)
+        alphabet = set().union(*(np.unique(_low(g, 1)).tolist() for g, _ in counts.values()))
         fitted = [KneserNey(*counts[s], len(alphabet)) for s in names]
         grams, contexts = [], []
         for n in range(1, ORDER + 1):
@@ -143,37 +172,30 @@ class Model:
                 (contexts, [f.orders[n - 1][3] for f in fitted], lambda f, x, n=n: f.backoff(x, n)),
             ):
                 every = np.unique(np.concatenate(parts))
-                hashed = tk.mix(every)
-                order = np.argsort(hashed)
-                out.append((hashed[order], np.stack([value(f, every) for f in fitted], 1)[order].astype(np.float32)))
-        return Model(names, alphabet, grams, contexts, fitted[0].uniform if fitted else 0.0)
-
-    def symbols(self, folded: np.ndarray) -> np.ndarray:
-        if not len(self.alphabet):
-            return np.where(folded != 0, _UNKNOWN, 0)
-        at = np.minimum(np.searchsorted(self.alphabet, folded), len(self.alphabet) - 1)
-        return np.where(folded == 0, 0, np.where(self.alphabet[at] == folded, at + 1, _UNKNOWN))
+                array = HashArray(every)
+                out.append((array, np.stack([value(f, every) for f in fitted], 1)[array.order].astype(np.float32)))
+        return Model(names, grams, contexts, fitted[0].uniform if fitted else 0.0)
 
     def logp(self, gram: np.ndarray, n: int = ORDER) -> np.ndarray:
         """A row of log-probabilities by language for each n-gram."""
         if n == 0:
             return np.full((len(gram), len(self.names)), self.uniform, np.float32)
-        at, known = _find(self.grams[n - 1][0], gram)
+        at, known = self.grams[n - 1][0].find(gram)
         out = self.grams[n - 1][1][at]
         missing = np.flatnonzero(~known)
         if len(missing):
             rest = gram[missing]
-            at, known = _find(self.contexts[n - 1][0], rest >> np.uint64(_BITS))
+            at, known = self.contexts[n - 1][0].find(rest >> np.uint64(_BITS))
             out[missing] = self.logp(_low(rest, n - 1), n - 1) + np.where(known[:, None], self.contexts[n - 1][1][at], 0)
         return out
 
     def entropies(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Nats per character of each row in each language, and its letters."""
         folded, off = letters(column)
-        gram = codes(self.symbols(folded))
+        gram = codes(folded)
         n_letters = np.diff(np.concatenate([[0], np.cumsum(folded != 0)])[off])
         sums = np.zeros((len(off) - 1, len(self.names)))
-        # distinct n-grams of the batch are looked up once
+        # the padding is context only
         position = np.zeros(len(folded), bool)
         width = np.diff(off) - (ORDER - 1)
         begin = off[:-1]
@@ -191,13 +213,14 @@ class Model:
         return -sums / np.maximum(width, 1)[:, None], n_letters
 
     def calibrate(self, entropy: np.ndarray, n_letters: np.ndarray, label: np.ndarray) -> None:
-        self.level, self.excess = np.zeros(len(self.names)), np.full(len(self.names), np.inf)
+        self.level, over = np.zeros(len(self.names)), []
         for j in range(len(self.names)):
             own = (label == j) & (n_letters > 0)
             if own.any():
                 weight = np.minimum(n_letters[own], ENOUGH)
                 self.level[j] = np.average(entropy[own, j], weights=weight)
-                self.excess[j] = max(((entropy[own, j] - self.level[j]) * np.sqrt(weight)).max(), 0.0)
+                over.append(((entropy[own, j] - self.level[j]) * np.sqrt(weight)).max())
+        self.excess = max(over, default=np.inf)
 
     def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language (place in names; -1 without letters), score, rejected."""
@@ -210,13 +233,7 @@ class Model:
         score = 1 / np.exp(-np.minimum(lead, 700)).sum(1)
         over = (entropy.min(1) - self.level[best]) * np.sqrt(np.minimum(n_letters, ENOUGH))
         none = n_letters == 0
-        return np.where(none, -1, best), np.where(none, 0.0, score), none | (over > SLACK * self.excess[best])
-
-
-def _find(keys: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    hashed = tk.mix(code)
-    at = np.minimum(np.searchsorted(keys, hashed), len(keys) - 1)
-    return at, keys[at] == hashed
+        return np.where(none, -1, best), np.where(none, 0.0, score), none | (over > SLACK * self.excess)
 
 
 def remainder(by: int) -> Column:
@@ -233,7 +250,7 @@ def fit(docs: DataFrame, learn_from: Column, sample_docs: int = SAMPLE_DOCS) ->
     usable = docs.select("doc_id", "text", "lang").where(learn_from & F.col("text").isNotNull() & F.col("lang").isNotNull())
     sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not sizes:
-        return Model([], np.zeros(0, np.int64), [], [], 0.0)
+        return Model([], [], [], 0.0)
     shares = docs.sparkSession.createDataFrame([(s, min(1.0, sample_docs / n)) for s, n in sizes.items()], "lang string, share double")
     key = F.xxhash64("doc_id", text_key())
     sample = usable.join(F.broadcast(shares), "lang").where(F.pmod(key, F.lit(1 << 20)) < F.col("share") * (1 << 20))
@@ -245,30 +262,16 @@ def fit(docs: DataFrame, learn_from: Column, sample_docs: int = SAMPLE_DOCS) ->
                 labels = np.array(batch.column("lang").to_pylist(), object)
                 for s in np.unique(labels):
                     folded, off = letters(batch.column("text").filter(pa.array(labels == s)))
-                    if len(folded) < ORDER:
-                        continue
                     inner = np.ones(len(folded), bool)
                     for k in range(ORDER - 1):
                         inner[off[:-1] + k] = False  # padding predicts nothing
-                    # 21 bits hold a code point: high and low half of the n-gram's characters
-                    wide = [folded[ORDER - 1 - k : len(folded) - k].astype(np.int64) for k in range(ORDER)]
-                    pair = np.stack([(wide[3] << 21) | wide[2], (wide[1] << 21) | wide[0]], 1)[inner[ORDER - 1 :]]
-                    both, n = np.unique(pair, axis=0, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([s] * len(n)), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(n.astype(np.int64))], names=["lang", "high", "low", "n"])
-
-    counted = sample.where(~F.col("calibrates")).mapInArrow(count, "lang string, high long, low long, n long")
-    grams = counted.groupBy("lang", "high", "low").agg(F.sum("n").alias("n")).toPandas()
-    half = (1 << 21) - 1
-    high, low = grams["high"].to_numpy(), grams["low"].to_numpy()
-    four = np.stack([high >> 21, high & half, low >> 21, low & half], 1)
-    found, uses = np.unique(four[four != 0], return_counts=True)
-    alphabet = np.sort(found[np.argsort(-uses, kind="stable")[: _UNKNOWN - 1]])
-    shell = Model([], alphabet, [], [], 0.0)
-    packed = np.zeros(len(four), np.uint64)
-    for k in range(ORDER):
-        packed = (packed << np.uint64(_BITS)) | shell.symbols(four[:, k]).astype(np.uint64)
-    label, n = grams["lang"].to_numpy(), grams["n"].to_numpy()
-    model = Model.fit({s: _summed(packed[label == s], n[label == s]) for s in np.unique(label)}, alphabet)
+                    gram, n = np.unique(codes(folded)[inner[ORDER - 1 :]], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([s] * len(n)), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+
+    counted = sample.where(~F.col("calibrates")).mapInArrow(count, "lang string, gram long, n long")
+    grams = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    label, gram, n = grams["lang"].to_numpy(), grams["gram"].to_numpy().view(np.uint64), grams["n"].to_numpy()
+    model = Model.fit({s: (gram[label == s], n[label == s]) for s in np.unique(label)})
     names = {s: j for j, s in enumerate(model.names)}
 
     def measure(batches):
@@ -286,11 +289,6 @@ def fit(docs: DataFrame, learn_from: Column, sample_docs: int = SAMPLE_DOCS) ->
     return model
 
 
-def _summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    every, at = np.unique(code, return_inverse=True)
-    return every, np.bincount(at, n)
-
-
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred, score and rejected; only the text is looked at.
 

@@ -78,8 +78,8 @@ def _level(rows: DataFrame, last_level: bool, seed: int) -> DataFrame:
     """Round within each (source, node)."""
 
     def run(group: pa.Table) -> pa.Table:
-        # equal keys are repeated rows, which are alike
-        group = group.sort_by([("key", "ascending"), ("size", "ascending")])
+        # long documents first, so that the one left open is short; equal keys are repeated rows, which are alike
+        group = group.sort_by([("size", "descending"), ("key", "ascending")])
         p = pivotal(*(group.column(c).to_numpy() for c in ("p", "size", "key")), seed, last_level)
         return group.set_column(group.schema.get_field_index("p"), "p", pa.array(p))
 
