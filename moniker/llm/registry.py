@@ -1,10 +1,11 @@
 """Queries of the corpus operators and the SQL that they are held against."""
 
-from . import decontamination, language, mixing, url_filter
+from . import decontamination, language, mixing, simhash, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op6_language_id": language.op6_language_id,
+    "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_source_mixing": mixing.op9_source_mixing,
     "op10_benchmark_decontamination": decontamination.op10_benchmark_decontamination,
 }
