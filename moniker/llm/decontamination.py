@@ -12,7 +12,6 @@ query set: its blocks of at most ``BLOCK_BYTES`` are broadcast, and a shard is s
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

@@ -1,9 +1,11 @@
 """Queries of the corpus operators and the SQL that they are held against."""
 
-from . import decontamination, language, mixing, simhash, url_filter
+from . import decontamination, language, line_dedup, mixing, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op6_language_id": language.op6_language_id,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_source_mixing": mixing.op9_source_mixing,
@@ -13,5 +15,7 @@ QUERIES = {
 #: Only where SQL can express the operator; the others are tested against brute force in tests/llm.
 ORACLE_SQL = {
     "op1_url_filter": url_filter.OP1_SQL,
+    "op2_line_dedup": line_dedup.OP2_SQL,
+    "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op10_benchmark_decontamination": decontamination.OP10_SQL,
 }
