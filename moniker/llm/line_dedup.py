@@ -37,13 +37,10 @@ def chunked(docs: DataFrame, keep: list[str]) -> DataFrame:
     marked = hashed.withColumn("__r", rolled).withColumn(
         "__cut", F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | ((i > 1) & says(i) & ~says(F.greatest(i - 1, F.lit(1)))))
     )  # the lines, from 1, that end a chunk
-    cuts = marked.select(*keep, "__lines", F.posexplode("__cut").alias("__k", "__end"), "__cut")
-    begin = F.when(F.col("__k") == 0, 0).otherwise(F.element_at("__cut", F.greatest("__k", F.lit(1))))
-    return cuts.select(
-        *keep,
-        begin.alias("first"),
-        F.slice("__lines", begin + 1, F.col("__end") - begin).alias("lines"),
-    )
+    begin = lambda k: F.when(k == 0, 0).otherwise(F.element_at("__cut", F.greatest(k, F.lit(1))))
+    chunks = F.transform("__cut", lambda end, k: F.struct(begin(k).alias("first"), F.slice("__lines", begin(k) + 1, end - begin(k)).alias("lines")))
+    # outer, or the optimiser derives a filter that computes all of this anew inside its lambdas
+    return marked.select(*keep, F.inline_outer(chunks))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
