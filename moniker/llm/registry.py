@@ -1,11 +1,13 @@
 """Queries of the corpus operators and the SQL that they are held against."""
 
-from . import decontamination, language, line_dedup, mixing, simhash, substring_dedup, url_filter
+from . import ann, decontamination, language, line_dedup, mixing, secrets, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_nearest_neighbours": ann.op3_nearest_neighbours,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op5_secret_scan": secrets.op5_secret_scan,
     "op6_language_id": language.op6_language_id,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_source_mixing": mixing.op9_source_mixing,
