@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, text: str = "text") -> Da
 
     def run(batches):
         for whole in batches:
-            for batch in tk.slices(whole, "__text", 4 << 20):
+            for batch in tk.slices(whole, "__text", 1 << 20):
                 w = tk.words(batch.column("__text"), lower=True)
                 fp = majority(*shingle_hashes(w, size))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(fp.view(np.int64))], names=[*rest, "fp"])
