@@ -145,7 +145,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def classes(fps: DataFrame, radius: int = RADIUS, order: Column | None = None) -> DataFrame:
-    """Columns fp, n (rows), component_id: smallest doc_id reachable over links from a fingerprint.
+    """Columns fp, n (rows), root (a fingerprint that names the class), component_id: smallest doc_id reachable from it.
 
     ``fps`` has doc_id and fp. Null ids don't count; a group with no other has a null component_id.
     """
@@ -154,7 +154,7 @@ def classes(fps: DataFrame, radius: int = RADIUS, order: Column | None = None) -
     labelled = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "doc_id", "n", F.coalesce("root", "fp").alias("root"))
     linked = labelled.join(joined.select("root").distinct(), "root", "left_semi")
     least = linked.groupBy("root").agg(F.min("doc_id").alias("least"))
-    return labelled.join(least, "root", "left").select("fp", "n", F.coalesce("least", "doc_id").alias("component_id"))
+    return labelled.join(least, "root", "left").select("fp", "n", "root", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def with_class(fps: DataFrame, of: DataFrame) -> DataFrame:
@@ -173,7 +173,33 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS)
     """
     fps = written(fingerprints(docs.select("doc_id", "text"), size), "simhash-fingerprints")
     of = written(classes(fps, radius), "simhash-classes")
-    return with_class(fps, of).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return with_class(fps, of.drop("root")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Words of a shingle in the pipeline's stage.
+STAGE_SHINGLE = 5
+
+
+def keep_one(docs: DataFrame, size: int = STAGE_SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """``docs`` without near-duplicates: of each class the row with the smallest doc_id stays, columns as they are.
+
+    Texts without words are in no class and all stay. Of rows with that same id one stays; a class without ids keeps
+    one row.
+    """
+    named = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.withColumnsRenamed(named).withColumn("row", F.monotonically_increasing_id())
+    rows = written(rows, "simhash-rows")
+    text, doc = named["text"], named["doc_id"]
+    has_word = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    fps = written(fingerprints(rows.where(has_word).select(F.col(doc).alias("doc_id"), "row", F.col(text).alias("text")), size), "simhash-fingerprints")
+    of = written(classes(fps, radius), "simhash-classes")
+    roots = of.select("fp", "n", F.col("root").alias("component_id"))
+    classed = with_class(fps.select("row", "doc_id", "fp"), roots)
+    # least (doc_id, row) by class, null ids last
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
+    stay = classed.groupBy("component_id").agg(F.min(order).alias("least")).select(F.col("least.row").alias("row"))
+    kept = rows.where(~has_word).unionByName(rows.where(has_word).join(stay, "row", "left_semi"))
+    return kept.select(*(F.col(v).alias(c) for c, v in named.items()))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,8 +29,8 @@ RUN = 6
 #: Windows of one indexed piece.
 PIECE = 45
 #: Text of a shard, in bytes, and words of a shard of first occurrences.
-SHARD_BYTES = 16 << 20
-SHARD_WORDS = 400_000
+SHARD_BYTES = 4 << 20
+SHARD_WORDS = 200_000
 #: Bits for each repeated anchor in the table, and the table's most bits (as a power of two).
 BITS_EACH = 32
 MOST_BITS = 28

@@ -35,7 +35,7 @@ def join_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * _K1 + b + _K2)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part has at most ``most`` bytes of text, or a single row."""
     sizes = np.diff(buffers(batch.column(column))[1])
     at = 0
