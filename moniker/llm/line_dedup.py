@@ -2,8 +2,8 @@
 
 A document is cut into chunks of lines where a rolling hash over the hashes of the last two lines says so (and did
 not say so a line before), so that a passage is cut alike wherever it stands. Chunks of two lines or more that occur again anywhere in the corpus
-go, but for their first occurrence. Candidates are found by hash; a chunk is only removed after its bytes have been
-compared with those of the first occurrence.
+go, but for their first occurrence. Candidates are found by hash; chunks are only removed after the bytes of all that
+have a hash have been compared.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from .shared import table, text_key, written
 DIVISOR = 2
 #: Lines of a chunk: fewer are no multi-line chunk and stay.
 LEAST = 2
-#: A hash with more occurrences is dealt to this many tasks when occurrences are compared with the first.
-SALT = 32
+#: Repeated hashes (24 bytes each) that are broadcast at most; more are joined by shuffle.
+BROADCAST_ROWS = 1 << 20
 
 _BASE, _MODULUS = 1_000_003, (1 << 31) - 1
 
@@ -43,12 +43,13 @@ def chunked(docs: DataFrame, keep: list[str]) -> DataFrame:
     return marked.select(*keep, F.inline_outer(chunks))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` with what is left of each text; columns as in ``docs``, and no row is dropped.
 
     Lines end at ``\\n``; the kept ones are joined by it again, and a text of which nothing is left is empty. A chunk's
     first occurrence is the one with the smallest doc_id (null last), then text hash, then line. Null text stays null,
-    empty text is one empty line. Rows that repeat as a whole share their fate: their chunks count once.
+    empty text is one empty line. Rows that repeat as a whole share their fate: their chunks count once. Should two
+    different chunks ever have equal hashes (128 bits), both stay.
     """
     own = [f"__c{i}" for i in range(len(docs.columns))]
     rows = docs.withColumnsRenamed(dict(zip(docs.columns, own, strict=True)))
@@ -58,24 +59,17 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     chunks = chunked(keyed.where("text is not null"), ["doc", "key"]).where(F.size("lines") >= LEAST)
     body = F.array_join("lines", "\n")
     place = F.struct("doc", "key", "first")
-    hashed = chunks.select("doc", "key", "first", F.xxhash64(body).alias("hash"), F.xxhash64(F.lit(1), body).alias("hash2"))
+    chunks = chunks.select("doc", "key", "first", (F.col("first") + F.size("lines")).alias("end"), body.alias("body"))
+    hashed = chunks.select("*", F.xxhash64("body").alias("hash"), F.xxhash64(F.lit(1), "body").alias("hash2"))
     # a place counts once, also where rows repeat: least and largest place differ
-    repeated = (
-        hashed.groupBy("hash", "hash2")
-        .agg(F.min(place).alias("least"), F.max(place).alias("most"), F.count("*").alias("n"))
-        .where("least <> most")
-        .select("hash", "hash2", "least")
-    )
+    repeated = hashed.groupBy("hash", "hash2").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least <> most").drop("most")
     repeated = written(repeated, "line-hashes")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
-    salt = F.pmod(F.xxhash64("doc", "key", "first"), F.lit(SALT)).cast("int")
-    occurring = chunks.select("doc", "key", "first", (F.col("first") + F.size("lines")).alias("end"), body.alias("body"), F.xxhash64(body).alias("hash"), F.xxhash64(F.lit(1), body).alias("hash2")).withColumn("salt", salt)
-    wanted = repeated.withColumn("salt", salts)
-    occurrences = written(occurring.join(wanted, ["hash", "hash2", "salt"]), "line-occurrences")
-    original = occurrences.where(F.struct("doc", "key", "first") == F.col("least")).select("hash", "hash2", F.col("body").alias("original")).dropDuplicates(["hash", "hash2"])
-    others = occurrences.where(F.struct("doc", "key", "first") != F.col("least"))
-    # the byte comparison
-    removed = others.join(original.withColumn("salt", salts), ["hash", "hash2", "salt"]).where(F.col("body").cast("binary") == F.col("original").cast("binary"))
+    if repeated.count() <= broadcast_rows:
+        repeated = F.broadcast(repeated)
+    occurrences = written(hashed.join(repeated, ["hash", "hash2"]), "line-occurrences")
+    # the byte comparison: all texts of a hash are equal if the least and the largest are; others stay as they are
+    unequal = occurrences.groupBy("hash", "hash2").agg(F.min("body").alias("a"), F.max("body").alias("b")).where(F.col("a").cast("binary") != F.col("b").cast("binary"))
+    removed = occurrences.where(place != F.col("least")).select("doc", "key", "first", "end", "hash", "hash2").join(unequal.select("hash", "hash2"), ["hash", "hash2"], "left_anti")
     by_doc = removed.groupBy("doc", "key").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias("__gone"))
     marked = rows.withColumns({"doc": F.coalesce(F.col(doc).cast("long"), F.lit((1 << 63) - 1)), "key": text_key(text)}).join(by_doc, ["doc", "key"], "left")
     marked = marked.withColumn("__lines", F.when(F.col("__gone").isNotNull(), F.split(text, "\n")))
