@@ -69,7 +69,10 @@ def dedup_lines(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFr
     occurrences = written(hashed.join(repeated, ["hash", "hash2"]), "line-occurrences")
     # the byte comparison: all texts of a hash are equal if the least and the largest are; others stay as they are
     unequal = occurrences.groupBy("hash", "hash2").agg(F.min("body").alias("a"), F.max("body").alias("b")).where(F.col("a").cast("binary") != F.col("b").cast("binary"))
-    removed = occurrences.where(place != F.col("least")).select("doc", "key", "first", "end", "hash", "hash2").join(unequal.select("hash", "hash2"), ["hash", "hash2"], "left_anti")
+    removed = occurrences.where(place != F.col("least")).select("doc", "key", "first", "end", "hash", "hash2")
+    unequal = written(unequal.select("hash", "hash2"), "line-unequal")
+    if not unequal.isEmpty():
+        removed = removed.join(unequal, ["hash", "hash2"], "left_anti")
     by_doc = removed.groupBy("doc", "key").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias("__gone"))
     marked = rows.withColumns({"doc": F.coalesce(F.col(doc).cast("long"), F.lit((1 << 63) - 1)), "key": text_key(text)}).join(by_doc, ["doc", "key"], "left")
     marked = marked.withColumn("__lines", F.when(F.col("__gone").isNotNull(), F.split(text, "\n")))
