@@ -212,7 +212,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
     """Drop the documents of which a twentieth or more of the words is benchmark text; columns as in ``docs``."""
     named = {c: f"__kept_{i}" for i, c in enumerate(docs.columns) if c.lower() in ("n_words", "n_hit", "item_ids")}
     marked = contamination(docs.withColumnsRenamed(named), benchmark, window, spans=False)
-    return marked.where(~is_contaminated()).withColumnsRenamed({v: k for k, v in named.items()}).select(*docs.columns)
+    return marked.where(~is_contaminated()).drop("n_words", "n_hit", "item_ids").withColumnsRenamed({v: k for k, v in named.items()}).select(*docs.columns)
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

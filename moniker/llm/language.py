@@ -23,7 +23,8 @@ ORDER = 4
 #: Documents of each language that its model is fitted on, and one in so many of them calibrates.
 SAMPLE_DOCS = 2000
 CALIBRATE = 5
-#: A text is rejected beyond so many times the highest calibrated excess.
+#: A text is rejected beyond so many times the highest calibrated excess, if it is also nearer to random letters
+#: than to its language's level.
 SLACK = 1.5
 #: Letters beyond which a longer text does not narrow the calibrated excess.
 ENOUGH = 400
@@ -233,7 +234,8 @@ class Model:
         score = 1 / np.exp(-np.minimum(lead, 700)).sum(1)
         over = (entropy.min(1) - self.level[best]) * np.sqrt(np.minimum(n_letters, ENOUGH))
         none = n_letters == 0
-        return np.where(none, -1, best), np.where(none, 0.0, score), none | (over > SLACK * self.excess)
+        far = entropy.min(1) > (self.level[best] - self.uniform) / 2  # uniform is a log-probability
+        return np.where(none, -1, best), np.where(none, 0.0, score), none | ((over > SLACK * self.excess) & far)
 
 
 def remainder(by: int) -> Column:
@@ -317,7 +319,7 @@ def keep_identified(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFram
     model = fit(docs, F.lit(True), sample_docs)
     named = {c: f"__kept_{i}" for i, c in enumerate(docs.columns) if c.lower() in ("lang_pred", "score", "rejected")}
     marked = predict(docs.withColumnsRenamed(named), model)
-    return marked.where("not rejected").withColumnsRenamed({v: k for k, v in named.items()}).select(*docs.columns)
+    return marked.where("not rejected").drop("lang_pred", "score", "rejected").withColumnsRenamed({v: k for k, v in named.items()}).select(*docs.columns)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
