@@ -96,22 +96,24 @@ def groups(fp: np.ndarray, radius: int, level: int = 1) -> Iterator[tuple[np.nda
     yield from _search(fp, radius)
 
 
-def _search(fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Breadth first: what is near the group so far leaves the rest."""
-    rest = fp
+def _search(fp: np.ndarray, radius: int, places: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of each member to one that it is near to, as values or places; what a group has found leaves the rest."""
+    rest = np.arange(len(fp))
     while len(rest) > 1:
-        root, rest, queue = rest[0], rest[1:], [rest[:1]]
+        rest, queue = rest[1:], [rest[:1]]
         while queue and len(rest):
             step = max(1, (1 << 20) // len(rest))
             front = queue.pop()
             if len(front) > step:
                 queue.append(front[step:])
                 front = front[:step]
-            near = (np.bitwise_count(rest[:, None] ^ front[None]) <= radius).any(1)
-            if near.any():
-                found, rest = rest[near], rest[~near]
+            near = np.bitwise_count(fp[rest, None] ^ fp[None, front]) <= radius
+            hit = near.any(1)
+            if hit.any():
+                found, by = rest[hit], front[near[hit].argmax(1)]
+                rest = rest[~hit]
                 queue.append(found)
-                yield found, np.full(len(found), root)
+                yield (found, by) if places else (fp[found], fp[by])
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -120,24 +122,8 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows = distinct.select("fp", F.explode(tables).alias("t")).select("t.k", "t.bits", "fp")
 
     def run(batches):
-        held: list[np.ndarray] = []
-        for batch in batches:
-            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("k", "bits", "fp")], 1)
-            if held:
-                rows = np.concatenate([*held, rows])
-            edge = np.flatnonzero((np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0)) + 1
-            if not len(edge):  # one bucket so far
-                held = [rows]
-                continue
-            yield from found(rows[: edge[-1]], edge[:-1])
-            held = [rows[edge[-1] :]]
-        if held:
-            yield from found(held[0], np.zeros(0, np.int64))
-
-    def found(rows, edge):
-        begin, end = np.append(0, edge), np.append(edge, len(rows))
-        for k in np.flatnonzero(end - begin > 1):
-            for a, b in groups(np.ascontiguousarray(rows[begin[k] : end[k], 2]).view(np.uint64), radius):
+        for _, rows in _buckets(batches, ("k", "bits", "fp")):
+            for a, b in groups(np.ascontiguousarray(rows[:, 2]).view(np.uint64), radius):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     dealt = rows.repartition("k", "bits").sortWithinPartitions("k", "bits", "fp")
@@ -176,29 +162,152 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS)
     return with_class(fps, of.drop("root")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Words of a shingle in the pipeline's stage.
+#: The stage compares shingles of five words: near-duplicates have this Jaccard similarity or more.
 STAGE_SHINGLE = 5
+SIMILARITY = 0.8
+#: Classes of words that fingerprints are taken of, the coarse ones they add up to, and the words a class must have.
+FINE, COARSE = 12, 3
+CLASS_WORDS = 3
+#: Bits in which class fingerprints may differ to meet, and whole ones to be compared.
+CLASS_RADIUS = 1
+WHOLE_RADIUS = 18
+
+
+def class_fingerprints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of each row's distinct words: FINE by class, COARSE by joined classes, one of all; and their words.
+
+    A few changed words leave most classes as they are, so near-duplicates meet in some of them.
+    """
+    w = tk.words(column, lower=True)
+    n = len(w.first) - 1
+    packed = np.unique((w.row().astype(np.uint64) << np.uint64(48)) | (tk.hashes(w) >> np.uint64(16)))
+    low = packed & np.uint64((1 << 48) - 1)
+    group = (packed >> np.uint64(48)).astype(np.int64) * FINE + ((low * np.uint64(FINE)) >> np.uint64(48)).astype(np.int64)
+    sums, count = np.zeros((n * FINE, 64), np.int32), np.bincount(group, minlength=n * FINE)
+    if len(packed):
+        bits = np.unpackbits(tk.mix(low).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        begin = np.flatnonzero(np.concatenate([[True], np.diff(group) != 0]))
+        sums[group[begin]] = np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
+    sums, count = sums.reshape(n, FINE, 64), count.reshape(n, FINE)
+    joined = sums.reshape(n, COARSE, FINE // COARSE, 64).sum(2), count.reshape(n, COARSE, FINE // COARSE).sum(2)
+    sums = np.concatenate([sums, joined[0], sums.sum(1, keepdims=True)], 1)
+    count = np.concatenate([count, joined[1], count.sum(1, keepdims=True)], 1)
+    fp = np.packbits(2 * sums > count[:, :, None], axis=2, bitorder="little").view("<u8")[:, :, 0]
+    return fp, count
+
+
+def candidates(texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that meet in a class and have whole fingerprints near each other; ``texts`` (node, text).
+
+    Of each connected group in a bucket as many pairs come out as it has nodes, each pair near by itself.
+    """
+
+    def sketch(batches):
+        for whole in batches:
+            for batch in tk.slices(whole, most=1 << 20):
+                for at in range(0, batch.num_rows, 4096):
+                    part = batch.slice(at, 4096)
+                    fp, count = class_fingerprints(part.column("text"))
+                    sure = count >= CLASS_WORDS
+                    sure[:, -1] = count[:, -1] > 0
+                    row, slot = np.nonzero(sure)
+                    node = part.column("node").to_numpy()
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(node[row]), pa.array(slot), pa.array(fp[row, slot].view(np.int64)), pa.array(fp[row, -1].view(np.int64))], names=["node", "slot", "fp", "whole"]
+                    )
+
+    sketches = texts.mapInArrow(sketch, "node long, slot long, fp long, whole long")
+    own = masks(CLASS_RADIUS)
+    tables = F.array(*(F.struct((F.col("slot") * len(own) + k).alias("k"), F.col("fp").bitwiseAND(F.lit(int(m.astype(np.int64)))).alias("bits")) for k, m in enumerate(own)))
+    rows = sketches.select("node", "whole", F.explode(tables).alias("t")).groupBy("t.k", "t.bits", "node", "whole").agg(F.lit(1).alias("one")).drop("one")
+
+    def meet(batches):
+        for k, rows in _buckets(batches, ("k", "bits", "whole", "node")):
+            whole, first = np.unique(rows[:, 2], return_index=True)
+            node = rows[first, 3]
+            same = np.ones(len(rows), bool)
+            same[first] = False
+            at = np.searchsorted(whole, rows[same, 2])
+            pairs = [(rows[same, 3], node[at])] if same.any() else []
+            pairs += [(node[a], node[b]) for a, b in _search(whole.astype(np.int64).view(np.uint64), WHOLE_RADIUS, places=True)]
+            for a, b in pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+    dealt = rows.repartition("k", "bits").sortWithinPartitions("k", "bits", "whole", "node")
+    return dealt.mapInArrow(meet, "a long, b long").where("a <> b").distinct()
+
+
+def _buckets(batches, columns):
+    """Runs of sorted rows with equal first two columns, of two rows or more, each as one array."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns], 1)
+        rows = np.concatenate([*held, rows]) if held else rows
+        edge = np.flatnonzero((np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0)) + 1
+        if not len(edge):  # one bucket so far
+            held = [rows]
+            continue
+        begin = np.append(0, edge[:-1])
+        for k in np.flatnonzero(edge - begin > 1):
+            yield begin[k], rows[begin[k] : edge[k]]
+        held = [rows[edge[-1] :]]
+    if held and len(held[0]) > 1:
+        yield 0, held[0]
+
+
+def similar(texts: DataFrame, pairs: DataFrame, size: int = STAGE_SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose sets of word shingles have a Jaccard similarity of ``least`` or more."""
+
+    def sets(batches):
+        for whole in batches:
+            for batch in tk.slices(whole, most=1 << 20):
+                w = tk.words(batch.column("text"), lower=True)
+                h, out = tk.hashes(w), []
+                for a, b in zip(w.first[:-1], w.first[1:], strict=True):
+                    own = h[a:b]
+                    out.append(np.unique(tk.windows(own, size) if len(own) >= size else tk.windows(own, len(own)) if len(own) else own))
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.view(np.int64) for x in out], pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    shingles = texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(sets, "node long, shingles array<long>")
+    shingles = written(shingles, "simhash-shingles")
+    both = pairs.join(shingles.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(shingles.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
+
+    def compare(batches):
+        for batch in batches:
+            x, y = batch.column("x"), batch.column("y")
+            keep = []
+            for k in range(batch.num_rows):
+                p, q = x[k].values.to_numpy(), y[k].values.to_numpy()
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(common >= least * (len(p) + len(q) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def keep_one(docs: DataFrame, size: int = STAGE_SHINGLE, radius: int = RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = STAGE_SHINGLE, least: float = SIMILARITY) -> DataFrame:
     """``docs`` without near-duplicates: of each class the row with the smallest doc_id stays, columns as they are.
 
-    Texts without words are in no class and all stay. Of rows with that same id one stays; a class without ids keeps
-    one row.
+    Texts are near-duplicates if they are equal, or if their sets of ``size``-word shingles have a Jaccard similarity of
+    ``least`` or more; candidates come from covering tables over fingerprints of word classes. Texts without words
+    are in no class and all stay. A row without an id only stays if its class has none with one; of rows with that same
+    id one stays.
     """
     named = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
-    rows = docs.withColumnsRenamed(named).withColumn("row", F.monotonically_increasing_id())
-    rows = written(rows, "simhash-rows")
     text, doc = named["text"], named["doc_id"]
     has_word = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    fps = written(fingerprints(rows.where(has_word).select(F.col(doc).alias("doc_id"), "row", F.col(text).alias("text")), size), "simhash-fingerprints")
-    of = written(classes(fps, radius), "simhash-classes")
-    roots = of.select("fp", "n", F.col("root").alias("component_id"))
-    classed = with_class(fps.select("row", "doc_id", "fp"), roots)
-    # least (doc_id, row) by class, null ids last
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
-    stay = classed.groupBy("component_id").agg(F.min(order).alias("least")).select(F.col("least.row").alias("row"))
-    kept = rows.where(~has_word).unionByName(rows.where(has_word).join(stay, "row", "left_semi"))
+    rows = docs.withColumnsRenamed(named).withColumns({"row": F.monotonically_increasing_id(), "node": F.when(has_word, F.xxhash64(text))})
+    rows = written(rows, "simhash-rows")
+    # copies are one node from here on
+    order = F.struct(F.col(doc).isNull().alias("no_id"), F.col(doc).alias("doc_id"), F.col("row").alias("row"))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min(order).alias("best"))
+    texts = rows.where("node is not null").select("node", F.col(text).alias("text"))
+    linked = written(similar(texts, written(candidates(texts), "simhash-candidates"), size, least), "simhash-links")
+    joined = components(linked)
+    classed = nodes.join(joined, "node", "left").select(F.coalesce("root", "node").alias("root"), "best")
+    stay = classed.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))
+    kept = rows.where("node is null").unionByName(rows.where("node is not null").join(stay, "row", "left_semi"))
     return kept.select(*(F.col(v).alias(c) for c, v in named.items()))
 
 
