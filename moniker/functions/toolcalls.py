@@ -11,6 +11,8 @@ from .names import heal, is_usable
 from .variants import person_variants
 
 CALL = r"(?s)<tool_call>\s*<function=([^>\s]+)\s*>(.*?)</function>\s*</tool_call>"
+#: Scripts for which a call may give other spellings beside the main one.
+WITH_ALTERNATIVES = ("cy", "ab", "cn", "jp", "kr")
 PARAMETER = r"(?s)<parameter=([^>\s]+)\s*>(.*?)</parameter>"
 
 
@@ -79,7 +81,7 @@ def emitted_scripts(call: Column, alternatives: int = 2) -> Column:
     entries = []
     for tag in SCRIPTS[1:]:
         main = strip(F.coalesce(call["args"][tag], F.lit("")))
-        alts = string_list(call["args"][f"{tag}_alt"], alternatives)
+        alts = string_list(call["args"][f"{tag}_alt"], alternatives) if tag in WITH_ALTERNATIVES else none
         extra = F.array(strip(F.coalesce(call["args"]["jp_kana"], F.lit("")))) if tag == "jp" else none
         entries.append(F.struct(F.lit(tag).alias("key"), distinct(F.concat(F.array(main), alts, extra)).alias("value")))
     found = F.map_filter(F.map_from_entries(F.array(*entries)), lambda _, v: F.size(v) > 0)

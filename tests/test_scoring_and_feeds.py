@@ -160,3 +160,42 @@ def test_ids():
     now = ids.config_id(a, b)
     assert len(now) == 7 and not set(now) & set("ILOU") and ids.mismatch(now, now) is None
     assert ids.mismatch("000" + now[3:], now) in ("wiring", None) and ids.mismatch("x", now) == "malformed"
+
+
+def test_sampling(spark):
+    import numpy as np
+
+    from moniker.operators import sampling
+
+    rng = np.random.default_rng(1)
+    logits = np.log([0.5, 0.3, 0.15, 0.05])
+    assert sampling.draw_token(logits, 0, None, rng) == 0
+    drawn = [sampling.draw_token(logits, 1.0, 0.6, rng) for _ in range(4000)]
+    assert set(drawn) == {0, 1} and abs(drawn.count(0) / 4000 - 0.5 / 0.8) < 0.03
+    df = spark.createDataFrame([("a", [0.0, 1.0], [0.0, 0.0])], "cluster string, mean array<double>, logvar array<double>")
+    step = lambda z, ids: np.array([z[0], z[1], float(len(ids))])
+    out = [tuple(r["ids"]) for r in sampling.decodes(df, step, 2, 5, 3).orderBy("sample").collect()]
+    assert out == [tuple(r["ids"]) for r in sampling.decodes(df, step, 2, 5, 3).orderBy("sample").collect()] and len(out) == 5
+
+
+def test_sweeps(spark, tmp_path):
+    from moniker.operators import sweeps
+
+    assert sweeps.parse_combos("lr=1e-3, b=2; lr=5", ("lr", "b")) == [{"lr": 1e-3, "b": 2.0}, {"lr": 5.0}]
+    with pytest.raises(ValueError, match="unknown"):
+        sweeps.parse_combos("x=1", ("lr",))
+    assert sweeps.combo_name({"lr": 5e-4, "b": 128.0}) == "b128-lr0.0005" and len(sweeps.grid(a=[1, 2], b=[3])) == 2
+    base = {"m": {"a": 1}}
+    assert sweeps.overlay(base, {"m.a": 2, "n.b": 3}) == {"m": {"a": 2}, "n": {"b": 3}} and base == {"m": {"a": 1}}
+    assert sweeps.slug("a b/c") == "a_b_c" and sweeps.sibling("/d/x.txt.gz", "fixed") == "/d/x.fixed.txt.gz"
+    (tmp_path / "m.csv").write_text("epoch,val_loss,train_loss\n0,2.5,\n0,,3.0\n1,2.0,\n1,,2.5\n", encoding="utf-8")
+    r = evaluation.final_metrics(sweeps.read_history(spark, str(tmp_path / "m.csv"), "r")).first()
+    assert (r["last_val_loss"], r["best_val_loss"], r["last_train_loss"], r["n_val"]) == (2.0, 2.0, 2.5, 2)
+
+
+def test_contaminants(spark):
+    from moniker.functions.contaminants import is_contaminant
+
+    rows = [("Wei Zhang", "张伟", False), ("Li Na", "张伟", True), ("José María García-López", "何塞·玛丽亚·加西亚-洛佩斯", False), ("Yuki Abe", "田中雪", False), ("Ada King", "田中雪x", True), ("Ada King", "エイダ", False)]
+    df = spark.createDataFrame(rows, "label string, value string, wanted boolean")
+    assert df.where(is_contaminant(F.col("label"), F.col("value")) != F.col("wanted")).count() == 0
