@@ -33,6 +33,8 @@ PARTS = 16
 WEIGHT_DOCS = 400
 STEP = 2048
 STEPS = 200
+#: Text whose runs are told apart at once, in bytes: the more, the fewer distinct ones there are to mix.
+SLICE = 4 << 20
 #: Most frequent words whose counts are broadcast (16 bytes each); the rest is joined.
 FREQUENT = 1 << 20
 #: Hash that stands for the end of a text among the words.
@@ -129,18 +131,40 @@ class Mixer:
                 self.refined += 0.02 * (ones - total * self.refined) / np.maximum(1, 0.02 * total)
             node = 2 * node + bit
 
+    def freeze(self) -> None:
+        """Keep of the counts what scoring needs: each slot's prediction; 0 where nothing has been seen."""
+        n = self.counts.astype(np.float32)
+        stretch = np.log((n[:, 1] + np.float32(0.4)) / (n[:, 0] + np.float32(0.4)))
+        self.stretch = np.where(n.sum(1) > 0, np.where(stretch == 0, np.float32(1e-6), stretch), np.float32(0))
+        self.mix = self.weights.astype(np.float32)
+        self.refine = self.refined.astype(np.float32).ravel()
+        del self.counts
+
     def cost(self, code: np.ndarray) -> np.ndarray:
         """Bits of the last byte of each run after the others."""
-        out = np.empty(len(code))
-        for at in range(0, len(code), 1 << 17):
-            part = code[at : at + (1 << 17)]
-            contexts, node, bits = _slots(part), np.ones(len(part), np.int64), np.zeros(len(part))
+        out = np.empty(len(code), np.float32)
+        inputs, scale = len(ORDERS) + 1, np.float32((_BUCKETS - 1) / (2 * _RANGE))
+        for first in range(0, len(code), 1 << 15):  # small enough for the processor's cache
+            part = code[first : first + (1 << 15)]
+            contexts, node, p_all = _slots(part), np.ones(len(part), np.int64), np.ones(len(part))
             for k in range(7, -1, -1):
                 bit = ((part >> np.uint64(k)) & np.uint64(1)).astype(np.int64)
-                p = self.predict(contexts, node, k)[0]
-                bits -= np.log2(np.where(bit == 1, p, 1 - p))
+                x = [self.stretch[_slot(context, node)] for context in contexts]
+                gate = (7 - k) * inputs + sum((v != 0).astype(np.int64) for v in x)
+                weight = self.mix[gate]
+                dot = weight[:, -1] * np.float32(0.3)
+                for j, v in enumerate(x):
+                    dot += weight[:, j] * v
+                np.clip(dot, -_RANGE, _RANGE, out=dot)
+                at = (dot + np.float32(_RANGE)) * scale
+                low = np.minimum(at.astype(np.int64), _BUCKETS - 2)
+                share = at - low
+                place = node * _BUCKETS + low
+                seen = self.refine[place] * (1 - share) + self.refine[place + 1] * share
+                p = np.clip((1 / (1 + np.exp(-dot)) + seen) / 2, 1e-5, 1 - 1e-5)
+                p_all *= np.where(bit == 1, p, 1 - p)
                 node = 2 * node + bit
-            out[at : at + len(part)] = bits
+            out[first : first + len(part)] = -np.log2(p_all)
         return out
 
     def bits(self, texts: pa.Array) -> np.ndarray:
@@ -152,7 +176,7 @@ class Mixer:
         new = np.ones(len(code), bool)
         new[1:] = code[1:] != code[:-1]
         cost = self.cost(code[new])
-        return np.bincount(row, cost[np.cumsum(new) - 1], len(texts))
+        return np.bincount(row, cost[np.cumsum(new) - 1], len(texts)).astype(np.float64)
 
 
 def _squash(x):
@@ -165,7 +189,7 @@ def bit_counts(texts: DataFrame) -> np.ndarray:
     def count(batches):
         out = np.zeros(2 << TABLE_BITS, np.uint32)
         for whole in batches:
-            for batch in tk.slices(whole):
+            for batch in tk.slices(whole, most=SLICE):
                 code, _ = _runs(batch.column("text"))
                 code, times = np.unique(code, return_counts=True)
                 count_bits(code, times.astype(np.uint32), out)
@@ -202,6 +226,7 @@ def fit(texts: DataFrame, weight_docs: int = WEIGHT_DOCS) -> Mixer:
     key = F.pmod(text_key(), F.lit(1 << 20))
     sample = texts.where(key < int(share * (1 << 20)) + 1).orderBy(text_key(), "text").limit(2 * weight_docs).toArrow()
     if not sample.num_rows:
+        mixer.freeze()
         return mixer
     code = []
     for batch in sample.combine_chunks().to_batches():
@@ -212,6 +237,7 @@ def fit(texts: DataFrame, weight_docs: int = WEIGHT_DOCS) -> Mixer:
     steps = max(1, len(code) // STEP)
     for k, part in enumerate(np.array_split(code, steps)):
         mixer.learn(part, 0.5 / (1 + 4 * k / steps))
+    mixer.freeze()
     return mixer
 
 
@@ -265,7 +291,7 @@ def score(docs: DataFrame, learn_from: Column, frequent: int = FREQUENT) -> Data
     def run(batches):
         known, logs, mixer = handle.value
         for whole in batches:
-            for batch in tk.slices(whole):
+            for batch in tk.slices(whole, most=SLICE):
                 h, row = _tokens(batch.column("text"))
                 n = batch.num_rows
                 if len(known):
