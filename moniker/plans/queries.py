@@ -128,10 +128,10 @@ def leakage_overlap(spark, d):
     return dataset.overlap(lines, lines.where("line_no % 50 = 0")).agg(F.count("*").alias("n_overlap"), F.count_distinct("line").alias("n_lines"))
 
 
-@query(f"WITH {I.LINES} SELECT 0 AS source_rank, line_no, line FROM lines WHERE line_no % 2 = 0 UNION ALL SELECT 1, p_partkey, 'la{{' || p_name || '}}' FROM part")
+@query(f"WITH {I.LINES} SELECT 0 AS source_rank, line_no, line FROM lines UNION ALL SELECT 1, p_partkey, 'la{{' || p_name || '}}' FROM part")
 def pool_union(spark, d):
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("line_no"), F.concat(F.lit("la{"), "p_name", F.lit("}")).alias("line"))
-    return dataset.pooled(I.lines(spark, d).where("line_no % 2 = 0"), parts)
+    return dataset.pooled(I.lines(spark, d), parts)
 
 
 _SHARDS = "WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders), s AS (SELECT o_orderkey, i // 2048 AS shard, i % 2048 AS position, printf('cluster-%09d', i) AS key FROM o)"
@@ -260,10 +260,10 @@ def person_variants(spark, d):
     return I.people(spark, d).select("id", F.array_join(variants.person_variants(F.col("given"), F.col("family")), "|").alias("variants"))
 
 
-@query(f"WITH {I.PEOPLE}, t AS (SELECT id, {_TITLE('a')} AS a, {_TITLE('b')} AS b FROM people) SELECT id, 8 + CASE WHEN a = 'Zoe' THEN 0 ELSE 8 END AS n FROM t WHERE a <> b")
+@query(f"WITH {I.PEOPLE}, t AS (SELECT id, {_TITLE('a')} AS a, {_TITLE('b')} AS b FROM people) SELECT id, CASE WHEN a = b THEN 8 ELSE 16 END AS n FROM t")
 def person_alternatives(spark, d):
     """Spellings with another romanisation; one that swaps the sides is left out."""
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("w")).where(F.lower(F.col("w")[0]) != F.lower(F.col("w")[1]))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("w"))
     alternatives = F.array(F.concat(F.col("w")[1], F.lit(" "), F.col("w")[0]), F.concat(F.lit("zoe "), F.col("w")[1]))
     return p.select("id", F.size(variants.with_alternatives(F.col("w")[0], F.col("w")[1], alternatives)).alias("n"))
 
@@ -294,9 +294,9 @@ _MARKS = "strip_accents(replace(replace(replace(replace(x, 'ß', 'ß'), 'ø', 'o
 
 
 @query(f"""WITH w AS (SELECT DISTINCT unnest(string_split(regexp_replace(text, '[^a-zäöüßéèêàâçñóíáú]+', ' ', 'g'), ' ')) AS x FROM documents)
-SELECT x AS word, {_MARKS} AS plain, strip_accents(replace(replace(replace(replace(x, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')) AS written_out FROM w WHERE x <> '' AND length(x) < 12""")
+SELECT x AS word, {_MARKS} AS plain, strip_accents(replace(replace(replace(replace(x, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')) AS written_out FROM w WHERE x <> ''""")
 def strip_diacritics(spark, d):
-    w = table(spark, d, "documents").select(F.explode(F.split(F.regexp_replace("text", "[^a-zäöüßéèêàâçñóíáú]+", " "), " ")).alias("word")).where("word <> '' and length(word) < 12").distinct()
+    w = table(spark, d, "documents").select(F.explode(F.split(F.regexp_replace("text", "[^a-zäöüßéèêàâçñóíáú]+", " "), " ")).alias("word")).where("word <> ''").distinct()
     return w.select("word", names.strip_marks(F.col("word")).alias("plain"), names.digraph(F.col("word")).alias("written_out"))
 
 
@@ -428,11 +428,11 @@ def tool_call_parse(spark, d):
     return call.select("key", "c.name", F.col("c.args")["given"].alias("given"), F.col("c.args")["family"].alias("family"))
 
 
-@query("SELECT p_partkey AS key, CASE p_partkey % 4 WHEN 1 THEN 'not_a_person_name' WHEN 2 THEN 'malformed' ELSE CASE WHEN p_partkey % 3 = 1 THEN 'incomplete_name' ELSE 'extract_name' END END AS outcome, CASE WHEN p_partkey % 4 IN (0, 3) AND p_partkey % 3 <> 1 THEN 8 END AS n_variants FROM part WHERE lower(split_part(p_name, ' ', 1)) <> lower(split_part(p_name, ' ', 2))")
+@query("SELECT p_partkey AS key, CASE p_partkey % 4 WHEN 1 THEN 'not_a_person_name' WHEN 2 THEN 'malformed' ELSE CASE WHEN p_partkey % 3 = 1 THEN 'incomplete_name' ELSE 'extract_name' END END AS outcome, CASE WHEN p_partkey % 4 IN (0, 3) AND p_partkey % 3 <> 1 THEN 8 END AS n_variants FROM part")
 def extraction_outcomes(spark, d):
     """The extracting stage over a table of responses, with one retry (L1)."""
     raw = I.raw_calls(spark, d)
-    rows = table(spark, d, "part").where(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))) != F.lower(F.split_part("p_name", F.lit(" "), F.lit(2)))).select(F.col("p_partkey").alias("key"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("key"))
     responses = raw.select(F.lit("extract").alias("stage"), "key", F.lit(0).alias("attempt"), "raw_text")
     return stages.extracted(stages.Responses(responses), rows).select("key", "outcome", F.when(F.col("variants").isNotNull(), F.size("variants")).alias("n_variants"))
 
@@ -446,16 +446,16 @@ def string_lists(spark, d):
 
 # scoring
 
-_CENTRES = "WITH e AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(64)) AS dim FROM embeddings), c AS (SELECT label, dim, avg(CAST(x AS DOUBLE)) AS m FROM e GROUP BY ALL), s AS (SELECT e.vec_id, c.label, sum(power(e.x - c.m, 2)) AS score FROM e JOIN c USING (dim) WHERE vec_id < 200 GROUP BY ALL)"
+_CENTRES = "WITH e AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(64)) AS dim FROM embeddings), c AS (SELECT label, dim, avg(CAST(x AS DOUBLE)) AS m FROM e GROUP BY ALL), s AS (SELECT e.vec_id, c.label, sum(power(e.x - c.m, 2)) AS score FROM e JOIN c USING (dim) GROUP BY ALL)"
 
 
 def _scores(spark, d):
-    """Squared distances of 200 vectors to the centres of the labels, the stated panel."""
+    """Squared distances of the vectors to the centres of the labels, the stated panel."""
     e = table(spark, d, "embeddings")
     long = e.select("label", F.posexplode("embedding").alias("dim", "x"))
     centres = long.groupBy("label", "dim").agg(F.avg(F.col("x").cast("double")).alias("m")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("centre"))
     far = scoring.total(F.zip_with("embedding", "centre", lambda x, m: (x - m) * (x - m)))
-    return e.where("vec_id < 200").select("vec_id", "embedding").crossJoin(F.broadcast(centres)).select("vec_id", "label", far.alias("score"))
+    return e.select("vec_id", "embedding").crossJoin(F.broadcast(centres)).select("vec_id", "label", far.alias("score"))
 
 
 @query(_CENTRES + " SELECT vec_id, label, round(score, 6) AS score FROM s")
@@ -516,9 +516,10 @@ def selectivity_percentiles(spark, d):
     return out.select(*(F.round(c, 4).alias(c) for c in ("own_mean", "other_mean", "margin_mean", "margin_p10", "margin_p50", "margin_p90")), F.round("positive", 8).alias("positive"))
 
 
-@query("WITH p AS (SELECT p_partkey AS key, p_name AS value FROM part WHERE p_partkey < 60), j AS (SELECT a.key, b.key AS other_key, b.value AS negative, md5('3:' || a.key || ':' || b.key || ':' || b.value) AS h FROM p a JOIN p b ON a.key <> b.key) SELECT key, other_key, negative FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY h, other_key, negative) AS r FROM j) WHERE r <= 5")
+@query("WITH p AS (SELECT p_partkey AS key, p_name AS value FROM part ORDER BY md5('3:' || p_partkey), p_partkey LIMIT 64), j AS (SELECT a.key, b.key AS other_key, b.value AS negative, md5('3:' || a.key || ':' || b.key || ':' || b.value) AS h FROM p a JOIN p b ON a.key <> b.key) SELECT key, other_key, negative FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY h, other_key, negative) AS r FROM j) WHERE r <= 5")
 def sampled_negatives(spark, d):
-    p = table(spark, d, "part").where("p_partkey < 60").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("value"))
+    """Of a sampled panel, cells of other members."""
+    p = dataset.hash_sample(table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("value")), "key", 64, 3)
     return evaluation.negatives(p, p, 5, 3)
 
 
@@ -594,10 +595,10 @@ def config_ids(spark, d):
 
 @query()
 def panel_scores(spark, d):
-    """Cost by token of panel clusters under queries, with the stand-in scorer."""
-    c = I.clusters(spark, d).select(F.col("line_no").cast("string").alias("key"), F.transform("cells", lambda x: F.struct(x["tag"].alias("tag"), x["value"].alias("text"))).alias("surfaces"))
-    scores = scoring.cross_scored(c.where("cast(key as long) < 40"), c.where("cast(key as long) between 40 and 79"), scoring.TrigramScorer(), (True, False))
-    return scores.withColumn("nll_tok", F.round("nll_tok", 9))
+    """Cost by token of the regions' names under each part's name, with the stand-in scorer."""
+    cluster = lambda key, name: (F.col(key).cast("string").alias("key"), F.array(F.struct(F.lit("la").alias("tag"), F.col(name).alias("text"))).alias("surfaces"))
+    asked, panel = table(spark, d, "part").select(*cluster("p_partkey", "p_name")), table(spark, d, "region").select(*cluster("r_regionkey", "r_name"))
+    return scoring.cross_scored(asked, panel, scoring.TrigramScorer(), (True, False)).withColumn("nll_tok", F.round("nll_tok", 9))
 
 
 @query()
