@@ -23,6 +23,8 @@ ORDER = 4
 #: Documents of each language that its model is fitted on, and one in so many of them calibrates.
 SAMPLE_DOCS = 2000
 CALIBRATE = 5
+#: More labels than this are joined by shuffle.
+BROADCAST_LABELS = 100_000
 #: A text is rejected beyond so many times the highest calibrated excess, if it is also nearer to random letters
 #: than to its language's level.
 SLACK = 1.5
@@ -255,7 +257,7 @@ def fit(docs: DataFrame, learn_from: Column, sample_docs: int = SAMPLE_DOCS) ->
         return Model([], [], [], 0.0)
     shares = docs.sparkSession.createDataFrame([(s, min(1.0, sample_docs / n)) for s, n in sizes.items()], "lang string, share double")
     key = F.xxhash64("doc_id", text_key())
-    sample = usable.join(F.broadcast(shares), "lang").where(F.pmod(key, F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    sample = usable.join(F.broadcast(shares) if len(sizes) <= BROADCAST_LABELS else shares, "lang").where(F.pmod(key, F.lit(1 << 20)) < F.col("share") * (1 << 20))
     sample = sample.select("lang", "text", (F.pmod(F.shiftright(key, 20), F.lit(CALIBRATE)) == 0).alias("calibrates"))
 
     def count(batches):

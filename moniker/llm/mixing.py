@@ -21,6 +21,8 @@ WEIGHTS = (5, 2, 1)
 #: No source and no document is taken more often than this.
 MOST = 3
 LEAF = 4096
+#: More sources than this are joined by shuffle.
+BROADCAST_SOURCES = 100_000
 FAN_IN = 64
 _NEAR = 1e-9
 
@@ -143,6 +145,7 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), weights=WEIGHTS, m
     leaves = {s: max(1, -(-r["docs"] // LEAF)) for s, r in stats.items()}
     shares = [(k, s, words[s], wanted[s], leaves[s]) for k, s in enumerate(wanted)]
     share = docs.sparkSession.createDataFrame(shares, "rank int, name string, source_size long, target double, leaves long")
+    share = F.broadcast(share) if len(shares) <= BROADCAST_SOURCES else share
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = (
         sized.join(share, sized["source"].eqNullSafe(share["name"]))
