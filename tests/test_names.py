@@ -122,3 +122,24 @@ def test_simplified_and_traditional(spark):
 def test_words_splits_as_python_does(spark):
     text = "  a b c\td\x1ce \n"
     assert value(spark, words(lit(text))) == text.split()
+
+
+def test_sql_functions_agree(spark):
+    from moniker.functions.register import register
+
+    register(spark)
+    rows = ["Acme Corp.", "Łódź Ørsted Müller", "E.A.", " G ", "J.-M. Paul", "", "3M & Söhne GmbH", "æther's \\ d"]
+    df = spark.createDataFrame([(r,) for r in rows], "x string")
+    df.createOrReplaceTempView("names")
+    pairs = {
+        "canonical_key(x)": V.canonical_key(F.col("x")),
+        "is_initial(x)": N.is_initial(F.col("x")),
+        "is_usable_name(x, x)": N.is_usable(F.col("x"), F.col("x")),
+        "strip_diacritics(x)": N.strip_marks(F.col("x")),
+        "written_out(x)": N.digraph(F.col("x")),
+        "name_words(x)": words(F.col("x")),
+    }
+    for sql, column in pairs.items():
+        got = [r[0] for r in spark.sql(f"SELECT {sql} FROM names").collect()]
+        assert got == [r[0] for r in df.select(column).collect()], sql
+    assert spark.sql("SELECT cluster_is_valid('la{A}\tcy{Б}'), cluster_is_valid('cy{Б}'), cluster_is_valid('la{}')").first() == (True, False, False)
