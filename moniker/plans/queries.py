@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import cells as C
 from ..functions import ids, names, scripts, toolcalls, variants
 from ..functions.base import spaced, strip, words
-from ..operators import batching, dataset, detectors, evaluation, grouping, letters, scoring, stages, tokens
+from ..operators import batching, dataset, detectors, evaluation, expansion, grouping, letters, scoring, stages, tokens
 from ..sources.lines import last_by_key, numbered
 from ..streaming import feed
 from . import inputs as I
@@ -290,6 +290,28 @@ def company_variants(spark, d):
     return I.companies(spark, d).select("id", F.array_join(variants.company_variants(F.col("display")), "|").alias("variants"))
 
 
+@query(f"""WITH {I.COMPANIES}, t AS (SELECT id, display, {_WORDS('p_name', _TITLE)} AS c, {_FORM} AS s, f FROM companies),
+b AS (SELECT id, display, f, unnest(list_concat(list_transform(s, lambda x: c || ' ' || x), [c])) AS x, unnest(range(len(s) + 1)) AS bi FROM t),
+u AS (SELECT id, unnest([x, upper(x)]) AS x, unnest([2 * bi, 2 * bi + 1]) AS place FROM b UNION ALL SELECT id, display, -1 FROM t), d AS (SELECT id, x, min(place) AS place FROM u GROUP BY id, x)
+SELECT id AS line_no, CASE WHEN id % 5 = 0 THEN 'la{{' || any_value(display) || '}}' || chr(9) || 'cy{{x}}' ELSE string_agg('la{{' || x || '}}', chr(9) ORDER BY place) END AS line, CASE WHEN id % 5 = 0 THEN 'passed' ELSE 'expanded' END AS route
+FROM d JOIN companies USING (id) WHERE id % 7 <> 0 GROUP BY id""")
+def company_lines(spark, d):
+    """The path of company lines without a model: expanded, passed through or left out."""
+    shown = I.companies(spark, d)
+    k = F.col("id")
+    line = F.when(k % 7 == 0, F.col("display")).when(k % 5 == 0, F.concat(F.lit("la{"), "display", F.lit("}\tcy{x}"))).otherwise(F.concat(F.lit("la{"), "display", F.lit("}")))
+    return expansion.company_lines(shown.select(k.alias("line_no"), line.alias("line"))).select("line_no", "line", "route")
+
+
+@query("SELECT p_partkey AS key, CASE WHEN p_partkey % 2 = 0 THEN 'la{' || p_name || '}' || chr(9) || 'cy{Фёдор}' || chr(9) || 'cy{Федор}' || chr(9) || 'gk{Α Β}' ELSE 'la{' || p_name || '}' || chr(9) || 'gk{Α Β}' END AS line FROM part")
+def company_scripts(spark, d):
+    """Forms of companies in other scripts, as a cluster line."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("key"), "p_name")
+    forms = F.when(F.col("key") % 2 == 0, F.create_map(F.lit("gk"), F.array(F.lit("Α Β")), F.lit("cy"), F.array(F.lit("Фёдор")))).otherwise(F.create_map(F.lit("gk"), F.array(F.lit("Α Β"))))
+    cells = expansion.cluster_cells(F.array("p_name"), F.col("forms"))
+    return p.withColumn("forms", expansion.company_script_forms(forms)).select("key", C.format_line(cells).alias("line"))
+
+
 _MARKS = "strip_accents(replace(replace(replace(replace(x, 'ß', 'ß'), 'ø', 'o'), 'œ', 'oe'), 'æ', 'ae'))"
 
 
