@@ -255,8 +255,8 @@ def _buckets(batches, columns):
         yield 0, held[0]
 
 
-def similar(texts: DataFrame, pairs: DataFrame, size: int = STAGE_SHINGLE, least: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose sets of word shingles have a Jaccard similarity of ``least`` or more."""
+def shingle_sets(texts: DataFrame, pairs: DataFrame, size: int = STAGE_SHINGLE) -> DataFrame:
+    """Columns node, shingles: the set of word shingles of each node of ``pairs``."""
 
     def sets(batches):
         for whole in batches:
@@ -270,7 +270,11 @@ def similar(texts: DataFrame, pairs: DataFrame, size: int = STAGE_SHINGLE, least
 
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     shingles = texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(sets, "node long, shingles array<long>")
-    shingles = written(shingles, "simhash-shingles")
+    return written(shingles, "simhash-shingles")
+
+
+def similar(shingles: DataFrame, pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose sets of word shingles have a Jaccard similarity of ``least`` or more."""
     both = pairs.join(shingles.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(shingles.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
 
     def compare(batches):
@@ -286,11 +290,77 @@ def similar(texts: DataFrame, pairs: DataFrame, size: int = STAGE_SHINGLE, least
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def prefixes(shingles: DataFrame, rest: DataFrame, least: float) -> DataFrame:
+    """For each node of ``rest`` (node, cluster) its size, its mean shingle frequency in the cluster, and its prefix.
+
+    Sets with a Jaccard similarity of ``least`` share one of the n - ceil(least n) + 1 shingles of each that are rarest in
+    the cluster; of these the prefix holds those that another node of the cluster has as well.
+    """
+    each = rest.join(shingles, "node").select("cluster", "node", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    shared = each.groupBy("cluster", "s").agg(F.count("*").alias("c")).where("c > 1")
+    of = each.join(shared, ["cluster", "s"]).groupBy("cluster", "node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("own"), F.sum("c").alias("sum"))
+    room = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1 - (F.col("n") - F.size("own"))
+    prefix = F.when(room > 0, F.slice("own", F.lit(1), F.greatest(room, F.lit(1)).cast("int"))["s"]).otherwise(F.array().cast("array<long>"))
+    return of.select("cluster", "node", "n", ((F.col("sum") + F.col("n") - F.size("own")) / F.col("n")).alias("mean"), prefix.alias("prefix"))
+
+
+def posted(rows: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of ``rows`` (cluster, node, root, n, prefix) that share a prefix shingle, have sizes that allow for
+    ``least``, and are not linked yet (other roots)."""
+
+    def pairs(batches):
+        for _, rows in _buckets(batches, ("cluster", "s", "node", "root", "n")):
+            node, root, n = rows[:, 2], rows[:, 3], rows[:, 4]
+            step = max(1, (1 << 20) // len(rows))
+            for at in range(0, len(rows), step):
+                front = slice(at, at + step)
+                fits = (root[front, None] != root[None]) & (node[front, None] > node[None])
+                fits &= np.minimum(n[front, None], n[None]) >= least * np.maximum(n[front, None], n[None]) - 1e-9
+                a, b = np.nonzero(fits)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[front][a]), pa.array(node[b])], names=["a", "b"])
+
+    dealt = rows.select("cluster", F.explode("prefix").alias("s"), "node", "root", F.col("n").cast("long").alias("n"))
+    dealt = dealt.repartition("cluster", "s").sortWithinPartitions("cluster", "s")
+    return dealt.mapInArrow(pairs, "a long, b long").distinct()
+
+
+def settled(texts: DataFrame, pairs: DataFrame, size: int = STAGE_SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """Components (node, root) by true similarity, searched for among all nodes that ``pairs`` connect.
+
+    ``pairs`` give a node one partner a bucket, which need not be its true one. So where the nodes they connect (a
+    cluster) are not linked into one by true links, first all are compared with the one whose shingles are
+    the most frequent, then all pairs that can be similar by their prefixes and are not linked yet.
+    """
+    shingles = shingle_sets(texts, pairs, size)
+    clusters = written(components(pairs).withColumnRenamed("root", "cluster"), "simhash-clusters")
+    links = written(similar(shingles, pairs, least), "simhash-links")
+
+    def apart():
+        """Nodes of clusters that are not one yet, with their roots; and the roots."""
+        joined = components(links)
+        state = clusters.join(joined, "node", "left").select("node", "cluster", F.coalesce("root", "node").alias("root"))
+        several = state.groupBy("cluster").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cluster")
+        return written(state.join(several, "cluster", "left_semi"), "simhash-apart"), joined
+
+    rest, joined = apart()
+    if rest.isEmpty():
+        return joined
+    rows = written(prefixes(shingles, rest.select("node", "cluster"), least), "simhash-prefixes")
+    hubs = rows.groupBy("cluster").agg(F.max_by("node", F.struct("mean", "node")).alias("b"))
+    spokes = rows.join(hubs, "cluster").where("node <> b").select(F.col("node").alias("a"), "b")
+    links = written(links.unionByName(similar(shingles, spokes, least)), "simhash-links")
+    rest, joined = apart()
+    found = written(similar(shingles, written(posted(rows.join(rest.select("node", "root"), "node"), least), "simhash-posted"), least), "simhash-links")
+    return joined if found.isEmpty() else components(links.unionByName(found))
+
+
 def keep_one(docs: DataFrame, size: int = STAGE_SHINGLE, least: float = SIMILARITY) -> DataFrame:
     """``docs`` without near-duplicates: of each class the row with the smallest doc_id stays, columns as they are.
 
     Texts are near-duplicates if they are equal, or if their sets of ``size``-word shingles have a Jaccard similarity of
-    ``least`` or more; candidates come from covering tables over fingerprints of word classes. Texts without words
+    ``least`` or more; candidates come from covering tables over fingerprints of word classes, and all that they
+    connect are searched for true partners. Texts without words
     are in no class and all stay. A row without an id only stays if its class has none with one; of rows with that same
     id one stays.
     """
@@ -303,8 +373,7 @@ def keep_one(docs: DataFrame, size: int = STAGE_SHINGLE, least: float = SIMILARI
     order = F.struct(F.col(doc).isNull().alias("no_id"), F.col(doc).alias("doc_id"), F.col("row").alias("row"))
     nodes = rows.where("node is not null").groupBy("node").agg(F.min(order).alias("best"))
     texts = rows.where("node is not null").select("node", F.col(text).alias("text"))
-    linked = written(similar(texts, written(candidates(texts), "simhash-candidates"), size, least), "simhash-links")
-    joined = components(linked)
+    joined = settled(texts, written(candidates(texts), "simhash-candidates"), size, least)
     classed = nodes.join(joined, "node", "left").select(F.coalesce("root", "node").alias("root"), "best")
     stay = classed.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))
     kept = rows.where("node is null").unionByName(rows.where("node is not null").join(stay, "row", "left_semi"))

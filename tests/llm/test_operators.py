@@ -306,6 +306,34 @@ def test_one_of_each_group_stays(spark):
     assert kept == set(range(10)) | {18, 19, 20}
 
 
+def shingle_set(text):
+    w = words(text)
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_a_star_of_variants_is_one_group(spark):
+    """Every variant is near the original, few are near each other: a bucket's first text is no partner of the others."""
+    rng = random.Random(7)
+    texts = []
+    first = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(400)]
+    for seed in range(2):  # the originals are near in bits but no near-duplicates
+        base = [w if k % 24 or not seed else f"o{k}" for k, w in enumerate(first)]
+        star = [base]
+        for k in range(250):
+            w, gone = list(base), rng.sample(range(2, 398, 6), 8)
+            for at in gone:
+                w[at] = f"v{seed}x{k}x{at}"
+            star.append(w)
+        rng.shuffle(star)
+        texts += [" ".join(w) for w in star]
+    sets = [shingle_set(t) for t in texts]
+    near = [(a, b) for a in range(len(sets)) for b in range(a) if len(c := sets[a] & sets[b]) >= 0.8 * (len(sets[a]) + len(sets[b]) - len(c))]
+    root = components(near, range(len(texts)))
+    assert len(set(root.values())) == 2 and len(near) < 2 * 251 * 2
+    kept = {r["doc_id"] for r in simhash.keep_one(documents(spark, texts)).collect()}
+    assert kept == set(root.values())
+
+
 # mixing
 
 
