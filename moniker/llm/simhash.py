@@ -355,13 +355,13 @@ def settled(texts: DataFrame, pairs: DataFrame, size: int = STAGE_SHINGLE, least
     return joined if found.isEmpty() else components(links.unionByName(found))
 
 
-def keep_one(docs: DataFrame, size: int = STAGE_SHINGLE, least: float = SIMILARITY) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = STAGE_SHINGLE, least: float = SIMILARITY, wordless: bool = False) -> DataFrame:
     """``docs`` without near-duplicates: of each class the row with the smallest doc_id stays, columns as they are.
 
     Texts are near-duplicates if they are equal, or if their sets of ``size``-word shingles have a Jaccard similarity of
     ``least`` or more; candidates come from covering tables over fingerprints of word classes, and all that they
     connect are searched for true partners. Texts without words
-    are in no class and all stay. A row without an id only stays if its class has none with one; of rows with that same
+    are in no class and all stay, or with ``wordless`` are one class. A row without an id only stays if its class has none with one; of rows with that same
     id one stays.
     """
     named = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
@@ -376,7 +376,10 @@ def keep_one(docs: DataFrame, size: int = STAGE_SHINGLE, least: float = SIMILARI
     joined = settled(texts, written(candidates(texts), "simhash-candidates"), size, least)
     classed = nodes.join(joined, "node", "left").select(F.coalesce("root", "node").alias("root"), "best")
     stay = classed.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))
-    kept = rows.where("node is null").unionByName(rows.where("node is not null").join(stay, "row", "left_semi"))
+    none = rows.where("node is null")
+    if wordless:
+        none = none.join(F.broadcast(none.agg(F.min(order).alias("best")).select(F.col("best.row").alias("row"))), "row", "left_semi")
+    kept = none.unionByName(rows.where("node is not null").join(stay, "row", "left_semi"))
     return kept.select(*(F.col(v).alias(c) for c, v in named.items()))
 
 

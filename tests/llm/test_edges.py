@@ -96,3 +96,13 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, benchmark, tmp_
     assert len(out) and out["doc_id"].is_unique and (out["taken"] == out["copies"] * out["size"]).all()
     again = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert out.sort_values("doc_id")["taken"].tolist() == again.sort_values("doc_id")["taken"].tolist()
+
+
+def test_copies_that_line_dedup_empties_are_one_group(spark, tmp_path):
+    rng = random.Random(9)
+    text = "\n".join(" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(12)) for _ in range(2))
+    docs = documents(spark, [text, text, None, text, "another text", " \n"])
+    lines = corpus_pipeline.dedup_lines(spark, docs, str(tmp_path))
+    assert lines.count() == 6 and lines.where(r"not coalesce(text, '') rlike '\\S'").count() == 4
+    kept = corpus_pipeline.drop_near_duplicates(spark, lines, str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 4]
