@@ -1,7 +1,8 @@
 """Language-model scoring by logistic context mixing, and by word frequencies.
 
 Texts are predicted bit by bit. For each of the contexts of the last one to five bytes a hashed table of bit counts,
-gathered from all texts learned from, predicts the next bit. The predictions are mixed in the logistic domain
+gathered from all texts learned from, predicts the next bit. It has two slots for each distinct (context, bit) of these texts,
+however many there are, and check bits, so that a context never seen is told from those seen. The predictions are mixed in the logistic domain
 by weights that a gate selects (which bit it is, how many contexts are known), learned online; a last table refines the
 probability adaptively by what was actually seen at such predictions. The bits of a text add up to its score.
 
@@ -24,17 +25,20 @@ from .language import remainder
 from .shared import table, text_key, written
 
 ORDERS = (1, 2, 3, 4, 5)
-#: Slots of the table of bit counts, as a power of two, and slots of a block that is sent and summed at once.
-TABLE_BITS = 22
-BLOCK = 1 << 14
-#: Blocks of the same place are summed in so many parts before the whole.
-PARTS = 16
+#: Slots of the table for each distinct (context, bit).
+ROOM = 2
+#: Bits of the key of a (context, bit), and leading bits of it that name a block, which is sent and summed at once.
+KEY_BITS, BLOCK_BITS = 48, 10
+#: Keys that a task holds before it sums those that are equal.
+HELD = 1 << 21
 #: Documents, chosen by a hash, that the weights are learned from, 6-byte runs of a step, and steps.
 WEIGHT_DOCS = 400
 STEP = 2048
 STEPS = 200
 #: Text whose runs are told apart at once, in bytes: the more, the fewer distinct ones there are to mix.
 SLICE = 4 << 20
+#: The same when counting, where the keys of a slice are held.
+COUNT_SLICE = 1 << 20
 #: Most frequent words whose counts are broadcast (16 bytes each); the rest is joined.
 FREQUENT = 1 << 20
 #: Hash that stands for the end of a text among the words.
@@ -64,42 +68,94 @@ def _runs(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _slots(code: np.ndarray) -> list[np.ndarray]:
     """Hash of each order's context."""
-    context = code >> np.uint64(8)
-    return [tk.mix((context & np.uint64((1 << (8 * o)) - 1)) * np.uint64(8) + np.uint64(o)) for o in ORDERS]
+    return [_context(code, o) for o in ORDERS]
 
 
-def _slot(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return (((context ^ (node.astype(np.uint64) * tk._K1)) * tk._K3) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+def _context(code: np.ndarray, order: int) -> np.ndarray:
+    return tk.mix(((code >> np.uint64(8)) & np.uint64((1 << (8 * order)) - 1)) * np.uint64(8) + np.uint64(order))
 
 
-def count_bits(code: np.ndarray, times: np.ndarray, out: np.ndarray) -> None:
-    """Add what the runs say to ``out``, counts of zeros and ones by slot."""
-    contexts = _slots(code)
-    node = np.ones(len(code), np.int64)
-    for k in range(7, -1, -1):
-        bit = ((code >> np.uint64(k)) & np.uint64(1)).astype(np.int64)
-        for context in contexts:
-            np.add.at(out, 2 * _slot(context, node) + bit, times)
-        node = 2 * node + bit
+def _keys(context: np.ndarray, node: np.ndarray) -> np.ndarray:
+    return ((context ^ (node.astype(np.uint64) * tk._K1)) * tk._K3) >> np.uint64(64 - KEY_BITS)
+
+
+def _summed(keys: list[np.ndarray], *columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Distinct keys, sorted, and for each of the columns the sums of its counts."""
+    key = np.concatenate(keys)
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+    return [key[first], *(np.add.reduceat(np.concatenate(c)[order], first) if len(first) else np.concatenate(c) for c in columns)]
+
+
+def count_bits(code: np.ndarray, times: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """What the runs say: keys, and counts of zeros (upper 32 bits) and ones (lower)."""
+    keys, counts = [], []
+    for o in reversed(ORDERS):
+        code, times = _summed([code & np.uint64((1 << (8 * o + 8)) - 1)], [times])
+        context = _context(code, o)
+        for depth in range(8):
+            head = code >> np.uint64(8 - depth)
+            first = np.flatnonzero(np.diff(head, prepend=~head[:1]))
+            one = (code >> np.uint64(7 - depth)) & np.uint64(1)
+            node = (code[first] & np.uint64(255)) >> np.uint64(8 - depth) | np.uint64(1 << depth)
+            keys.append(_keys(context[first], node))
+            counts.append(np.add.reduceat(times << (np.uint64(32) * (one ^ np.uint64(1))), first))
+    return keys, counts
 
 
 class Mixer:
-    """Counts by slot, weights by gate, refinement by node and prediction."""
+    """Counts by slot, weights by gate, refinement by node and prediction.
+
+    Made of ``blocks`` of sorted keys and their counts, in order, ``size`` keys in all. A key stands in the first free slot
+    from its home on, with its last 16 bits as check (0: free); a key that is not there is mistaken for another of its
+    neighbourhood once in 65,536 times a slot looked at.
+    """
 
-    def __init__(self, counts: np.ndarray):
-        counts = counts.astype(np.float64).reshape(-1, 2)
-        most = counts.max(1, keepdims=True)
-        scale = np.where(most > 60000, 60000 / np.maximum(most, 1), 1.0)
-        self.counts = np.ceil(counts * scale).astype(np.uint16)
+    def __init__(self, blocks, size: int):
+        self.slots = ROOM * size + 1
+        self.check = np.zeros(self.slots + size + 1, np.uint16)
+        self.counts = np.zeros((len(self.check), 2), np.uint16)
+        free = 0
+        for key, counts in blocks:
+            most = counts.max(1, keepdims=True)
+            scale = np.where(most > 60000, 60000 / np.maximum(most, 1), 1.0)
+            home = self.home(key)
+            step = np.arange(len(key))
+            at = np.maximum(np.maximum.accumulate(home - step), free) + step
+            self.check[at] = self.mark(key)
+            self.counts[at] = np.ceil(counts * scale).astype(np.uint16)
+            free = int(at[-1]) + 1
+        used = max(free, self.slots) + 1  # one that is free ends every search
+        self.check, self.counts = self.check[:used].copy(), self.counts[:used].copy()
         inputs = len(ORDERS) + 1
         self.weights = np.full((8 * inputs, inputs), 0.35)
         self.refined = np.repeat(_squash(np.linspace(-_RANGE, _RANGE, _BUCKETS))[None], 256, 0)
 
+    def home(self, key: np.ndarray) -> np.ndarray:
+        return (((key >> np.uint64(KEY_BITS - 32)) * np.uint64(self.slots)) >> np.uint64(32)).astype(np.int64)
+
+    @staticmethod
+    def mark(key: np.ndarray) -> np.ndarray:
+        return np.maximum((key & np.uint64(0xFFFF)).astype(np.uint16), np.uint16(1))
+
+    def slot(self, context: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Where the counts are: a free slot, which holds zeros, if there are none."""
+        key = _keys(context, node)
+        at, mark = self.home(key), self.mark(key)
+        got = self.check[at]
+        far = np.flatnonzero((got != mark) & (got != 0))
+        while len(far):
+            at[far] += 1
+            got = self.check[at[far]]
+            far = far[(got != mark[far]) & (got != 0)]
+        return at
+
     def predict(self, contexts, node, k, less=None):
         """Probability of a one with all that learning needs. ``less``: this bit, to be left out of the counts."""
         x, known = np.empty((len(node), len(ORDERS) + 1)), np.zeros(len(node), np.int64)
         for j, context in enumerate(contexts):
-            n = self.counts[_slot(context, node)].astype(np.float64)
+            n = self.counts[self.slot(context, node)].astype(np.float64)
             if less is not None:
                 n[np.arange(len(n)), less] = np.maximum(n[np.arange(len(n)), less] - 1, 0)
             x[:, j] = np.log((n[:, 1] + 0.4) / (n[:, 0] + 0.4))
@@ -133,9 +189,11 @@ class Mixer:
 
     def freeze(self) -> None:
         """Keep of the counts what scoring needs: each slot's prediction; 0 where nothing has been seen."""
-        n = self.counts.astype(np.float32)
-        stretch = np.log((n[:, 1] + np.float32(0.4)) / (n[:, 0] + np.float32(0.4)))
-        self.stretch = np.where(n.sum(1) > 0, np.where(stretch == 0, np.float32(1e-6), stretch), np.float32(0))
+        self.stretch = np.zeros(len(self.counts), np.float32)
+        for first in range(0, len(self.counts), 1 << 20):
+            n = self.counts[first : first + (1 << 20)].astype(np.float32)
+            stretch = np.log((n[:, 1] + np.float32(0.4)) / (n[:, 0] + np.float32(0.4)))
+            self.stretch[first : first + (1 << 20)] = np.where(n.sum(1) > 0, np.where(stretch == 0, np.float32(1e-6), stretch), np.float32(0))
         self.mix = self.weights.astype(np.float32)
         self.refine = self.refined.astype(np.float32).ravel()
         del self.counts
@@ -149,7 +207,7 @@ class Mixer:
             contexts, node, p_all = _slots(part), np.ones(len(part), np.int64), np.ones(len(part))
             for k in range(7, -1, -1):
                 bit = ((part >> np.uint64(k)) & np.uint64(1)).astype(np.int64)
-                x = [self.stretch[_slot(context, node)] for context in contexts]
+                x = [self.stretch[self.slot(context, node)] for context in contexts]
                 gate = (7 - k) * inputs + sum((v != 0).astype(np.int64) for v in x)
                 weight = self.mix[gate]
                 dot = weight[:, -1] * np.float32(0.3)
@@ -183,44 +241,68 @@ def _squash(x):
     return 1 / (1 + np.exp(-x))
 
 
-def bit_counts(texts: DataFrame) -> np.ndarray:
-    """Zeros and ones by slot over all texts: summed by task, then by block in two steps."""
+def _pack(key: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> bytes:
+    """Sorted keys as differences, and their counts, in planes of bytes; compressed."""
+    wide = np.stack([np.diff(key, prepend=np.uint64(0)), zeros.astype(np.uint64), ones.astype(np.uint64)], 1)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(wide.astype("<u8").view(np.uint8).T).tobytes())
+
+
+def _unpack(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).reshape(24, -1)
+    wide = np.ascontiguousarray(planes.T).view("<u8")
+    return np.cumsum(wide[:, 0], dtype=np.uint64), wide[:, 1:].astype(np.int64)
+
+
+def bit_counts(texts: DataFrame) -> DataFrame:
+    """Columns block, size (keys), counts: zeros and ones of every (context, bit) of all texts, summed by task, then by block."""
 
     def count(batches):
-        out = np.zeros(2 << TABLE_BITS, np.uint32)
+        keys, counts, held = [], [], 0
         for whole in batches:
-            for batch in tk.slices(whole, most=SLICE):
+            for batch in tk.slices(whole, most=COUNT_SLICE):
                 code, _ = _runs(batch.column("text"))
+                if not len(code):
+                    continue
                 code, times = np.unique(code, return_counts=True)
-                count_bits(code, times.astype(np.uint32), out)
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for k in range(0, len(out), 2 * BLOCK):
-            part = out[k : k + 2 * BLOCK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // (2 * BLOCK)]), pa.array([squeeze.compress(part.astype(np.float64).tobytes())], pa.binary())], names=["block", "counts"])
+                for k, n in zip(*count_bits(code, times.astype(np.uint64)), strict=True):
+                    keys.append(k)
+                    counts.append(n)
+                    held += len(k)
+                if held > max(HELD, 2 * len(keys[0])):
+                    keys, counts = ([c] for c in _summed(keys, counts))
+                    held = len(keys[0])
+        if not keys:
+            return
+        key, n = _summed(keys, counts)
+        edge = np.searchsorted(key, np.arange((1 << BLOCK_BITS) + 1, dtype=np.uint64) << np.uint64(KEY_BITS - BLOCK_BITS))
+        for k in np.flatnonzero(np.diff(edge)):
+            part = slice(edge[k], edge[k + 1])
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([int(edge[k + 1] - edge[k])]), pa.array([_pack(key[part], n[part] >> np.uint64(32), n[part] & np.uint64(0xFFFFFFFF))], pa.binary())], names=["block", "size", "counts"])
 
     def add(rows: pa.Table) -> pa.Table:
-        total = np.zeros(2 * BLOCK)
-        open_ = zstandard.ZstdDecompressor()
+        keys, zeros, ones, held = [], [], [], 0
         for x in rows.column("counts"):
-            total += np.frombuffer(open_.decompress(x.as_py()), np.float64)
-        body = zstandard.ZstdCompressor(level=1).compress(total.tobytes())
-        return pa.table([rows.column("block").slice(0, 1).combine_chunks(), pa.array([body], pa.binary())], names=["block", "counts"])
+            key, n = _unpack(x.as_py())
+            keys.append(key)
+            zeros.append(n[:, 0])
+            ones.append(n[:, 1])
+            held += len(key)
+            if held > max(HELD, 2 * len(keys[0])):
+                keys, zeros, ones = ([c] for c in _summed(keys, zeros, ones))
+                held = len(keys[0])
+        key, zero, one = _summed(keys, zeros, ones)
+        return pa.table([rows.column("block").slice(0, 1).combine_chunks(), pa.array([len(key)]), pa.array([_pack(key, zero, one)], pa.binary())], names=["block", "size", "counts"])
 
-    schema = "block long, counts binary"
-    blocks = texts.select("text").mapInArrow(count, schema).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTS)))
-    some = blocks.groupBy("block", "part").applyInArrow(add, schema)
-    out = np.zeros(2 << TABLE_BITS)
-    open_ = zstandard.ZstdDecompressor()
-    for r in some.groupBy("block").applyInArrow(add, schema).collect():  # TABLE_BITS bounds it
-        out[r["block"] * 2 * BLOCK : (r["block"] + 1) * 2 * BLOCK] = np.frombuffer(open_.decompress(bytes(r["counts"])), np.float64)
-    return out
+    schema = "block long, size long, counts binary"
+    return texts.select("text").mapInArrow(count, schema).groupBy("block").applyInArrow(add, schema)
 
 
 def fit(texts: DataFrame, weight_docs: int = WEIGHT_DOCS) -> Mixer:
     """A mixer with the bit counts of all ``texts``; its weights come from about ``weight_docs`` of them."""
     texts = texts.select("text").where("text is not null")
-    mixer = Mixer(bit_counts(texts))
+    blocks = written(bit_counts(texts), "lm-counts").toArrow().sort_by("block")  # what is sent is what scoring needs of it
+    mixer = Mixer((_unpack(x.as_py()) for x in blocks.column("counts")), sum(blocks.column("size").to_pylist()))
+    del blocks
     total = texts.count()
     share = min(1.0, weight_docs / max(1, total))
     key = F.pmod(text_key(), F.lit(1 << 20))

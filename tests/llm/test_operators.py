@@ -241,6 +241,33 @@ def test_mixer_is_a_distribution_and_learns(spark):
     assert np.allclose(one, mixer.bits(pa.array(held)))
 
 
+def test_contexts_never_seen_are_no_evidence_however_many_were(spark):
+    rng = random.Random(11)
+    letters = [chr(k) for k in range(0x61, 0x7B)] + [chr(k) for k in range(0x41, 0x5B)]
+    df = spark.createDataFrame([("".join(rng.choices(letters, k=1000)),) for _ in range(200)], "text string")
+    mixer = lm_scoring.fit(df, 5)  # 5 M distinct (context, bit)
+    every = np.arange(256, dtype=np.uint64)
+    unseen = [mixer.cost((np.uint64(int.from_bytes(bytes(rng.choices(range(0x80, 0x100), k=5)), "big")) << np.uint64(8)) | every) for _ in range(100)]
+    assert np.mean([np.allclose(x, unseen[0], atol=1e-4) for x in unseen]) > 0.9
+
+
+def test_counts_are_those_of_all_runs(spark):
+    texts = [t for _, t, _ in language_texts(5, 40)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    blocks = lm_scoring.bit_counts(df).toArrow().sort_by("block")
+    mixer = lm_scoring.Mixer((lm_scoring._unpack(x.as_py()) for x in blocks.column("counts")), sum(blocks.column("size").to_pylist()))
+    code = lm_scoring._runs(pa.array(texts))[0]
+    for o, context in zip(lm_scoring.ORDERS, lm_scoring._slots(code), strict=True):
+        node = np.full(len(code), 1)
+        for k in range(7, -1, -1):
+            bit = (code >> np.uint64(k)) & np.uint64(1)
+            plain = Counter(zip(((code >> np.uint64(8)) & np.uint64((1 << 8 * o) - 1)).tolist(), node.tolist(), bit.tolist(), strict=True))
+            got = mixer.counts[mixer.slot(context, node)]
+            want = [[plain[c, n, b] for b in (0, 1)] for c, n in zip(((code >> np.uint64(8)) & np.uint64((1 << 8 * o) - 1)).tolist(), node.tolist(), strict=True)]
+            assert (got == want).mean() > 0.9999
+            node = 2 * node + bit.astype(np.int64)
+
+
 # SimHash
 
 
