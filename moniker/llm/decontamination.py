@@ -208,11 +208,17 @@ def is_contaminated(share: int = 20):
     return (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Drop the documents of which a twentieth or more of the words is benchmark text; columns as in ``docs``."""
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int | None = None) -> DataFrame:
+    """Drop the documents in which a window of the benchmark occurs; with ``share`` only those where at least one word in
+    so many is hit. Columns as in ``docs``.
+
+    Null and empty texts stay, so does everything if the benchmark has no words; null ids don't matter, repeated rows go
+    or stay together, clashing column names are kept apart.
+    """
     named = {c: f"__kept_{i}" for i, c in enumerate(docs.columns) if c.lower() in ("n_words", "n_hit", "item_ids")}
     marked = contamination(docs.withColumnsRenamed(named), benchmark, window, spans=False)
-    return marked.where(~is_contaminated()).drop("n_words", "n_hit", "item_ids").withColumnsRenamed({v: k for k, v in named.items()}).select(*docs.columns)
+    affected = F.col("n_hit") > 0 if share is None else is_contaminated(share)
+    return marked.where(~affected).drop("n_words", "n_hit", "item_ids").withColumnsRenamed({v: k for k, v in named.items()}).select(*docs.columns)
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
