@@ -31,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go of which a twentieth or more is text of the benchmark."""
+    """Documents go in which a window of benchmark text occurs, however long they are."""
     return decontamination.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
