@@ -2,8 +2,11 @@
 
 One model for each label, of ``ORDER`` characters. For each order one sorted array of n-gram hashes serves
 all models: a row of it holds the n-gram's log-probability in each language, another array the contexts'
-back-off weights. The language with the lowest cross-entropy per character wins; how far above a language's own
-level a text may lie is calibrated on documents that the models have not seen.
+back-off weights. The language with the lowest cross-entropy per character wins.
+
+Labels may be wrong, so fitting takes two turns: two halves of the sample judge each other's texts, those far from what
+is usual of their label (by median and median deviation) are left out, and the models are fitted on the rest.
+How far above a language's own level a text may lie is then calibrated, by a high quantile, on texts that the models have not seen.
 """
 
 from __future__ import annotations
@@ -25,9 +28,12 @@ SAMPLE_DOCS = 2000
 CALIBRATE = 5
 #: More labels than this are joined by shuffle.
 BROADCAST_LABELS = 100_000
-#: A text is rejected beyond so many times the highest calibrated excess, if it is also nearer to random letters
-#: than to its language's level.
-SLACK = 1.5
+#: Deviations (by the median one) above the median of its label beyond which a text is not learned from.
+OUTLYING = 8.0
+#: A text is rejected beyond so many times this quantile of the calibrated excess, if it is also this part of the way from
+#: its language's level to that of letters without order.
+QUANTILE, SLACK = 0.99, 2.0
+FAR = 0.75
 #: Letters beyond which a longer text does not narrow the calibrated excess.
 ENOUGH = 400
 _BITS = 16  # of an n-gram's code for each character; 0 is a word boundary
@@ -161,7 +167,7 @@ class Model:
     contexts: list[tuple[HashArray, np.ndarray]]
     uniform: float
     level: np.ndarray | None = None  #: by language: usual cross-entropy of its own texts
-    excess: float = np.inf  #: most that a text lies above its language's level, times the root of its letters
+    excess: np.ndarray | None = None  #: by language: how far a text may lie above that, times the root of its letters
 
     @staticmethod
     def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
@@ -216,14 +222,16 @@ class Model:
         return -sums / np.maximum(width, 1)[:, None], n_letters
 
     def calibrate(self, entropy: np.ndarray, n_letters: np.ndarray, label: np.ndarray) -> None:
-        self.level, over = np.zeros(len(self.names)), []
+        """Usual cross-entropy of each language's texts and what lies above it; a language without texts rejects none."""
+        self.level, self.excess = np.zeros(len(self.names)), np.full(len(self.names), np.inf)
         for j in range(len(self.names)):
-            own = (label == j) & (n_letters > 0)
-            if own.any():
-                weight = np.minimum(n_letters[own], ENOUGH)
-                self.level[j] = np.average(entropy[own, j], weights=weight)
-                over.append(((entropy[own, j] - self.level[j]) * np.sqrt(weight)).max())
-        self.excess = max(over, default=np.inf)
+            own = np.flatnonzero((label == j) & (n_letters > 0))
+            if len(own):
+                root = np.sqrt(np.minimum(n_letters[own], ENOUGH))
+                self.level[j] = _middle(entropy[own], root)
+                over = (entropy[own] - self.level[j]) * root
+                sure = over <= OUTLYING * _deviation(over)
+                self.excess[j] = max(np.quantile(over[sure], QUANTILE), 2 * _deviation(over))
 
     def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language (place in names; -1 without letters), score, rejected."""
@@ -234,10 +242,22 @@ class Model:
         best = entropy.argmin(1)
         lead = (entropy - entropy.min(1, keepdims=True)) * np.minimum(n_letters, 50)[:, None]
         score = 1 / np.exp(-np.minimum(lead, 700)).sum(1)
-        over = (entropy.min(1) - self.level[best]) * np.sqrt(np.minimum(n_letters, ENOUGH))
+        least = entropy.min(1)
+        over = (least - self.level[best]) * np.sqrt(np.minimum(n_letters, ENOUGH))
         none = n_letters == 0
-        far = entropy.min(1) > (self.level[best] - self.uniform) / 2  # uniform is a log-probability
-        return np.where(none, -1, best), np.where(none, 0.0, score), none | ((over > SLACK * self.excess) & far)
+        far = least - self.level[best] > FAR * (-self.uniform - self.level[best])  # uniform is a log-probability
+        return np.where(none, -1, best), np.where(none, 0.0, score), none | ((over > SLACK * self.excess[best]) & far)
+
+
+def _middle(x: np.ndarray, weight: np.ndarray) -> float:
+    order = np.argsort(x)
+    sums = np.cumsum(weight[order])
+    return float(x[order][np.searchsorted(sums, sums[-1] / 2)])
+
+
+def _deviation(x: np.ndarray) -> float:
+    """Standard deviation as the median one tells it; never zero."""
+    return max(1.4826 * float(np.median(np.abs(x - np.median(x)))), 0.05)
 
 
 def remainder(by: int) -> Column:
@@ -258,38 +278,90 @@ def fit(docs: DataFrame, learn_from: Column, sample_docs: int = SAMPLE_DOCS) ->
     shares = docs.sparkSession.createDataFrame([(s, min(1.0, sample_docs / n)) for s, n in sizes.items()], "lang string, share double")
     key = F.xxhash64("doc_id", text_key())
     sample = usable.join(F.broadcast(shares) if len(sizes) <= BROADCAST_LABELS else shares, "lang").where(F.pmod(key, F.lit(1 << 20)) < F.col("share") * (1 << 20))
-    sample = sample.select("lang", "text", (F.pmod(F.shiftright(key, 20), F.lit(CALIBRATE)) == 0).alias("calibrates"))
-
-    def count(batches):
-        for whole in batches:
-            for batch in tk.slices(whole):
-                labels = np.array(batch.column("lang").to_pylist(), object)
-                for s in np.unique(labels):
-                    folded, off = letters(batch.column("text").filter(pa.array(labels == s)))
-                    inner = np.ones(len(folded), bool)
-                    for k in range(ORDER - 1):
-                        inner[off[:-1] + k] = False  # padding predicts nothing
-                    gram, n = np.unique(codes(folded)[inner[ORDER - 1 :]], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([s] * len(n)), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
-
-    counted = sample.where(~F.col("calibrates")).mapInArrow(count, "lang string, gram long, n long")
-    grams = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    label, gram, n = grams["lang"].to_numpy(), grams["gram"].to_numpy().view(np.uint64), grams["n"].to_numpy()
-    model = Model.fit({s: (gram[label == s], n[label == s]) for s in np.unique(label)})
-    names = {s: j for j, s in enumerate(model.names)}
-
-    def measure(batches):
-        for whole in batches:
-            for batch in tk.slices(whole, most=1 << 20):
-                entropy, n_letters = model.entropies(batch.column("text"))
-                own = np.array([names.get(s, -1) for s in batch.column("lang").to_pylist()])
-                entropy = np.where(own[:, None] >= 0, entropy, 0)[np.arange(len(own)), own]
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(entropy), pa.array(n_letters.astype(np.int64))], names=["own", "entropy", "letters"])
-
-    held = sample.where("calibrates").mapInArrow(measure, "own long, entropy double, letters long").where("own >= 0").toPandas()
-    own = held["own"].to_numpy()
-    entropy = np.repeat(held["entropy"].to_numpy()[:, None], max(1, len(names)), 1)
-    model.calibrate(entropy, held["letters"].to_numpy(), own)
+    part = F.pmod(F.shiftright(key, 20), F.lit(2 * CALIBRATE))  # 0 and 1 calibrate, the others are the halves
+    sample = sample.select("lang", "text", F.when(part < 2, 2).otherwise(part % 2).cast("int").alias("half"))
+    learned = sample.where("half < 2")
+
+    def counted(texts: DataFrame, judge=None) -> list[Model]:
+        """Models of the halves; or, if texts are judged, one of all that pass."""
+
+        def count(batches):
+            for whole in batches:
+                for batch in tk.slices(whole):
+                    labels, half = np.array(batch.column("lang").to_pylist(), object), batch.column("half").to_numpy()
+                    good = np.ones(len(half), bool) if judge is None else judge(batch)
+                    for s in np.unique(labels):
+                        for k in (0, 1):
+                            some = (labels == s) & (half == k) & good
+                            if not some.any():
+                                continue
+                            folded, off = letters(batch.column("text").filter(pa.array(some)))
+                            inner = np.ones(len(folded), bool)
+                            for i in range(ORDER - 1):
+                                inner[off[:-1] + i] = False  # padding predicts nothing
+                            gram, n = np.unique(codes(folded)[inner[ORDER - 1 :]], return_counts=True)
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array([s] * len(n)), pa.array(np.full(len(n), k if judge is None else 0), pa.int32()), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))],
+                                names=["lang", "half", "gram", "n"],
+                            )
+
+        grams = texts.mapInArrow(count, "lang string, half int, gram long, n long").groupBy("lang", "half", "gram").agg(F.sum("n").alias("n")).toPandas()
+        label, half, gram, n = (grams[c].to_numpy() for c in ("lang", "half", "gram", "n"))
+        of = lambda k, s: (half == k) & (label == s)
+        return [Model.fit({s: (gram[x].view(np.uint64), n[x]) for s in np.unique(label) if (x := of(k, s)).any()}) for k in ((0, 1) if judge is None else (0,))]
+
+    def measured(batch: pa.RecordBatch, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of each row's label, its entropy under that, its letters; -1 and 0 if the model doesn't know the label."""
+        places = {s: j for j, s in enumerate(model.names)}
+        own = np.array([places.get(s, -1) for s in batch.column("lang").to_pylist()], np.int64)
+        if not model.names or not len(own):
+            return own, np.zeros(len(own)), np.zeros(len(own), np.int64)
+        entropy, n_letters = model.entropies(batch.column("text"))
+        return own, np.where(own >= 0, entropy[np.arange(len(own)), own], 0.0), n_letters
+
+    def measure(rows: DataFrame, of) -> tuple[np.ndarray, ...]:
+        """Label, entropy and letters of every row, by the model that ``of`` gives for its half."""
+
+        def run(batches):
+            for whole in batches:
+                for batch in tk.slices(whole, most=1 << 20):
+                    for k in (0, 1, 2):
+                        some = batch.filter(pa.array(batch.column("half").to_numpy() == k))
+                        if some.num_rows:
+                            own, entropy, n_letters = measured(some, of(k))
+                            known = own >= 0
+                            yield pa.RecordBatch.from_arrays(
+                                [some.column("lang").filter(pa.array(known)), pa.array(entropy[known]), pa.array(n_letters[known].astype(np.int64))], names=["lang", "entropy", "letters"]
+                            )
+
+        got = rows.mapInArrow(run, "lang string, entropy double, letters long").toPandas()
+        return got["lang"].to_numpy(), got["entropy"].to_numpy(), got["letters"].to_numpy()
+
+    halves = counted(learned)
+    label, entropy, n_letters = measure(learned, lambda k: halves[1 - k])
+    usual = {}
+    for s in np.unique(label):
+        own = (label == s) & (n_letters > 0)
+        if own.any():
+            root = np.sqrt(np.minimum(n_letters[own], ENOUGH))
+            level = _middle(entropy[own], root)
+            usual[s] = level, OUTLYING * _deviation((entropy[own] - level) * root)
+
+    def passes(batch: pa.RecordBatch) -> np.ndarray:
+        """Texts that the other half finds usual for their label, or can't judge."""
+        labels, half, good = np.array(batch.column("lang").to_pylist(), object), batch.column("half").to_numpy(), np.ones(batch.num_rows, bool)
+        for k in (0, 1):
+            some = np.flatnonzero(half == k)
+            if len(some):
+                own, entropy, n_letters = measured(batch.take(pa.array(some)), halves[1 - k])
+                level, most = (np.array([usual.get(s, (0.0, np.inf))[i] for s in labels[some]]) for i in (0, 1))
+                good[some] = (own < 0) | ((entropy - level) * np.sqrt(np.minimum(n_letters, ENOUGH)) <= most)
+        return good
+
+    model = counted(learned, passes)[0]
+    label, entropy, n_letters = measure(sample.where("half = 2"), lambda k: model)
+    places = {s: j for j, s in enumerate(model.names)}
+    model.calibrate(entropy, n_letters, np.array([places[s] for s in label], np.int64))
     return model
 
 
@@ -317,14 +389,21 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """Drop the documents whose text is rejected as none of the learned languages; columns as in ``docs``."""
+    """Drop the documents whose text is rejected as none of the learned languages; columns as in ``docs``.
+
+    Null texts and texts without letters are in no language and go. Where no language could be learned, as all labels, ids or texts are null,
+    every document stays. Repeated rows share their fate; clashing column names are kept apart.
+    """
     model = fit(docs, F.lit(True), sample_docs)
+    if not model.names:
+        return docs
     named = {c: f"__kept_{i}" for i, c in enumerate(docs.columns) if c.lower() in ("lang_pred", "score", "rejected")}
     marked = predict(docs.withColumnsRenamed(named), model)
     return marked.where("not rejected").drop("lang_pred", "score", "rejected").withColumnsRenamed({v: k for k, v in named.items()}).select(*docs.columns)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract columns of op 6, and ``rejected``: every row of ``documents``; a null doc_id is not held out nor learned from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs, remainder(3) != 1)
     rows = docs.select("doc_id", "text", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"))
