@@ -96,8 +96,11 @@ def groups(fp: np.ndarray, radius: int, level: int = 1) -> Iterator[tuple[np.nda
     yield from _search(fp, radius)
 
 
-def _search(fp: np.ndarray, radius: int, places: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links of each member to one that it is near to, as values or places; what a group has found leaves the rest."""
+def _search(fp: np.ndarray, radius: int, places: bool = False, also=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of each member to one that it is near to, as values or places; what a group has found leaves the rest.
+
+    ``also`` says of pairs of places within the radius which are near indeed.
+    """
     rest = np.arange(len(fp))
     while len(rest) > 1:
         rest, queue = rest[1:], [rest[:1]]
@@ -108,6 +111,9 @@ def _search(fp: np.ndarray, radius: int, places: bool = False) -> Iterator[tuple
                 queue.append(front[step:])
                 front = front[:step]
             near = np.bitwise_count(fp[rest, None] ^ fp[None, front]) <= radius
+            if also is not None:
+                i, j = np.nonzero(near)
+                near[i, j] = also(rest[i], front[j])
             hit = near.any(1)
             if hit.any():
                 found, by = rest[hit], front[near[hit].argmax(1)]
@@ -172,6 +178,11 @@ CLASS_WORDS = 3
 #: two fingerprints of 64 bits differ in 9.7 on average, with a deviation of 2.9.
 CLASS_RADIUS = 1
 WHOLE_RADIUS = 20
+#: Texts of so many words (or 3, 9, 27 ... times as many) have so many classes (times as many) more, in which fingerprints
+#: must be equal to meet; those with a fifth less have them too, as near-duplicates may.
+LONG, LONG_CLASSES, LEVELS = 600, 36, 10
+#: 64-bit words of the parities that a node carries into its buckets, and into those of prefixes.
+PARITY, WIDE_PARITY = 4, 16
 #: Pairs with one partner in common that a task compares, and nodes whose ids are broadcast (8 bytes each) at most.
 SPREAD = 1024
 BROADCAST_NODES = 1 << 20
@@ -187,21 +198,40 @@ def _signs(h: np.ndarray, group: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return sums, count
 
 
-def class_fingerprints(w: tk.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of each row's distinct words: FINE by class, COARSE by joined classes, one of all; and their words.
+def _classes(low: np.ndarray, row: np.ndarray, n: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by bit and words of each row's classes; distinct words (48 bits of hash) by row, ascending."""
+    group = row * classes + ((low * np.uint64(classes)) >> np.uint64(48)).astype(np.int64)
+    sums, count = _signs(tk.mix(low), group, n * classes)
+    return sums.reshape(n, classes, 64), count.reshape(n, classes)
+
+
+def _print(sums: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return np.packbits(2 * sums > count[..., None], axis=-1, bitorder="little").view("<u8")[..., 0]
+
+
+def class_fingerprints(w: tk.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Fingerprints of each row's distinct words: FINE by class, COARSE by joined classes, one of all; their words; and the
+    keys of the further classes of long texts.
 
     A few changed words leave most classes as they are, so near-duplicates meet in some of them.
     """
     n = len(w.first) - 1
     packed = np.unique((w.row().astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16)))
-    low = packed & np.uint64((1 << 48) - 1)
-    group = (packed >> np.uint64(48)).astype(np.int64) * FINE + ((low * np.uint64(FINE)) >> np.uint64(48)).astype(np.int64)
-    sums, count = _signs(tk.mix(low), group, n * FINE)
-    sums, count = sums.reshape(n, FINE, 64), count.reshape(n, FINE)
+    low, row = packed & np.uint64((1 << 48) - 1), (packed >> np.uint64(48)).astype(np.int64)
+    sums, count = _classes(low, row, n, FINE)
     joined = sums.reshape(n, COARSE, FINE // COARSE, 64).sum(2), count.reshape(n, COARSE, FINE // COARSE).sum(2)
     sums = np.concatenate([sums, joined[0], sums.sum(1, keepdims=True)], 1)
     count = np.concatenate([count, joined[1], count.sum(1, keepdims=True)], 1)
-    return np.packbits(2 * sums > count[:, :, None], axis=2, bitorder="little").view("<u8")[:, :, 0], count
+    more: list[list[np.ndarray]] = [[] for _ in range(n)]
+    begin, size = np.searchsorted(row, np.arange(n)), np.bincount(row, minlength=n)
+    for level in range(LEVELS):
+        classes = LONG_CLASSES * 3**level
+        for r in np.flatnonzero(w.count >= 0.8 * LONG * 3**level):
+            own = low[begin[r] : begin[r] + size[r]]
+            fp, held = _classes(own, np.zeros(len(own), np.int64), 1, classes)
+            sure = np.flatnonzero(held[0] >= CLASS_WORDS)
+            more[r].append(tk.join_hash(_print(fp, held)[0][sure], (sure + (level + 1) * (1 << 20)).astype(np.uint64)))
+    return _print(sums, count), count, [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in more]
 
 
 def shingle_sets(w: tk.Words, h: np.ndarray, size: int = STAGE_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -218,58 +248,91 @@ def shingle_sets(w: tk.Words, h: np.ndarray, size: int = STAGE_SHINGLE) -> tuple
     return packed & np.uint64(0xFFFFFFFF), (packed >> np.uint64(32)).astype(np.int64)
 
 
+def parities(own: np.ndarray, row: np.ndarray, n: int, words: int) -> np.ndarray:
+    """For each of ``n`` rows in ``words`` of 64 bits whether an odd number of its shingles has each place.
+
+    Two rows differ in no more bits than they have shingles of their own, so this rules out pairs, and never a true one.
+    """
+    width = 64 * words
+    place = row * width + (tk.mix(own + tk._K1) % np.uint64(width)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=n * width) & 1).astype(bool).reshape(n, width), axis=1, bitorder="little").view("<u8").reshape(n, words)
+
+
+def _may(n: np.ndarray, parity: np.ndarray, least: float):
+    """Whether pairs of rows, with ``n`` shingles and these parities, can have the similarity."""
+    most = (1 - least) / (1 + least)
+
+    def may(i, j):
+        apart = most * (n[i] + n[j]) + 1e-9  # shingles that only one of them may have
+        out = np.abs(n[i] - n[j]) <= apart
+        some = np.flatnonzero(out)
+        for at in range(0, len(some), 1 << 18):
+            k = some[at : at + (1 << 18)]
+            out[k] = np.bitwise_count(parity[i[k]] ^ parity[j[k]]).sum(1, dtype=np.int64) <= apart[k]
+        return out
+
+    return may
+
+
 def sketched(docs: DataFrame, text: str, size: int = STAGE_SHINGLE) -> DataFrame:
-    """``docs`` with a number for each row, ``classes`` (a fingerprint for each class, null for one with few words), ``whole``
-    (the fingerprint of the shingles) and ``shingles`` (their set, four bytes each, ascending). All null without words."""
+    """``docs`` with a number for each row, ``classes`` (a fingerprint for each class, null for one with few words), ``more``
+    (keys of a long text's further classes), ``whole`` (the fingerprint of the shingles), ``parity`` and ``shingles`` (their
+    set, four bytes each, ascending). ``classes`` and ``whole`` are null without words."""
     rows = docs.withColumn("row", F.monotonically_increasing_id())
-    added = {"classes": "array<long>", "whole": "long", "shingles": "binary"}
+    added = {"classes": "array<long>", "more": "array<long>", "whole": "long", "parity": "array<long>", "shingles": "binary"}
     schema = rows.select("*", *(F.lit(None).cast(t).alias(c) for c, t in added.items())).schema
 
+    def lists(parts: np.ndarray, size, **kwargs) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(parts.view(np.int64), mask=kwargs.get("inner")), mask=kwargs.get("mask"))
+
     def run(batches):
         for whole in batches:
             for batch in tk.slices(whole, text, 1 << 20):
                 for at in range(0, batch.num_rows, 4096):
                     part = batch.slice(at, 4096)
+                    m = part.num_rows
                     w = tk.words(part.column(text), lower=True)
                     h = tk.hashes(w)
-                    fp, count = class_fingerprints(w, h)
+                    fp, count, more = class_fingerprints(w, h)
                     sure = count >= CLASS_WORDS
                     sure[:, -1] = count[:, -1] > 0
                     own, row = shingle_sets(w, h, size)
-                    sums, n = _signs(tk.mix(own), row, part.num_rows)
-                    prints = np.packbits(2 * sums > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
-                    none = n == 0
-                    classes = pa.ListArray.from_arrays(
-                        pa.array(np.arange(0, fp.size + 1, fp.shape[1]), pa.int32()), pa.array(fp.ravel().view(np.int64), mask=~sure.ravel()), mask=pa.array(none)
-                    )
+                    sums, n = _signs(tk.mix(own), row, m)
+                    none = pa.array(n == 0)
                     offsets = np.concatenate([[0], np.cumsum(4 * n)]).astype(np.int32)
-                    sets = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(own.astype("<u4").tobytes())])
-                    yield pa.RecordBatch.from_arrays([*part.columns, classes, pa.array(prints.view(np.int64), mask=none), sets], names=schema.names)
+                    sets = pa.BinaryArray.from_buffers(pa.binary(), m, [None, pa.py_buffer(offsets), pa.py_buffer(own.astype("<u4").tobytes())])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *part.columns,
+                            lists(fp.ravel(), np.full(m, fp.shape[1]), inner=~sure.ravel(), mask=none),
+                            lists(np.concatenate([np.zeros(0, np.uint64), *more]), [len(x) for x in more]),
+                            pa.array(_print(sums, n).view(np.int64), mask=n == 0),
+                            lists(parities(own, row, m, PARITY).ravel(), np.full(m, PARITY)),
+                            sets,
+                        ],
+                        names=schema.names,
+                    )
 
     return rows.mapInArrow(run, schema)
 
 
-def candidates(sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that meet in a class and whose shingles' fingerprints are near; ``sketches`` (node, classes, whole).
+def candidates(sketches: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of nodes that meet in a class, have fingerprints of their shingles near each other, and parities that
+    allow for the similarity; ``sketches`` (node, classes, more, whole, parity, n).
 
     Of each connected group in a bucket as many pairs come out as it has nodes, each pair near by itself.
     """
     own = masks(CLASS_RADIUS)
-    one = sketches.select("node", "whole", F.posexplode("classes").alias("slot", "fp")).where("fp is not null")
-    keys = F.array(*(F.xxhash64("slot", F.lit(k), F.col("fp").bitwiseAND(F.lit(int(m.astype(np.int64))))) for k, m in enumerate(own)))
-    rows = one.select(F.explode(keys).alias("key"), "whole", "node")
+    keys = lambda fp, slot: [F.when(fp.isNotNull(), F.xxhash64(slot, F.lit(k), fp.bitwiseAND(F.lit(int(m.astype(np.int64)))))) for k, m in enumerate(own)]
+    every = F.concat("more", F.flatten(F.transform("classes", lambda fp, slot: F.array(*keys(fp, slot)))))
+    columns = ("whole", "node", "n", *(f"p{k}" for k in range(PARITY)))
+    rows = sketches.select(F.explode(every).alias("key"), "whole", "node", "n", *(F.get("parity", F.lit(k)).alias(f"p{k}") for k in range(PARITY))).where("key is not null")
 
     def meet(batches):
-        for _, rows in _buckets(batches, ("key", "whole", "node"), 1):
-            whole, first = np.unique(rows[:, 1], return_index=True)
-            node = rows[first, 2]
-            same = np.ones(len(rows), bool)
-            same[first] = False
-            at = np.searchsorted(whole, rows[same, 1])
-            pairs = [(rows[same, 2], node[at])] if same.any() else []
-            pairs += [(node[a], node[b]) for a, b in _search(whole.view(np.uint64), WHOLE_RADIUS, places=True)]
-            for a, b in pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+        for _, rows in _buckets(batches, ("key", *columns), 1):
+            node, near = rows[:, 2], _may(rows[:, 3], rows[:, 4:].view(np.uint64), least)
+            for a, b in _search(np.ascontiguousarray(rows[:, 1]).view(np.uint64), WHOLE_RADIUS, places=True, also=near):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[a], node[b])), pa.array(np.minimum(node[a], node[b]))], names=["a", "b"])
 
     dealt = rows.repartition("key").sortWithinPartitions("key", "whole", "node")
     return dealt.mapInArrow(meet, "a long, b long").where("a <> b").distinct()
@@ -329,102 +392,100 @@ def similar(shingles: DataFrame, pairs: DataFrame, least: float = SIMILARITY) ->
 
 
 def prefixes(shingles: DataFrame, rest: DataFrame, least: float) -> DataFrame:
-    """For each node of ``rest`` (node, cluster) its size and its prefix.
+    """For each node of ``rest`` (node, cluster) its size, its prefix and its wide parity.
 
     Sets with a Jaccard similarity of ``least`` share one of the n - ceil(least n) + 1 shingles of each that are rarest in
     the cluster; of these the prefix holds those that another node of the cluster has as well.
     """
 
+    def sets(batch):
+        n = np.array([len(x.as_buffer()) // 4 for x in batch.column("shingles")], np.int64)
+        return np.frombuffer(b"".join(x.as_buffer() for x in batch.column("shingles")), "<u4").astype(np.uint64), np.repeat(np.arange(len(n)), n), n
+
     def apart(batches):
-        for batch in batches:
-            body = batch.column("shingles")
-            n = np.array([len(x.as_buffer()) // 4 for x in body], np.int64)
-            row = np.repeat(np.arange(len(n)), n)
-            own = np.frombuffer(b"".join(x.as_buffer() for x in body), "<u4").astype(np.int64)
-            for at in range(0, len(row), 1 << 18):
-                some = row[at : at + (1 << 18)]
+        for whole in batches:
+            for batch in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
+                own, row, n = sets(batch)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("cluster").take(pa.array(some)), batch.column("node").take(pa.array(some)), pa.array(n[some]), pa.array(own[at : at + (1 << 18)])],
-                    names=["cluster", "node", "n", "s"],
+                    [*(batch.column(c).take(pa.array(row)) for c in ("cluster", "node")), pa.array(n[row]), pa.array(own.astype(np.int64))], names=["cluster", "node", "n", "s"]
                 )
 
-    each = rest.join(shingles, "node").select("cluster", "node", "shingles").mapInArrow(apart, "cluster long, node long, n long, s long")
+    def wide(batches):
+        for whole in batches:
+            for batch in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
+                own, row, n = sets(batch)
+                out = parities(own, row, len(n), WIDE_PARITY).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(list(out), pa.list_(pa.int64()))], names=["node", "parity"])
+
+    held = written(rest.join(shingles, "node").select("cluster", "node", "shingles"), "simhash-rest")
+    each = held.mapInArrow(apart, "cluster long, node long, n long, s long")
     shared = each.groupBy("cluster", "s").agg(F.count("*").alias("c")).where("c > 1")
     of = each.join(shared, ["cluster", "s"]).groupBy("cluster", "node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("own"))
     room = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1 - (F.col("n") - F.size("own"))
     prefix = F.when(room > 0, F.slice("own", F.lit(1), F.greatest(room, F.lit(1)).cast("int"))["s"]).otherwise(F.array().cast("array<long>"))
-    return of.select("cluster", "node", "n", prefix.alias("prefix"))
+    return of.select("cluster", "node", "n", prefix.alias("prefix")).join(held.mapInArrow(wide, "node long, parity array<long>"), "node")
 
 
-def posted(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of ``rows`` (cluster, node, root, n, prefix) that share a prefix shingle, have sizes that allow for
-    ``least``, and are not linked yet (other roots)."""
+def posted(rows: DataFrame, least: float, every: bool = False) -> DataFrame:
+    """Pairs (a, b) of ``rows`` (cluster, node, root, n, prefix, parity) that share a prefix shingle, can be similar by size and
+    parity, and are not linked yet (other roots): of each group that is so connected in a bucket one pair a node, or ``every`` one."""
+    columns = ("cluster", "s", "node", "root", "n", *(f"p{k}" for k in range(WIDE_PARITY)))
 
     def pairs(batches):
-        for _, rows in _buckets(batches, ("cluster", "s", "node", "root", "n"), 2):
-            node, root, n = rows[:, 2], rows[:, 3], rows[:, 4]
-            step = max(1, (1 << 20) // len(rows))
-            for at in range(0, len(rows), step):
-                front = slice(at, at + step)
-                fits = (root[front, None] != root[None]) & (node[front, None] > node[None])
-                fits &= np.minimum(n[front, None], n[None]) >= least * np.maximum(n[front, None], n[None]) - 1e-9
-                a, b = np.nonzero(fits)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(node[front][a]), pa.array(node[b])], names=["a", "b"])
-
-    dealt = rows.select("cluster", F.explode("prefix").alias("s"), "node", "root", F.col("n").cast("long").alias("n"))
+        for _, rows in _buckets(batches, columns, 2):
+            node, root, near = rows[:, 2], rows[:, 3], _may(rows[:, 4], rows[:, 5:].view(np.uint64), least)
+            if every:
+                step = max(1, (1 << 20) // len(rows))
+                for at in range(0, len(rows), step):
+                    a, b = np.nonzero((root[at : at + step, None] != root) & (node[at : at + step, None] > node))
+                    fits = near(a + at, b)
+                    yield pa.RecordBatch.from_arrays([pa.array(node[a[fits] + at]), pa.array(node[b[fits]])], names=["a", "b"])
+            else:
+                _, state = np.unique(root, return_inverse=True)
+                for a, b in _search(np.zeros(len(rows), np.uint64), 0, places=True, also=lambda i, j: (state[i] == state[j]) | near(i, j)):
+                    new = root[a] != root[b]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[a], node[b])[new]), pa.array(np.minimum(node[a], node[b])[new])], names=["a", "b"])
+
+    dealt = rows.select("cluster", F.explode("prefix").alias("s"), "node", "root", F.col("n").cast("long").alias("n"), *(F.get("parity", F.lit(k)).alias(f"p{k}") for k in range(WIDE_PARITY)))
     dealt = dealt.repartition("cluster", "s").sortWithinPartitions("cluster", "s")
     return dealt.mapInArrow(pairs, "a long, b long").distinct()
 
 
-def middles(clusters: DataFrame, sketches: DataFrame) -> DataFrame:
-    """For each cluster its size and its ``middle``: the node whose fingerprint is nearest to the bits that most nodes have."""
-    both = clusters.join(sketches.select("node", "whole"), "node")
-    bit = lambda i: F.shiftrightunsigned("whole", i).bitwiseAND(F.lit(1))
-    sums = both.groupBy("cluster").agg(F.count("*").alias("size"), *(F.sum(bit(i)).alias(f"__{i}") for i in range(64)))
-    most = [F.when(2 * F.col(f"__{i}") > F.col("size"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")) for i in range(64)]
-    common = most[0]
-    for part in most[1:]:
-        common = common.bitwiseOR(part)
-    near = both.join(sums.select("cluster", "size", common.alias("common")), "cluster")
-    return near.groupBy("cluster").agg(F.first("size").alias("size"), F.min_by("node", F.struct(F.bit_count(F.col("whole").bitwiseXOR(F.col("common"))), "node")).alias("middle"))
-
-
-def settled(rows: DataFrame, sketches: DataFrame, pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def settled(rows: DataFrame, pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Components (node, root) by true similarity, searched for among all nodes that ``pairs`` connect.
 
-    ``pairs`` give a node one partner a bucket, which need not be its true one. So in each cluster of connected nodes
-    first all are compared with the cluster's middle; in those that are not one yet then the pairs
-    themselves, and at last all pairs that can be similar by their prefixes and are not linked yet.
+    ``pairs`` give a node one partner a bucket, which need not be its true one: where a pair proves not to be similar,
+    all nodes that it is connected with are searched by their prefixes, one pair a node at first; if one of
+    these is not similar either, all pairs of theirs that their parities allow for.
     """
-    clusters = written(components(pairs).withColumnRenamed("root", "cluster"), "simhash-clusters")
-    few = clusters.count() <= BROADCAST_NODES
-    ids = clusters.select("node")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    few = 2 * pairs.count() <= BROADCAST_NODES
     sets = rows.select(F.col("row").alias("node"), "shingles")
     shingles = written(sets.join(F.broadcast(ids) if few else ids, "node", "left_semi"), "simhash-shingles")
-    hubs = middles(clusters, sketches)
-    spokes = written(clusters.join(hubs, "cluster").select(F.col("node").alias("a"), F.col("middle").alias("b"), "size", "cluster"), "simhash-spokes")
-    links = written(similar(shingles, spokes.where("a <> b").select("a", "b"), least), "simhash-links")
-
-    def apart():
-        """Nodes of clusters of more than two that are not one yet, with their roots; and the components so far."""
-        joined = components(links)
-        state = spokes.where("size > 2").select(F.col("a").alias("node"), "cluster").join(joined, "node", "left").select("node", "cluster", F.coalesce("root", "node").alias("root"))
-        several = state.groupBy("cluster").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cluster")
-        return written(state.join(several, "cluster", "left_semi"), "simhash-apart"), joined
-
-    rest, joined = apart()
-    if rest.isEmpty():
+    links = written(similar(shingles, pairs, least), "simhash-links")
+    joined, tried = components(links), pairs  # a tried pair of unlinked nodes is not similar
+    failed = written(pairs.join(links, ["a", "b"], "left_anti"), "simhash-failed")
+    if failed.isEmpty():
         return joined
-    own, other = rest.select(F.col("node").alias("a"), F.col("root").alias("ra")), rest.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    open_pairs = pairs.join(own, "a").join(other, "b").where("ra <> rb").select("a", "b").join(spokes.select("a", "b"), ["a", "b"], "left_anti")
-    links = written(links.unionByName(similar(shingles, written(open_pairs, "simhash-open"), least)), "simhash-links")
-    rest, joined = apart()
-    if rest.isEmpty():
+    clusters = components(pairs).withColumnRenamed("root", "cluster")
+    # two nodes have one pair, which has been compared
+    open_ = clusters.join(failed.select(F.col("b").alias("node")), "node").select("cluster").distinct()
+    open_ = clusters.join(open_, "cluster", "left_semi").groupBy("cluster").agg(F.count("*").alias("size")).where("size > 2").select("cluster")
+    clusters = written(clusters.join(open_, "cluster", "left_semi"), "simhash-open")
+    if clusters.isEmpty():
         return joined
-    prefixed = written(prefixes(shingles, rest.select("node", "cluster"), least), "simhash-prefixes")
-    found = written(similar(shingles, written(posted(prefixed.join(rest.select("node", "root"), "node"), least), "simhash-posted"), least), "simhash-links")
-    return joined if found.isEmpty() else components(links.unionByName(found))
+    prefixed = written(prefixes(shingles, clusters, least), "simhash-prefixes")
+    for every in (False, True):
+        state = prefixed.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        asked = written(posted(state, least, every), "simhash-posted")
+        found = written(similar(shingles, asked.join(tried, ["a", "b"], "left_anti"), least), "simhash-links")
+        links = links.unionByName(found)
+        if not found.isEmpty():
+            joined = components(links)
+        if asked.join(found, ["a", "b"], "left_anti").isEmpty():
+            break
+        tried = tried.unionByName(asked)
+    return joined
 
 
 def keep_one(docs: DataFrame, size: int = STAGE_SHINGLE, least: float = SIMILARITY, wordless: bool = False) -> DataFrame:
@@ -445,8 +506,9 @@ def keep_one(docs: DataFrame, size: int = STAGE_SHINGLE, least: float = SIMILARI
     order = F.struct(F.col(doc).isNull().alias("no_id"), F.col(doc).alias("doc_id"), F.col("row").alias("row"))
     has_word = F.col("classes").isNotNull()
     nodes = written(rows.where(has_word).groupBy("h1", "h2").agg(F.min(order).alias("best")).select("best"), "simhash-nodes")
-    sketches = rows.select(F.col("row").alias("node"), "classes", "whole").join(nodes.select(F.col("best.row").alias("node")), "node", "left_semi")
-    joined = settled(rows, sketches, written(candidates(sketches), "simhash-candidates"), least)
+    sketches = rows.select(F.col("row").alias("node"), "classes", "more", "whole", "parity", (F.octet_length("shingles") / 4).cast("long").alias("n"))
+    sketches = sketches.join(nodes.select(F.col("best.row").alias("node")), "node", "left_semi")
+    joined = settled(rows, written(candidates(sketches, least), "simhash-candidates"), least)
     classed = nodes.join(joined, F.col("best.row") == F.col("node"), "left").select(F.coalesce("root", F.col("best.row")).alias("root"), "best")
     stay = classed.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))
     none = rows.where(~has_word)
