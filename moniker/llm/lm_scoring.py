@@ -1,14 +1,15 @@
 """Language-model scoring by logistic context mixing, and by word frequencies.
 
-Texts are predicted bit by bit. For each of the contexts of the last one to five bytes a hashed table of bit counts,
-gathered from all texts learned from, predicts the next bit. It has two slots for each distinct (context, bit) of these texts,
-however many there are, and check bits, so that a context never seen is told from those seen. The predictions are mixed in the logistic domain
-by weights that a gate selects (which bit it is, how many contexts are known), learned online; a last table refines the
+Texts are predicted bit by bit. For each context (the last one to five bytes; the last six of the word so far, or at its
+beginning of the word before) a hashed table of counts, gathered from all texts learned from, predicts the next bit. The table has a row for each
+distinct (context, half byte) of these texts, however many there are, and check bits, so that a context never seen is told
+from those seen. What a pair of counts is worth is learned for each context, online, and so are the weights that mix the
+predictions in the logistic domain, by a gate (which bit it is, how many contexts are known); a last table refines the
 probability adaptively by what was actually seen at such predictions. The bits of a text add up to its score.
 
-The model is frozen when texts are scored: the score of a text hangs on nothing but the model and the text, so
-rows can be scored anywhere and again. As contexts have five bytes, a byte costs the same wherever its six bytes
-stand, and each distinct run of six is mixed once a batch.
+All texts learned from are learned from: each task does so online over its own, leaving the bit at hand out of the counts, and what the tasks
+have learned is averaged by how much each has seen. Then the model is frozen: the score of a text hangs on nothing but the model and
+the text, so rows can be scored anywhere and again, and equal contexts are mixed once a batch.
 """
 
 from __future__ import annotations
@@ -25,20 +26,26 @@ from .language import remainder
 from .shared import table, text_key, written
 
 ORDERS = (1, 2, 3, 4, 5)
-#: Slots of the table for each distinct (context, bit).
-ROOM = 2
-#: Bits of the key of a (context, bit), and leading bits of it that name a block, which is sent and summed at once.
-KEY_BITS, BLOCK_BITS = 48, 10
+CONTEXTS = len(ORDERS) + 1
+#: Last bytes of a word, or of its beginning so far, that are a context.
+PREFIX = 6
+#: Slots of the table for each row.
+ROOM = 1.6
+#: Leading bits of a row's key that name a block, which is sent and summed at once.
+BLOCK_BITS = 10
 #: Keys that a task holds before it sums those that are equal.
 HELD = 1 << 21
-#: Documents, chosen by a hash, that the weights are learned from, 6-byte runs of a step, and steps.
-WEIGHT_DOCS = 400
-STEP = 2048
-STEPS = 200
+#: Distinct runs of a step of learning.
+STEP = 4096
 #: Text whose runs are told apart at once, in bytes: the more, the fewer distinct ones there are to mix.
 SLICE = 4 << 20
-#: The same when counting, where the keys of a slice are held.
-COUNT_SLICE = 1 << 20
+#: The same when counting and learning, where more is held for each run.
+COUNT_SLICE = 2 << 20
+#: Groups in which the tasks' results are added before the driver gets them.
+GROUPS = 16
+#: Counts are told apart exactly up to this sum; above, sums by these bounds and chances by this many levels of their logit.
+EXACT = 5
+SUMS, CHANCES = np.array([13, 41, 201]), 58
 #: Most frequent words whose counts are broadcast (16 bytes each); the rest is joined.
 FREQUENT = 1 << 20
 #: Hash that stands for the end of a text among the words.
@@ -47,101 +54,154 @@ END = np.uint64(0xE2D0E2D0E2D0E2D1)
 _BUCKETS, _RANGE = 24, 8.0
 
 
-def _runs(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte of every text, and a zero byte after each: it and the five before it, and the row."""
-    raw, off = tk.buffers(batch)
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every byte of every text, and a zero byte after each: it and the five before it, the hash of its word context, and the row."""
+    raw, off = tk.buffers(texts)
     n = len(off) - 1
-    out = np.zeros(len(raw) + 6 * n, np.uint8)  # five zeros before and one after each text
     size = np.diff(off)
+    out = np.zeros(len(raw) + 6 * n, np.uint8)  # five zeros before and one after each text
     begin = np.cumsum(size + 6) - (size + 6) + 5
-    at = np.repeat(begin - off[:-1], size) + np.arange(len(raw))
-    out[at] = raw
-    code = np.zeros(max(0, len(out) - 5), np.uint64)
+    out[np.repeat(begin - off[:-1], size) + np.arange(len(raw))] = raw
+    m = len(out)
+    code = np.zeros(max(0, m - 5), np.uint64)
     for k in range(6):
-        code = (code << np.uint64(8)) | out[k : len(out) - 5 + k]
+        code = (code << np.uint64(8)) | out[k : m - 5 + k]
+    # the word so far, as a difference of sums; after a word that word; after two separators nothing
+    apart = ~tk.NON_SPACE[out] | (out == 0)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((out.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, m), dtype=np.uint64)])
+    since = np.concatenate([np.zeros(1, np.int64), np.maximum.accumulate(np.where(apart, np.arange(1, m + 1), 0))])[:m]
+    first = since == np.arange(m)
+    since = np.maximum(since, np.arange(m) - PREFIX)
+    word = (sums[:m] - sums[since]) * _powers(_INVERSE, m + 1)[since] + np.uint64(1)
+    before = np.concatenate([np.zeros(1, np.uint64), word[:-1]])
+    after = np.concatenate([[False], first[:-1]])
+    word = np.where(first, np.where(after, np.uint64(0), before * tk._K3), word)
     row = np.repeat(np.arange(n), size + 6)[: len(code)]
-    inner = np.ones(len(code), bool)  # a run ends in its row if it begins so that five bytes are left there
     last = np.repeat(begin + size + 1, size + 6)[: len(code)]
-    inner &= np.arange(len(code)) + 6 <= last
-    return code[inner], row[inner]
+    inner = np.arange(len(code)) + 6 <= last  # a run ends in its row if it begins so that five bytes are left there
+    return code[inner], word[5:][inner], row[inner]
 
 
-def _slots(code: np.ndarray) -> list[np.ndarray]:
-    """Hash of each order's context."""
-    return [_context(code, o) for o in ORDERS]
+def distinct(code: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of one of each distinct (code, word), which of them each is, and how often they occur."""
+    key = tk.join_hash(code, word)
+    order = np.argsort(key)
+    new = np.diff(key[order], prepend=~key[order[:1]]) != 0
+    which = np.empty(len(key), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which, np.diff(np.append(np.flatnonzero(new), len(key)))
 
 
-def _context(code: np.ndarray, order: int) -> np.ndarray:
-    return tk.mix(((code >> np.uint64(8)) & np.uint64((1 << (8 * order)) - 1)) * np.uint64(8) + np.uint64(order))
+def _contexts(code: np.ndarray, word: np.ndarray) -> list[np.ndarray]:
+    """Hash of each context of the last byte."""
+    own = [tk.mix(((code >> np.uint64(8)) & np.uint64((1 << (8 * o)) - 1)) * np.uint64(8) + np.uint64(o)) for o in ORDERS]
+    return [*own, tk.mix(word + tk._K1)]
 
 
-def _keys(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return ((context ^ (node.astype(np.uint64) * tk._K1)) * tk._K3) >> np.uint64(64 - KEY_BITS)
+def _row_keys(context: np.ndarray, high: np.ndarray | None = None) -> np.ndarray:
+    """Key of the row of the upper half byte, or, after ``high``, of the lower; the last four bits are zero."""
+    return (context if high is None else tk.mix(context + (high + np.uint64(1)) * tk._K1)) & ~np.uint64(15)
 
 
-def _summed(keys: list[np.ndarray], *columns: list[np.ndarray]) -> list[np.ndarray]:
-    """Distinct keys, sorted, and for each of the columns the sums of its counts."""
-    key = np.concatenate(keys)
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their counts."""
+    key, n = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(key)
     key = key[order]
     first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
-    return [key[first], *(np.add.reduceat(np.concatenate(c)[order], first) if len(first) else np.concatenate(c) for c in columns)]
+    return key[first], np.add.reduceat(n[order], first) if len(first) else n
 
 
-def count_bits(code: np.ndarray, times: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """What the runs say: keys, and counts of zeros (upper 32 bits) and ones (lower)."""
+def count_halves(code: np.ndarray, word: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What distinct runs say: keys (row and half byte) and how often."""
+    high, low = (code >> np.uint64(4)) & np.uint64(15), code & np.uint64(15)
     keys, counts = [], []
-    for o in reversed(ORDERS):
-        code, times = _summed([code & np.uint64((1 << (8 * o + 8)) - 1)], [times])
-        context = _context(code, o)
-        for depth in range(8):
-            head = code >> np.uint64(8 - depth)
-            first = np.flatnonzero(np.diff(head, prepend=~head[:1]))
-            one = (code >> np.uint64(7 - depth)) & np.uint64(1)
-            node = (code[first] & np.uint64(255)) >> np.uint64(8 - depth) | np.uint64(1 << depth)
-            keys.append(_keys(context[first], node))
-            counts.append(np.add.reduceat(times << (np.uint64(32) * (one ^ np.uint64(1))), first))
-    return keys, counts
+    for context in _contexts(code, word):
+        key, n = _summed([_row_keys(context) | high, _row_keys(context, high) | low], [times, times])
+        keys.append(key)
+        counts.append(n)
+    return np.concatenate(keys), np.concatenate(counts)
+
+
+def _states(counts: np.ndarray) -> np.ndarray:
+    """For each row of 16 counts the states of its nodes 1 to 15."""
+    out = np.zeros((len(counts), 16), np.uint8)
+    for depth in range(4):
+        sides = counts.reshape(len(counts), 1 << depth, 2, 8 >> depth).sum(3)
+        out[:, 1 << depth : 2 << depth] = state_of(sides[:, :, 0], sides[:, :, 1])
+    return out
+
+
+_FEW = (EXACT + 1) * (EXACT + 2) // 2
+
+
+def state_of(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """A byte for counts of zeros and ones; 0 if there are none."""
+    total = zeros + ones
+    level = np.clip(np.rint((np.log((ones + 0.4) / (zeros + 0.4)) + _RANGE) * ((CHANCES - 1) / (2 * _RANGE))), 0, CHANCES - 1).astype(np.int64)
+    return np.where(total <= EXACT, total * (total + 1) // 2 + ones, _FEW + np.searchsorted(SUMS, total, "right") * CHANCES + level).astype(np.uint8)
+
+
+_PAIRS = [(n - k, k) for n in range(EXACT + 1) for k in range(n + 1)]
+#: What a state says before anything has been learned, and the state after one zero, or one, has been left out of it (if exact).
+_START = np.zeros(256)
+_START[:_FEW] = [np.log((b + 0.4) / (a + 0.4)) for a, b in _PAIRS]
+_START[_FEW : _FEW + (len(SUMS) + 1) * CHANCES] = np.tile(np.linspace(-_RANGE, _RANGE, CHANCES), len(SUMS) + 1)
+_LESS = np.tile(np.arange(256), (2, 1))
+_LESS[0, :_FEW] = [state_of(np.array(max(a - 1, 0)), np.array(b)) for a, b in _PAIRS]
+_LESS[1, :_FEW] = [state_of(np.array(a), np.array(max(b - 1, 0))) for a, b in _PAIRS]
 
 
 class Mixer:
-    """Counts by slot, weights by gate, refinement by node and prediction.
+    """States by row, their worth by context, weights by gate, refinement by node and prediction.
 
-    Made of ``blocks`` of sorted keys and their counts, in order, ``size`` keys in all. A key stands in the first free slot
-    from its home on, with its last 16 bits as check (0: free); a key that is not there is mistaken for another of its
+    Made of ``blocks`` of sorted keys and their counts, in order, ``size`` rows in all. A row stands in the first free slot
+    from its home on, with 16 bits of its key as check (0: free); a row that is not there is mistaken for another of its
     neighbourhood once in 65,536 times a slot looked at.
     """
 
     def __init__(self, blocks, size: int):
-        self.slots = ROOM * size + 1
+        self.slots = int(ROOM * size) + 1
         self.check = np.zeros(self.slots + size + 1, np.uint16)
-        self.counts = np.zeros((len(self.check), 2), np.uint16)
-        free = 0
-        for key, counts in blocks:
-            most = counts.max(1, keepdims=True)
-            scale = np.where(most > 60000, 60000 / np.maximum(most, 1), 1.0)
-            home = self.home(key)
-            step = np.arange(len(key))
+        self.place = np.zeros(len(self.check), np.uint32)
+        known, free = {bytes(16): 0}, 0  # rows with equal states, as most are, are one
+        for key, n in blocks:
+            row = key >> np.uint64(4)
+            first = np.flatnonzero(np.diff(row, prepend=~row[:1]))
+            counts = np.zeros((len(first), 16), np.int64)
+            counts[np.cumsum(np.isin(np.arange(len(row)), first)) - 1, (key & np.uint64(15)).astype(np.int64)] = n
+            key = key[first] & ~np.uint64(15)
+            home, step = self.home(key), np.arange(len(key))
             at = np.maximum(np.maximum.accumulate(home - step), free) + step
-            self.check[at] = self.mark(key)
-            self.counts[at] = np.ceil(counts * scale).astype(np.uint16)
+            states, which = np.unique(_states(counts).view("V16").ravel(), return_inverse=True)
+            self.check[at], self.place[at] = self.mark(key), np.array([known.setdefault(x.tobytes(), len(known)) for x in states], np.uint32)[which]
             free = int(at[-1]) + 1
         used = max(free, self.slots) + 1  # one that is free ends every search
-        self.check, self.counts = self.check[:used].copy(), self.counts[:used].copy()
-        inputs = len(ORDERS) + 1
-        self.weights = np.full((8 * inputs, inputs), 0.35)
+        self.check, self.place = self.check[:used].copy(), self.place[:used].copy()
+        self.state = np.frombuffer(b"".join(known), np.uint8)
+        self.worth = np.repeat(_START[None], CONTEXTS, 0)
+        self.weights = np.full((8 * (CONTEXTS + 1), CONTEXTS + 1), 0.25)
         self.refined = np.repeat(_squash(np.linspace(-_RANGE, _RANGE, _BUCKETS))[None], 256, 0)
 
     def home(self, key: np.ndarray) -> np.ndarray:
-        return (((key >> np.uint64(KEY_BITS - 32)) * np.uint64(self.slots)) >> np.uint64(32)).astype(np.int64)
+        return (((key >> np.uint64(32)) * np.uint64(self.slots)) >> np.uint64(32)).astype(np.int64)
 
     @staticmethod
     def mark(key: np.ndarray) -> np.ndarray:
-        return np.maximum((key & np.uint64(0xFFFF)).astype(np.uint16), np.uint16(1))
+        return np.maximum(((key >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.uint16), np.uint16(1))
 
-    def slot(self, context: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """Where the counts are: a free slot, which holds zeros, if there are none."""
-        key = _keys(context, node)
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        """Where the states of each row begin: zeros, if it isn't there."""
         at, mark = self.home(key), self.mark(key)
         got = self.check[at]
         far = np.flatnonzero((got != mark) & (got != 0))
@@ -149,177 +209,200 @@ class Mixer:
             at[far] += 1
             got = self.check[at[far]]
             far = far[(got != mark[far]) & (got != 0)]
-        return at
-
-    def predict(self, contexts, node, k, less=None):
-        """Probability of a one with all that learning needs. ``less``: this bit, to be left out of the counts."""
-        x, known = np.empty((len(node), len(ORDERS) + 1)), np.zeros(len(node), np.int64)
-        for j, context in enumerate(contexts):
-            n = self.counts[self.slot(context, node)].astype(np.float64)
-            if less is not None:
-                n[np.arange(len(n)), less] = np.maximum(n[np.arange(len(n)), less] - 1, 0)
-            x[:, j] = np.log((n[:, 1] + 0.4) / (n[:, 0] + 0.4))
-            known += n.sum(1) > 0
-        x[:, -1] = 0.3
-        gate = (7 - k) * x.shape[1] + known
-        dot = np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -_RANGE, _RANGE)
-        at = (dot + _RANGE) * ((_BUCKETS - 1) / (2 * _RANGE))
+        return self.place[at].astype(np.int64) * 16
+
+    def mixed(self, states: list[np.ndarray], node: np.ndarray, k: int, worth, weights, refined):
+        """Probability of a one, and all that learning needs."""
+        x = [own[state] for own, state in zip(worth, states, strict=True)]
+        gate = (7 - k) * (CONTEXTS + 1) + sum((state != 0).astype(np.int64) for state in states)
+        weight = weights[gate]
+        dot = weight[:, -1] * np.float32(0.3)
+        for j, v in enumerate(x):
+            dot += weight[:, j] * v
+        np.clip(dot, -_RANGE, _RANGE, out=dot)
+        at = (dot + np.float32(_RANGE)) * np.float32((_BUCKETS - 1) / (2 * _RANGE))
         low = np.minimum(at.astype(np.int64), _BUCKETS - 2)
         part = at - low
-        seen = self.refined[node, low] * (1 - part) + self.refined[node, low + 1] * part
-        p = np.clip((_squash(dot) + seen) / 2, 1e-5, 1 - 1e-5)
-        return p, x, gate, dot, low, part
-
-    def learn(self, code: np.ndarray, rate: float) -> None:
-        """One step online: all bits of the runs, in turn."""
-        contexts, node = _slots(code), np.ones(len(code), np.int64)
+        place = node * _BUCKETS + low
+        seen = refined[place] * (1 - part) + refined[place + 1] * part
+        p = _squash(dot)
+        return np.clip((p + seen) / 2, 1e-5, 1 - 1e-5), p, x, gate, place, part
+
+    def _bits(self, code: np.ndarray, word: np.ndarray):
+        """For each bit from the upper on: its place, the bits, their nodes in the byte, and the states of the contexts."""
+        contexts, node = _contexts(code, word), np.ones(len(code), np.int64)
+        high = (code >> np.uint64(4)) & np.uint64(15)
         for k in range(7, -1, -1):
+            if k == 7:
+                slots = [self.slot(_row_keys(c)) for c in contexts]
+            elif k == 3:
+                slots = [self.slot(_row_keys(c, high)) for c in contexts]
             bit = ((code >> np.uint64(k)) & np.uint64(1)).astype(np.int64)
-            _, x, gate, dot, low, part = self.predict(contexts, node, k, less=bit)
-            error = bit - _squash(dot)
-            size = np.bincount(gate, minlength=len(self.weights))
-            for j in range(x.shape[1]):
-                self.weights[:, j] += rate * np.bincount(gate, error * x[:, j], len(self.weights)) / np.maximum(size, 1)
-            for at, share in ((low, 1 - part), (low + 1, part)):
-                place = node * _BUCKETS + at
-                total = np.bincount(place, share, 256 * _BUCKETS).reshape(256, _BUCKETS)
-                ones = np.bincount(place, share * bit, 256 * _BUCKETS).reshape(256, _BUCKETS)
-                self.refined += 0.02 * (ones - total * self.refined) / np.maximum(1, 0.02 * total)
+            inner = node if k > 3 else (1 << (3 - k)) | (node & ((1 << (3 - k)) - 1))
+            yield k, bit, node, [self.state[s + inner] for s in slots]
             node = 2 * node + bit
 
-    def freeze(self) -> None:
-        """Keep of the counts what scoring needs: each slot's prediction; 0 where nothing has been seen."""
-        self.stretch = np.zeros(len(self.counts), np.float32)
-        for first in range(0, len(self.counts), 1 << 20):
-            n = self.counts[first : first + (1 << 20)].astype(np.float32)
-            stretch = np.log((n[:, 1] + np.float32(0.4)) / (n[:, 0] + np.float32(0.4)))
-            self.stretch[first : first + (1 << 20)] = np.where(n.sum(1) > 0, np.where(stretch == 0, np.float32(1e-6), stretch), np.float32(0))
-        self.mix = self.weights.astype(np.float32)
-        self.refine = self.refined.astype(np.float32).ravel()
-        del self.counts
-
-    def cost(self, code: np.ndarray) -> np.ndarray:
+    def learned(self, parts) -> list[np.ndarray] | None:
+        """What ``parts`` of distinct runs (code, word, times) teach, online: sums that can be added to those of others."""
+        worth, weights, refined = self.worth.copy(), self.weights.copy(), self.refined.ravel().copy()
+        ones, total = np.zeros((CONTEXTS, 256)), np.zeros((CONTEXTS, 256))
+        ones_at, total_at = np.zeros(256 * _BUCKETS), np.zeros(256 * _BUCKETS)
+        start, seen, step = _squash(self.worth), np.zeros(len(weights)), 0
+        begin = self.refined.ravel()
+        for code, word, times in parts:
+            order = np.random.default_rng(5).permutation(len(code))
+            for first in range(0, len(order), STEP):
+                some = order[first : first + STEP]
+                n = times[some].astype(np.float64)
+                rate = 0.1 / (1 + step / 40) + 0.01
+                for k, bit, node, states in self._bits(code[some], word[some]):
+                    states = [_LESS[bit, state] for state in states]
+                    _, p, x, gate, place, part = self.mixed(states, node, k, worth, weights, refined)
+                    error, size = n * (bit - p), np.bincount(gate, n, len(weights))
+                    for j, v in enumerate([*x, np.full(len(n), 0.3)]):
+                        weights[:, j] += rate * np.bincount(gate, error * v, len(weights)) / np.maximum(size, 1e-9)
+                    seen += size
+                    for j, state in enumerate(states):
+                        ones[j] += np.bincount(state, n * bit, 256)
+                        total[j] += np.bincount(state, n, 256)
+                    for at, share in ((place, 1 - part), (place + 1, part)):
+                        ones_at += np.bincount(at, n * bit * share, len(ones_at))
+                        total_at += np.bincount(at, n * share, len(total_at))
+                step += 1
+                chance = (ones + 2 * start) / (total + 2)
+                worth = np.log(chance / (1 - chance))
+                worth[:, 0] = 0
+                refined = (ones_at + 8 * begin) / (total_at + 8)
+        return [weights * seen[:, None], seen, ones, total, ones_at, total_at] if step else None
+
+    def settle(self, sums: list[np.ndarray] | None) -> None:
+        """Take what has been learned, all tasks' sums added, and keep what scoring needs."""
+        if sums is not None:
+            weights, seen, ones, total, ones_at, total_at = sums
+            self.weights = np.where(seen[:, None] > 0, weights / np.maximum(seen, 1e-9)[:, None], self.weights)
+            chance = (ones + 2 * _squash(self.worth)) / (total + 2)
+            self.worth = np.log(chance / (1 - chance))
+            self.refined = ((ones_at + 8 * self.refined.ravel()) / (total_at + 8)).reshape(256, _BUCKETS)
+        self.worth[:, 0] = 0
+        self.frozen = self.worth.astype(np.float32), self.weights.astype(np.float32), self.refined.astype(np.float32).ravel()
+
+    def cost(self, code: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Bits of the last byte of each run after the others."""
         out = np.empty(len(code), np.float32)
-        inputs, scale = len(ORDERS) + 1, np.float32((_BUCKETS - 1) / (2 * _RANGE))
         for first in range(0, len(code), 1 << 15):  # small enough for the processor's cache
-            part = code[first : first + (1 << 15)]
-            contexts, node, p_all = _slots(part), np.ones(len(part), np.int64), np.ones(len(part))
-            for k in range(7, -1, -1):
-                bit = ((part >> np.uint64(k)) & np.uint64(1)).astype(np.int64)
-                x = [self.stretch[self.slot(context, node)] for context in contexts]
-                gate = (7 - k) * inputs + sum((v != 0).astype(np.int64) for v in x)
-                weight = self.mix[gate]
-                dot = weight[:, -1] * np.float32(0.3)
-                for j, v in enumerate(x):
-                    dot += weight[:, j] * v
-                np.clip(dot, -_RANGE, _RANGE, out=dot)
-                at = (dot + np.float32(_RANGE)) * scale
-                low = np.minimum(at.astype(np.int64), _BUCKETS - 2)
-                share = at - low
-                place = node * _BUCKETS + low
-                seen = self.refine[place] * (1 - share) + self.refine[place + 1] * share
-                p = np.clip((1 / (1 + np.exp(-dot)) + seen) / 2, 1e-5, 1 - 1e-5)
-                p_all *= np.where(bit == 1, p, 1 - p)
-                node = 2 * node + bit
-            out[first : first + len(part)] = -np.log2(p_all)
+            part = slice(first, first + (1 << 15))
+            every = np.ones(len(code[part]))
+            for k, bit, node, states in self._bits(code[part], word[part]):
+                p = self.mixed(states, node, k, *self.frozen)[0]
+                every *= np.where(bit == 1, p, 1 - p)
+            out[part] = -np.log2(every)
         return out
 
     def bits(self, texts: pa.Array) -> np.ndarray:
         """Bits of each text, its end included."""
-        code, row = _runs(texts)
-        packed = (code << np.uint64(16)) | row.astype(np.uint64)
-        packed.sort()
-        code, row = packed >> np.uint64(16), (packed & np.uint64(0xFFFF)).astype(np.int64)
-        new = np.ones(len(code), bool)
-        new[1:] = code[1:] != code[:-1]
-        cost = self.cost(code[new])
-        return np.bincount(row, cost[np.cumsum(new) - 1], len(texts)).astype(np.float64)
+        code, word, row = _runs(texts)
+        one, which, _ = distinct(code, word)
+        return np.bincount(row, self.cost(code[one], word[one])[which], len(texts)).astype(np.float64)
 
 
 def _squash(x):
     return 1 / (1 + np.exp(-x))
 
 
-def _pack(key: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> bytes:
+def _pack(key: np.ndarray, n: np.ndarray) -> bytes:
     """Sorted keys as differences, and their counts, in planes of bytes; compressed."""
-    wide = np.stack([np.diff(key, prepend=np.uint64(0)), zeros.astype(np.uint64), ones.astype(np.uint64)], 1)
+    wide = np.stack([np.diff(key, prepend=np.uint64(0)), n.astype(np.uint64)], 1)
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(wide.astype("<u8").view(np.uint8).T).tobytes())
 
 
 def _unpack(body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).reshape(24, -1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).reshape(16, -1)
     wide = np.ascontiguousarray(planes.T).view("<u8")
-    return np.cumsum(wide[:, 0], dtype=np.uint64), wide[:, 1:].astype(np.int64)
+    return np.cumsum(wide[:, 0], dtype=np.uint64), wide[:, 1].astype(np.int64)
+
+
+def _distinct_parts(batches):
+    """Distinct runs of each slice of texts: code, word, times."""
+    for whole in batches:
+        for batch in tk.slices(whole, most=COUNT_SLICE):
+            code, word, _ = _runs(batch.column("text"))
+            if len(code):
+                one, _, times = distinct(code, word)
+                yield code[one], word[one], times
+
+
+class _Held:
+    """Counts that are summed whenever too many are held."""
 
+    def __init__(self):
+        self.keys, self.counts, self.held = [], [], 0
 
-def bit_counts(texts: DataFrame) -> DataFrame:
-    """Columns block, size (keys), counts: zeros and ones of every (context, bit) of all texts, summed by task, then by block."""
+    def add(self, key: np.ndarray, n: np.ndarray) -> None:
+        self.keys.append(key)
+        self.counts.append(n)
+        self.held += len(key)
+        if self.held > max(HELD, 2 * len(self.keys[0])):
+            self.keys, self.counts = ([c] for c in _summed(self.keys, self.counts))
+            self.held = len(self.keys[0])
+
+
+def half_counts(texts: DataFrame) -> DataFrame:
+    """Columns block, size (rows of the table), counts: every (context, half byte) of all texts, summed by task, then by block."""
+
+    def rows(key: np.ndarray) -> int:
+        return int((np.diff(key >> np.uint64(4), prepend=~(key[:1] >> np.uint64(4))) != 0).sum())
 
     def count(batches):
-        keys, counts, held = [], [], 0
-        for whole in batches:
-            for batch in tk.slices(whole, most=COUNT_SLICE):
-                code, _ = _runs(batch.column("text"))
-                if not len(code):
-                    continue
-                code, times = np.unique(code, return_counts=True)
-                for k, n in zip(*count_bits(code, times.astype(np.uint64)), strict=True):
-                    keys.append(k)
-                    counts.append(n)
-                    held += len(k)
-                if held > max(HELD, 2 * len(keys[0])):
-                    keys, counts = ([c] for c in _summed(keys, counts))
-                    held = len(keys[0])
-        if not keys:
+        held = _Held()
+        for part in _distinct_parts(batches):
+            held.add(*count_halves(*part))
+        if not held.keys:
             return
-        key, n = _summed(keys, counts)
-        edge = np.searchsorted(key, np.arange((1 << BLOCK_BITS) + 1, dtype=np.uint64) << np.uint64(KEY_BITS - BLOCK_BITS))
+        key, n = _summed(held.keys, held.counts)
+        edge = np.append(np.searchsorted(key, np.arange(1 << BLOCK_BITS, dtype=np.uint64) << np.uint64(64 - BLOCK_BITS)), len(key))
         for k in np.flatnonzero(np.diff(edge)):
             part = slice(edge[k], edge[k + 1])
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([int(edge[k + 1] - edge[k])]), pa.array([_pack(key[part], n[part] >> np.uint64(32), n[part] & np.uint64(0xFFFFFFFF))], pa.binary())], names=["block", "size", "counts"])
-
-    def add(rows: pa.Table) -> pa.Table:
-        keys, zeros, ones, held = [], [], [], 0
-        for x in rows.column("counts"):
-            key, n = _unpack(x.as_py())
-            keys.append(key)
-            zeros.append(n[:, 0])
-            ones.append(n[:, 1])
-            held += len(key)
-            if held > max(HELD, 2 * len(keys[0])):
-                keys, zeros, ones = ([c] for c in _summed(keys, zeros, ones))
-                held = len(keys[0])
-        key, zero, one = _summed(keys, zeros, ones)
-        return pa.table([rows.column("block").slice(0, 1).combine_chunks(), pa.array([len(key)]), pa.array([_pack(key, zero, one)], pa.binary())], names=["block", "size", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([rows(key[part])]), pa.array([_pack(key[part], n[part])], pa.binary())], names=["block", "size", "counts"])
+
+    def add(group: pa.Table) -> pa.Table:
+        held = _Held()
+        for x in group.column("counts"):
+            held.add(*_unpack(x.as_py()))
+        key, n = _summed(held.keys, held.counts)
+        return pa.table([group.column("block").slice(0, 1).combine_chunks(), pa.array([rows(key)]), pa.array([_pack(key, n)], pa.binary())], names=["block", "size", "counts"])
 
     schema = "block long, size long, counts binary"
     return texts.select("text").mapInArrow(count, schema).groupBy("block").applyInArrow(add, schema)
 
 
-def fit(texts: DataFrame, weight_docs: int = WEIGHT_DOCS) -> Mixer:
-    """A mixer with the bit counts of all ``texts``; its weights come from about ``weight_docs`` of them."""
+def fit(texts: DataFrame) -> Mixer:
+    """A mixer of all ``texts``: their counts, and weights, worth and refinement learned online over all of them. Null texts don't count."""
+    spark = texts.sparkSession
     texts = texts.select("text").where("text is not null")
-    blocks = written(bit_counts(texts), "lm-counts").toArrow().sort_by("block")  # what is sent is what scoring needs of it
+    blocks = written(half_counts(texts), "lm-counts").toArrow().sort_by("block")
     mixer = Mixer((_unpack(x.as_py()) for x in blocks.column("counts")), sum(blocks.column("size").to_pylist()))
     del blocks
-    total = texts.count()
-    share = min(1.0, weight_docs / max(1, total))
-    key = F.pmod(text_key(), F.lit(1 << 20))
-    sample = texts.where(key < int(share * (1 << 20)) + 1).orderBy(text_key(), "text").limit(2 * weight_docs).toArrow()
-    if not sample.num_rows:
-        mixer.freeze()
-        return mixer
-    code = []
-    for batch in sample.combine_chunks().to_batches():
-        for part in tk.slices(batch):
-            code.append(_runs(part.column("text"))[0])
-    code = np.concatenate(code)
-    code = np.random.default_rng(5).permutation(code)[: STEPS * STEP]
-    steps = max(1, len(code) // STEP)
-    for k, part in enumerate(np.array_split(code, steps)):
-        mixer.learn(part, 0.5 / (1 + 4 * k / steps))
-    mixer.freeze()
+    handle = spark.sparkContext.broadcast(mixer)
+    shapes = [mixer.weights.shape, (len(mixer.weights),), (CONTEXTS, 256), (CONTEXTS, 256), (256 * _BUCKETS,), (256 * _BUCKETS,)]
+
+    def learn(batches):
+        sums = handle.value.learned(_distinct_parts(batches))
+        if sums is not None:
+            every = np.concatenate([x.ravel() for x in sums])
+            yield pa.RecordBatch.from_arrays([pa.array([int(sums[1].sum()) % GROUPS]), pa.array([every.tobytes()], pa.binary())], names=["part", "sums"])
+
+    def add(group: pa.Table) -> pa.Table:
+        every = sum(np.frombuffer(x.as_py()) for x in group.column("sums"))
+        return pa.table([group.column("part").slice(0, 1).combine_chunks(), pa.array([every.tobytes()], pa.binary())], names=["part", "sums"])
+
+    got = texts.mapInArrow(learn, "part long, sums binary").groupBy("part").applyInArrow(add, "part long, sums binary").orderBy("part").collect()
+    handle.unpersist()
+    sums = None
+    if got:
+        every = sum(np.frombuffer(r["sums"]) for r in got)
+        edge = np.cumsum([0] + [int(np.prod(x)) for x in shapes])
+        sums = [every[a:b].reshape(x) for a, b, x in zip(edge[:-1], edge[1:], shapes, strict=True)]
+    mixer.settle(sums)
     return mixer
 
 
@@ -334,9 +417,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """Columns word (hash), c: occurrences in all texts, ends included."""
 
     def run(batches):
-        for batch in batches:
-            word, n = np.unique(_tokens(batch.column("text"))[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+        for whole in batches:
+            for batch in tk.slices(whole):
+                word, n = np.unique(_tokens(batch.column("text"))[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
     return texts.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
@@ -424,5 +508,6 @@ def score(docs: DataFrame, learn_from: Column, frequent: int = FREQUENT) -> Data
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract columns of op 7: every row of ``documents``; a null doc_id is not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(remainder(5) == 1, F.lit(False)).alias("held_out"))
     return score(docs, ~F.col("held_out")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
