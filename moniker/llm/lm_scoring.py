@@ -1,6 +1,6 @@
 """Language-model scoring by logistic context mixing, and by word frequencies.
 
-Texts are predicted bit by bit. For each context (the last one to five bytes; the last six of the word so far, or at its
+Texts are predicted bit by bit. For each context (the last two to five bytes; the last six of the word so far, or at its
 beginning of the word before) a hashed table of counts, gathered from all texts learned from, predicts the next bit. The table has a row for each
 distinct (context, half byte) of these texts, however many there are, and check bits, so that a context never seen is told
 from those seen. What a pair of counts is worth is learned for each context, online, and so are the weights that mix the
@@ -25,7 +25,7 @@ from . import textkit as tk
 from .language import remainder
 from .shared import table, text_key, written
 
-ORDERS = (1, 2, 3, 4, 5)
+ORDERS = (2, 3, 4, 5)
 CONTEXTS = len(ORDERS) + 1
 #: Last bytes of a word, or of its beginning so far, that are a context.
 PREFIX = 6
@@ -38,8 +38,8 @@ HELD = 1 << 21
 #: Distinct runs of a step of learning.
 STEP = 4096
 #: Text whose runs are told apart at once, in bytes: the more, the fewer distinct ones there are to mix.
-SLICE = 4 << 20
-#: The same when counting and learning, where more is held for each run.
+SLICE = 3 << 20
+#: The same when counting, where what has been counted is held beside it.
 COUNT_SLICE = 2 << 20
 #: Groups in which the tasks' results are added before the driver gets them.
 GROUPS = 16
@@ -55,13 +55,8 @@ _BUCKETS, _RANGE = 24, 8.0
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+_SPAN = 1 << 16
+_UP, _DOWN = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * _SPAN, x, np.uint64)]), dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
 
 
 def _runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,36 +64,69 @@ def _runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw, off = tk.buffers(texts)
     n = len(off) - 1
     size = np.diff(off)
-    out = np.zeros(len(raw) + 6 * n, np.uint8)  # five zeros before and one after each text
-    begin = np.cumsum(size + 6) - (size + 6) + 5
-    out[np.repeat(begin - off[:-1], size) + np.arange(len(raw))] = raw
+    gaps = np.zeros(len(raw) + 6 * n, bool)  # five zeros before and one after each text
+    begin = np.cumsum(size + 6) - (size + 6)
+    for k in range(5):
+        gaps[begin + k] = True
+    ends = begin + size + 5
+    gaps[ends] = True
+    out = np.zeros(len(gaps), np.uint8)
+    out[~gaps] = raw
     m = len(out)
     code = np.zeros(max(0, m - 5), np.uint64)
     for k in range(6):
-        code = (code << np.uint64(8)) | out[k : m - 5 + k]
-    # the word so far, as a difference of sums; after a word that word; after two separators nothing
+        code <<= np.uint64(8)
+        code |= out[k : m - 5 + k]
+    gaps[ends] = False
+    inner = ~gaps[5:]  # what is predicted: bytes and ends
+    code = code[inner]
+    word = np.empty(len(code), np.uint64)
+    at = 0
+    for first in range(0, m, _SPAN):  # the word contexts, in parts that overlap by what a context may reach back
+        low, high = max(0, first - 2 * PREFIX), min(m, first + _SPAN)
+        part = _words(out[low:high], low == 0)[first - low :]
+        part = part[inner[max(0, first - 5) : high - 5]] if first else part[5:][inner[: high - 5]]
+        word[at : at + len(part)] = part
+        at += len(part)
+    row = np.repeat(np.arange(n, dtype=np.int32), size + 1)
+    return code, word, row
+
+
+def _words(out: np.ndarray, begins: bool) -> np.ndarray:
+    """For each byte the hash of the last PREFIX bytes of its word so far, as a difference of sums; at a word's beginning
+    that of the word right before; else 0. Right from byte 2 * PREFIX on, or everywhere if text ``begins`` here."""
+    m = len(out)
     apart = ~tk.NON_SPACE[out] | (out == 0)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((out.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, m), dtype=np.uint64)])
-    since = np.concatenate([np.zeros(1, np.int64), np.maximum.accumulate(np.where(apart, np.arange(1, m + 1), 0))])[:m]
-    first = since == np.arange(m)
-    since = np.maximum(since, np.arange(m) - PREFIX)
-    word = (sums[:m] - sums[since]) * _powers(_INVERSE, m + 1)[since] + np.uint64(1)
-    before = np.concatenate([np.zeros(1, np.uint64), word[:-1]])
-    after = np.concatenate([[False], first[:-1]])
-    word = np.where(first, np.where(after, np.uint64(0), before * tk._K3), word)
-    row = np.repeat(np.arange(n), size + 6)[: len(code)]
-    last = np.repeat(begin + size + 1, size + 6)[: len(code)]
-    inner = np.arange(len(code)) + 6 <= last  # a run ends in its row if it begins so that five bytes are left there
-    return code[inner], word[5:][inner], row[inner]
+    sums = np.zeros(m + 1, np.uint64)
+    np.cumsum((out.astype(np.uint64) + np.uint64(1)) * _UP[:m], out=sums[1:])
+    where = np.arange(m)
+    since = np.zeros(m, np.int64)
+    np.maximum.accumulate(np.where(apart[:-1], where[1:], 0), out=since[1:])
+    first = since == where
+    np.maximum(since, where - PREFIX, out=since)
+    word = (sums[:m] - sums[since]) * _DOWN[since] + np.uint64(1)
+    starts = np.flatnonzero(first)
+    before = starts[starts > 0] - 1
+    word[starts[starts == 0]] = 0
+    word[before + 1] = np.where(first[before], np.uint64(0), word[before] * tk._K3)
+    return word
 
 
 def distinct(code: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of one of each distinct (code, word), which of them each is, and how often they occur."""
+    bits = np.uint64(max(1, len(code).bit_length()))
     key = tk.join_hash(code, word)
-    order = np.argsort(key)
-    new = np.diff(key[order], prepend=~key[order[:1]]) != 0
-    which = np.empty(len(key), np.int64)
-    which[order] = np.cumsum(new) - 1
+    key >>= bits
+    key <<= bits
+    key |= np.arange(len(code), dtype=np.uint64)
+    key.sort()
+    order = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    key >>= bits
+    own = code[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
+    which = np.empty(len(key), np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32) - 1
     return order[new], which, np.diff(np.append(np.flatnonzero(new), len(key)))
 
 
@@ -179,7 +207,7 @@ class Mixer:
             row = key >> np.uint64(4)
             first = np.flatnonzero(np.diff(row, prepend=~row[:1]))
             counts = np.zeros((len(first), 16), np.int64)
-            counts[np.cumsum(np.isin(np.arange(len(row)), first)) - 1, (key & np.uint64(15)).astype(np.int64)] = n
+            counts[np.repeat(np.arange(len(first)), np.diff(np.append(first, len(row)))), (key & np.uint64(15)).astype(np.int64)] = n
             key = key[first] & ~np.uint64(15)
             home, step = self.home(key), np.arange(len(key))
             at = np.maximum(np.maximum.accumulate(home - step), free) + step
@@ -284,109 +312,174 @@ class Mixer:
             self.worth = np.log(chance / (1 - chance))
             self.refined = ((ones_at + 8 * self.refined.ravel()) / (total_at + 8)).reshape(256, _BUCKETS)
         self.worth[:, 0] = 0
-        self.frozen = self.worth.astype(np.float32), self.weights.astype(np.float32), self.refined.astype(np.float32).ravel()
+        weights = self.weights.reshape(8, CONTEXTS + 1, CONTEXTS + 1)  # bit, contexts known, input
+        #: by bit and context, for contexts known and state: what the context adds to the logit; and what the bias does
+        self.adds = (weights[:, :, :-1, None] * self.worth[None, None]).transpose(0, 2, 1, 3).astype(np.float32).reshape(8, CONTEXTS, -1).copy()
+        self.bias = (0.3 * weights[:, :, -1]).astype(np.float32)
+        self.refine = self.refined.astype(np.float32).ravel()
 
     def cost(self, code: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Bits of the last byte of each run after the others."""
         out = np.empty(len(code), np.float32)
+        scale = np.float32((_BUCKETS - 1) / (2 * _RANGE))
         for first in range(0, len(code), 1 << 15):  # small enough for the processor's cache
             part = slice(first, first + (1 << 15))
-            every = np.ones(len(code[part]))
+            every = np.ones(len(code[part]), np.float64)
             for k, bit, node, states in self._bits(code[part], word[part]):
-                p = self.mixed(states, node, k, *self.frozen)[0]
-                every *= np.where(bit == 1, p, 1 - p)
+                known = np.zeros(len(bit), np.int16)
+                for state in states:
+                    known += state != 0
+                dot = self.bias[7 - k].take(known)
+                known <<= 8
+                for j, state in enumerate(states):
+                    dot += self.adds[7 - k, j].take(known + state)
+                np.clip(dot, -_RANGE, _RANGE, out=dot)
+                at = (dot + np.float32(_RANGE)) * scale
+                low = np.minimum(at.astype(np.int32), _BUCKETS - 2)
+                at -= low
+                place = node * _BUCKETS + low
+                seen = self.refine.take(place)
+                seen += at * (self.refine.take(place + 1) - seen)
+                np.exp(-dot, out=dot)
+                dot += 1
+                np.divide(np.float32(1), dot, out=dot)
+                dot += seen
+                dot *= np.float32(0.5)
+                np.clip(dot, np.float32(1e-5), np.float32(1 - 1e-5), out=dot)
+                every *= np.where(bit == 1, dot, 1 - dot)
             out[part] = -np.log2(every)
         return out
 
     def bits(self, texts: pa.Array) -> np.ndarray:
         """Bits of each text, its end included."""
+        out = np.zeros(len(texts))
         code, word, row = _runs(texts)
-        one, which, _ = distinct(code, word)
-        return np.bincount(row, self.cost(code[one], word[one])[which], len(texts)).astype(np.float64)
+        for at in range(0, len(code), 1 << 22):
+            part = slice(at, at + (1 << 22))
+            one, which, _ = distinct(code[part], word[part])
+            out += np.bincount(row[part], self.cost(code[part][one], word[part][one])[which], len(texts))
+        return out
 
 
 def _squash(x):
     return 1 / (1 + np.exp(-x))
 
 
-def _pack(key: np.ndarray, n: np.ndarray) -> bytes:
-    """Sorted keys as differences, and their counts, in planes of bytes; compressed."""
-    wide = np.stack([np.diff(key, prepend=np.uint64(0)), n.astype(np.uint64)], 1)
+def _pack(*columns: np.ndarray) -> bytes:
+    """The first, sorted, as differences, and the others, in planes of bytes; compressed."""
+    wide = np.stack([np.diff(columns[0], prepend=np.uint64(0)), *(c.astype(np.uint64) for c in columns[1:])], 1)
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(wide.astype("<u8").view(np.uint8).T).tobytes())
 
 
-def _unpack(body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).reshape(16, -1)
+def _unpack(body: bytes, columns: int = 2) -> list[np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).reshape(8 * columns, -1)
     wide = np.ascontiguousarray(planes.T).view("<u8")
-    return np.cumsum(wide[:, 0], dtype=np.uint64), wide[:, 1].astype(np.int64)
-
-
-def _distinct_parts(batches):
-    """Distinct runs of each slice of texts: code, word, times."""
-    for whole in batches:
-        for batch in tk.slices(whole, most=COUNT_SLICE):
-            code, word, _ = _runs(batch.column("text"))
-            if len(code):
-                one, _, times = distinct(code, word)
-                yield code[one], word[one], times
+    return [np.cumsum(wide[:, 0], dtype=np.uint64), *(wide[:, k].copy() for k in range(1, columns))]
 
 
 class _Held:
-    """Counts that are summed whenever too many are held."""
+    """Rows of a key, values that hang on it, and a count, which are summed by key whenever too many are held."""
 
     def __init__(self):
-        self.keys, self.counts, self.held = [], [], 0
+        self.parts, self.held = [], 0
 
-    def add(self, key: np.ndarray, n: np.ndarray) -> None:
-        self.keys.append(key)
-        self.counts.append(n)
-        self.held += len(key)
-        if self.held > max(HELD, 2 * len(self.keys[0])):
-            self.keys, self.counts = ([c] for c in _summed(self.keys, self.counts))
-            self.held = len(self.keys[0])
+    def add(self, *columns: np.ndarray) -> None:
+        self.parts.append(columns)
+        self.held += len(columns[0])
+        if self.held > max(HELD, 2 * len(self.parts[0][0])):
+            self.parts = [self.summed()]
+            self.held = len(self.parts[0][0])
 
+    def summed(self) -> tuple[np.ndarray, ...]:
+        key, *values, n = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+        return (key[first], *(v[order[first]] for v in values), np.add.reduceat(n[order], first) if len(first) else n)
 
-def half_counts(texts: DataFrame) -> DataFrame:
-    """Columns block, size (rows of the table), counts: every (context, half byte) of all texts, summed by task, then by block."""
 
-    def rows(key: np.ndarray) -> int:
-        return int((np.diff(key >> np.uint64(4), prepend=~(key[:1] >> np.uint64(4))) != 0).sum())
+def _blocks(key: np.ndarray, *columns: np.ndarray):
+    """Sorted rows in parts by the leading bits of the key, packed."""
+    edge = np.append(np.searchsorted(key, np.arange(1 << BLOCK_BITS, dtype=np.uint64) << np.uint64(64 - BLOCK_BITS)), len(key))
+    for k in np.flatnonzero(np.diff(edge)):
+        part = slice(edge[k], edge[k + 1])
+        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([_pack(key[part], *(c[part] for c in columns))], pa.binary())], names=["block", "body"])
+
+
+_BLOCK = "block long, body binary"
+
+
+def _added(rows: DataFrame, columns: int) -> DataFrame:
+    """The blocks with equal rows summed."""
+
+    def add(group: pa.Table) -> pa.Table:
+        held = _Held()
+        for x in group.column("body"):
+            held.add(*_unpack(x.as_py(), columns))
+        return pa.table([group.column("block").slice(0, 1).combine_chunks(), pa.array([_pack(*held.summed())], pa.binary())], names=["block", "body"])
+
+    return rows.groupBy("block").applyInArrow(add, _BLOCK)
+
+
+def all_runs(texts: DataFrame) -> DataFrame:
+    """Blocks (block, body) of the distinct runs of all texts: key, code, word, times; summed by task, then by block."""
 
     def count(batches):
         held = _Held()
-        for part in _distinct_parts(batches):
-            held.add(*count_halves(*part))
-        if not held.keys:
-            return
-        key, n = _summed(held.keys, held.counts)
-        edge = np.append(np.searchsorted(key, np.arange(1 << BLOCK_BITS, dtype=np.uint64) << np.uint64(64 - BLOCK_BITS)), len(key))
-        for k in np.flatnonzero(np.diff(edge)):
-            part = slice(edge[k], edge[k + 1])
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([rows(key[part])]), pa.array([_pack(key[part], n[part])], pa.binary())], names=["block", "size", "counts"])
+        for whole in batches:
+            for batch in tk.slices(whole, most=COUNT_SLICE):
+                code, word, _ = _runs(batch.column("text"))
+                for at in range(0, len(code), 1 << 22):
+                    c, w = code[at : at + (1 << 22)], word[at : at + (1 << 22)]
+                    one, _, times = distinct(c, w)
+                    held.add(tk.join_hash(c[one], w[one]), c[one], w[one], times.astype(np.uint64))
+        if held.parts:
+            yield from _blocks(*held.summed())
 
-    def add(group: pa.Table) -> pa.Table:
+    return _added(texts.select("text").mapInArrow(count, _BLOCK), 4)
+
+
+def half_counts(runs: DataFrame) -> DataFrame:
+    """Blocks (block, body) of what the runs say: key (row and half byte) and count."""
+
+    def count(batches):
         held = _Held()
-        for x in group.column("counts"):
-            held.add(*_unpack(x.as_py()))
-        key, n = _summed(held.keys, held.counts)
-        return pa.table([group.column("block").slice(0, 1).combine_chunks(), pa.array([rows(key)]), pa.array([_pack(key, n)], pa.binary())], names=["block", "size", "counts"])
+        for batch in batches:
+            for x in batch.column("body"):
+                _, code, word, times = _unpack(x.as_py(), 4)
+                held.add(*count_halves(code, word, times))
+        if held.parts:
+            yield from _blocks(*held.summed())
+
+    return _added(runs.mapInArrow(count, _BLOCK), 2)
 
-    schema = "block long, size long, counts binary"
-    return texts.select("text").mapInArrow(count, schema).groupBy("block").applyInArrow(add, schema)
+
+def table_of(counts: list[bytes]) -> Mixer:
+    """The mixer of all blocks, in order."""
+    size = 0
+    for x in counts:
+        row = _unpack(x)[0] >> np.uint64(4)
+        size += int((np.diff(row, prepend=~row[:1]) != 0).sum())
+    return Mixer((_unpack(x) for x in counts), size)
 
 
 def fit(texts: DataFrame) -> Mixer:
-    """A mixer of all ``texts``: their counts, and weights, worth and refinement learned online over all of them. Null texts don't count."""
+    """A mixer of all ``texts``: their counts, and weights, worth and refinement learned online over all of them. Null texts don't count.
+
+    Runs that are equal are gathered first, with how often they occur, and learned from as often; what goes through the network
+    is the distinct ones.
+    """
     spark = texts.sparkSession
-    texts = texts.select("text").where("text is not null")
-    blocks = written(half_counts(texts), "lm-counts").toArrow().sort_by("block")
-    mixer = Mixer((_unpack(x.as_py()) for x in blocks.column("counts")), sum(blocks.column("size").to_pylist()))
+    runs = written(all_runs(texts.select("text").where("text is not null")), "lm-runs")
+    blocks = written(half_counts(runs), "lm-counts").toArrow().sort_by("block")
+    mixer = table_of([x.as_py() for x in blocks.column("body")])
     del blocks
     handle = spark.sparkContext.broadcast(mixer)
     shapes = [mixer.weights.shape, (len(mixer.weights),), (CONTEXTS, 256), (CONTEXTS, 256), (256 * _BUCKETS,), (256 * _BUCKETS,)]
 
     def learn(batches):
-        sums = handle.value.learned(_distinct_parts(batches))
+        parts = (_unpack(x.as_py(), 4)[1:] for batch in batches for x in batch.column("body"))
+        sums = handle.value.learned(parts)
         if sums is not None:
             every = np.concatenate([x.ravel() for x in sums])
             yield pa.RecordBatch.from_arrays([pa.array([int(sums[1].sum()) % GROUPS]), pa.array([every.tobytes()], pa.binary())], names=["part", "sums"])
@@ -395,7 +488,7 @@ def fit(texts: DataFrame) -> Mixer:
         every = sum(np.frombuffer(x.as_py()) for x in group.column("sums"))
         return pa.table([group.column("part").slice(0, 1).combine_chunks(), pa.array([every.tobytes()], pa.binary())], names=["part", "sums"])
 
-    got = texts.mapInArrow(learn, "part long, sums binary").groupBy("part").applyInArrow(add, "part long, sums binary").orderBy("part").collect()
+    got = runs.mapInArrow(learn, "part long, sums binary").groupBy("part").applyInArrow(add, "part long, sums binary").orderBy("part").collect()
     handle.unpersist()
     sums = None
     if got:

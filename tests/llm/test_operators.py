@@ -276,8 +276,7 @@ def plain_runs(text):
 def test_counts_are_those_of_all_runs(spark):
     texts = [t for _, t, _ in language_texts(5, 30)] + ["", "a", "  two  spaces\n\nand lines ", "é ü"]
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
-    blocks = lm_scoring.half_counts(df).toArrow().sort_by("block")
-    mixer = lm_scoring.Mixer((lm_scoring._unpack(x.as_py()) for x in blocks.column("counts")), sum(blocks.column("size").to_pylist()))
+    mixer = lm_scoring.table_of([x.as_py() for x in lm_scoring.half_counts(lm_scoring.all_runs(df)).toArrow().sort_by("block").column("body")])
     runs = [r for t in texts for r in plain_runs(t)]
     counts = Counter()
     for five, word, byte in runs:
@@ -300,7 +299,7 @@ def test_counts_are_those_of_all_runs(spark):
 def test_plain_mixer_gives_the_same_bits(spark):
     texts = [t for _, t, _ in language_texts(5, 20)]
     mixer = lm_scoring.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
-    worth, weights, refined = mixer.frozen
+    worth, weights, refined = mixer.worth, mixer.weights, mixer.refine
     asked = ["the " + texts[0][:40], "zz é"]
     for text, got in zip(asked, mixer.bits(pa.array(asked)), strict=True):
         code, word, _ = lm_scoring._runs(pa.array([text]))
