@@ -44,46 +44,14 @@ def targets(sizes: dict[str | None, int], weights=WEIGHTS, most: int = MOST) ->
     return out
 
 
-#: A document with more than this share of the words of all shorter ones is settled against them together.
-LARGE = 1 / 64
-
-
-def settle_large(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
-    """Round the large documents (the first, as sizes fall) against the pool of all that follow.
-
-    A pool gives and takes like one document: what goes to or from it is spread over its documents, so the mass stays
-    and everybody's expectation too.
-    """
-    p, weight = p.astype(np.float64), size.astype(np.float64)
-    rest = weight[::-1].cumsum()[::-1]
-    for i in range(len(p) - 1):
-        if weight[i] <= LARGE * rest[i + 1]:
-            break
-        if not _NEAR < p[i] < 1 - _NEAR:
-            continue
-        # the same shares up and down, and no more than half of what is there, leave every expectation as it was
-        spread = np.minimum(p[i + 1 :], 1 - p[i + 1 :]) * weight[i + 1 :]
-        most = spread.sum() / 2
-        up, down = min((1 - p[i]) * weight[i], most), min(p[i] * weight[i], most)
-        if up + down <= 0:
-            continue
-        move = up if draw[i] * (up + down) < down else -down
-        some = weight[i + 1 :] > 0
-        p[i] += move / weight[i]
-        p[i + 1 :][some] -= (move * spread / spread.sum())[some] / weight[i + 1 :][some]
-        p = np.clip(p, 0.0, 1.0)
-    return p
-
-
 def pivotal(p: np.ndarray, size: np.ndarray, key: np.ndarray, seed: int, last: bool) -> np.ndarray:
     """Round fractions in turn, the one left open against the next; ``last`` also rounds the one that stays open.
 
-    Sizes are given in falling order, so that large documents are settled first and what stays open is short.
+    Sizes are given in falling order, so that long documents exchange with long ones and what stays open is short.
     """
     salted = tk.mix(key.astype(np.uint64)) + np.full(1, seed, np.uint64) * tk._K1
     draw, final = (tk.mix(salted + np.uint64(k)).astype(np.float64) / 2.0**64 for k in (1, 2))
-    large = tk.mix(salted + np.uint64(3)).astype(np.float64) / 2.0**64
-    p, open_at = settle_large(p, size, large), -1
+    p, open_at = p.astype(np.float64), -1
     for i in range(len(p)):
         if not _NEAR < p[i] < 1 - _NEAR:
             p[i] = round(p[i])
@@ -172,4 +140,5 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), weights=WEIGHTS, m
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract columns of op 9, and ``copies``: every row of ``documents``."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
