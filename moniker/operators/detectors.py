@@ -27,14 +27,14 @@ NOISE = (
     "turkey", "israel", "singapore", "australia", "new", "zealand",
 )
 TITLE_MARKERS = {
-    "cy": ("д р", "д-р", "доктор", "др"),
+    "cy": ("др", "д-р", "д р", "доктор"),
     "gk": ("δρ",),
     "ab": ("دكتور",),
     "dv": ("डॉ", "डॉक्टर"),
     "hb": ("ד׳ר", "ד״ר"),
     "th": ("ดร",),
-    "gg": ("დ-რ", "დრ"),
-    "am": ("դ-ր", "դր"),
+    "gg": ("დრ", "დ-რ"),
+    "am": ("դր", "դ-ր"),
 }
 
 _NONE = "array<struct<key:string,detector:string,evidence:string>>"

@@ -118,7 +118,7 @@ def linear_quantile(values: Column, q: float) -> Column:
 
 
 def posterior_stats(rows: DataFrame) -> DataFrame:
-    """``rows`` (mean, logvar) with sum and mean divergence, variance statistics, dimensions wider than the prior."""
+    """``rows`` (mean, logvar) with sum and mean divergence, variance statistics, the share of dimensions wider than the prior."""
     var = F.transform("logvar", F.exp)
     out = rows.withColumn("__var", var).withColumn("__kl", kl_terms(F.col("mean"), F.col("logvar")))
     n = F.size("mean")
@@ -132,7 +132,7 @@ def posterior_stats(rows: DataFrame) -> DataFrame:
         F.array_max("__var").alias("var_max"),
         total(F.col("__var")).alias("var_sum"),
         lower_median(F.transform("__var", F.sqrt)).alias("std_p50"),
-        F.size(F.filter("__var", lambda v: v > 1)).alias("dims_over_prior"),
+        (F.size(F.filter("__var", lambda v: v > 1)) / n).alias("dims_over_prior"),
         n.alias("dim"),
     )
 

@@ -502,11 +502,11 @@ def cluster_pool_softmax(spark, d):
 
 @query("""WITH e AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(64)) AS dim FROM embeddings), v AS (SELECT vec_id, CAST(x AS DOUBLE) AS m, exp(CAST(x AS DOUBLE)) AS var, CAST(x AS DOUBLE) AS lv FROM e)
 SELECT vec_id, round(sum(0.5 * (m * m + var - 1 - lv)), 6) AS kl_sum, round(avg(0.5 * (m * m + var - 1 - lv)), 6) AS kl_mean, round(avg(var), 6) AS var_mean, round(list_sort(list(var))[32], 6) AS var_p50, round(quantile_cont(var, 0.9), 6) AS var_p90,
-round(max(var), 6) AS var_max, round(list_sort(list(sqrt(var)))[32], 6) AS std_p50, CAST(count(*) FILTER (var > 1) AS INT) AS dims_over_prior FROM v GROUP BY vec_id""")
+round(max(var), 6) AS var_max, round(list_sort(list(sqrt(var)))[32], 6) AS std_p50, round(count(*) FILTER (var > 1) / count(*), 6) AS dims_over_prior FROM v GROUP BY vec_id""")
 def posterior_stats(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("mean"), F.col("embedding").cast("array<double>").alias("logvar"))
     out = scoring.posterior_stats(e)
-    return out.select("vec_id", *(F.round(c, 6).alias(c) for c in ("kl_sum", "kl_mean", "var_mean", "var_p50", "var_p90", "var_max", "std_p50")), "dims_over_prior")
+    return out.select("vec_id", *(F.round(c, 6).alias(c) for c in ("kl_sum", "kl_mean", "var_mean", "var_p50", "var_p90", "var_max", "std_p50", "dims_over_prior")))
 
 
 @query("SELECT round(sum(l_discount * l_quantity) / sum(l_quantity), 8) AS val_ce, round(sum(l_tax * l_linenumber) / sum(l_linenumber), 8) AS val_kl FROM lineitem")
@@ -600,7 +600,7 @@ def bpe_verify(spark, d):
 @query()
 def corrupt_letters(spark, d):
     cells = I.clusters(spark, d).select("line_no", F.posexplode("cells").alias("pos", "c")).select(F.concat_ws(":", "line_no", "pos").alias("key"), "c.tag", "c.value")
-    return letters.corrupted(cells, letters.Corruptor(0.1, {"la": [(c, 1.0) for c in "abcdefghijklmnopqrstuvwxyz"]}), 5)
+    return letters.corrupted(cells, 5, 0.1, {"la": dict.fromkeys("abcdefghijklmnopqrstuvwxyz", 1.0)})
 
 
 @query()

@@ -29,7 +29,7 @@ def test_ranked_margins(spark):
 def test_posterior_stats(spark):
     df = spark.createDataFrame([([0.0, 1.0, -1.0, 2.0], [0.0, math.log(3.0), math.log(10.0), math.log(2.0)])], "mean array<double>, logvar array<double>")
     r = scoring.posterior_stats(df).first()
-    assert r["var_p50"] == pytest.approx(2.0) and r["var_p90"] == pytest.approx(7.9) and r["dims_over_prior"] == 3
+    assert r["var_p50"] == pytest.approx(2.0) and r["var_p90"] == pytest.approx(7.9) and r["dims_over_prior"] == pytest.approx(3 / 4)
     assert r["kl_mean"] == pytest.approx(r["kl_sum"] / 4)
 
 
@@ -72,25 +72,46 @@ def test_chunks(spark):
     assert df.select(tokens.chunks(F.col("t"))).first()[0] == ["it", "'s", " ", " a", " ", "b", " 12", "!"]
 
 
-def test_corruption():
-    c = letters.Corruptor(1.0, {"la": [("a", 1.0), ("b", 3.0)]})
-    assert c.corrupt("cn", "王小明", random.Random(1)) == "王小明"
-    assert letters.Corruptor(0.0).corrupt("la", "abc", random.Random(1)) == "abc"
-    assert all(c.corrupt("la", "a", random.Random(k)) for k in range(200))
-    lost = sum(10 - len(letters.Corruptor(0.2).corrupt("la", "aeuvwxcdfh", random.Random(k))) for k in range(2000)) / 20000
-    assert 0.08 < lost < 0.12
+def test_corruption(spark):
+    def run(rows, rate, frequency=None, weight=0.7):
+        df = spark.createDataFrame([(str(k), t, v) for k, (t, v) in enumerate(rows)], "key string, tag string, value string")
+        return [r["corrupted"] for r in letters.corrupted(df, 1, rate, frequency, weight).orderBy(F.col("key").cast("int")).collect()]
+
+    latin = {"la": {"a": 1.0, "b": 3.0, "c": 0.0}}
+    assert run([("cn", "王小明"), ("xx", "abc"), ("la", None), ("la", ""), ("la", "12 -")], 1.0, latin) == ["王小明", "abc", None, "", "12 -"]
+    assert run([("la", "abc")], 0.0, latin) == ["abc"]
+    assert all(len(x) == 1 for x in run([("la", "a")] * 200, 1.0, latin))
+    assert all(set(x) <= set("ab") for x in run([("la", "defh")] * 50, 1.0, latin))
+    many = run([("la", "aeuvwxcdfh")] * 2000, 0.2)
+    assert 0.08 < sum(10 - len(x) for x in many) / 20000 < 0.12 and many == run([("la", "aeuvwxcdfh")] * 2000, 0.2)
+    alone = run([("la", "w")] * 2000, 1.0, latin)
+    assert 0.2 < alone.count("a") / 2000 < 0.3 and alone.count("a") + alone.count("b") == 2000
+    seen = set(run([("la", "o")] * 300, 1.0, None, 1.0))
+    assert seen == set(letters.confusion()["la"]["o"])
     assert letters.classes(["ab", "bc", "xy"]) == {"a": "bc", "b": "ac", "c": "ab", "x": "y", "y": "x"}
-    with pytest.raises(ValueError, match="rate"):
-        letters.Corruptor(2.0)
-
-
-def test_draws_keep_their_number():
-    for tags in (["la"], ["cy", "gk"], ["la", "cy", "gk", "ab", "la", "hb", "th"], ["la"] * 9):
-        for seed in range(60):
-            inputs, targets = batching.draw(tags, random.Random(seed), 3, 2, 1)
-            assert len(targets) == 3 and 1 <= len(inputs) <= 3 and len(set(inputs)) == len(inputs)
-            if len(tags) == 9:
-                assert not set(inputs) & set(targets)
+    with pytest.raises(ValueError, match="0 to 1"):
+        run([("la", "a")], 2.0)
+
+
+def test_draws_keep_their_number(spark):
+    shapes = [["la"], ["cy", "gk"], ["la", "cy", "gk", "ab", "la", "hb", "th"], ["la"] * 9, []]
+    rows = [(k, str(k), shapes[k % 5]) for k in range(400)]
+    df = spark.createDataFrame(rows, "idx long, key string, tags array<string>")
+    got = batching.collated(df, 3, 3, 2, 1).collect()
+    assert got == batching.collated(df, 3, 3, 2, 1).collect()
+    for r in got:
+        tags, inputs, targets = r["tags"], r["input_places"], r["target_places"]
+        if not tags:
+            assert inputs == targets == r["primed"] == []
+            continue
+        assert len(targets) == len(r["primed"]) == 3 and 1 <= len(inputs) <= 3 and len(set(inputs)) == len(inputs)
+        assert all(0 <= x < len(tags) for x in inputs + targets)
+        if len(tags) == 9:
+            assert not set(inputs) & set(targets) and len(set(targets)) == 3
+        if len(tags) == 7:  # four cells are no candidates; the targets are three of them
+            assert len(set(targets)) == 3 and not set(inputs) & set(targets)
+    assert {len(r["input_places"]) for r in got if len(r["tags"]) == 9} == {1, 2, 3}
+    assert 0.4 < sum(sum(r["primed"]) for r in got) / sum(len(r["primed"]) for r in got) < 0.6
 
 
 def test_stages_retry_then_give_up(spark):
