@@ -183,7 +183,7 @@ WHOLE_RADIUS = 20
 LONG, LONG_CLASSES, LEVELS = 600, 36, 10
 #: 64-bit words of the parities that a node carries into its buckets, and into those of prefixes.
 PARITY, WIDE_PARITY = 4, 16
-#: Pairs with one partner in common that a task compares, and nodes whose ids are broadcast (8 bytes each) at most.
+#: Pairs with one partner in common that a task compares, and rows to drop whose ids are broadcast (8 bytes each) at most.
 SPREAD = 1024
 BROADCAST_NODES = 1 << 20
 
@@ -459,9 +459,7 @@ def settled(rows: DataFrame, pairs: DataFrame, least: float = SIMILARITY) -> Dat
     these is not similar either, all pairs of theirs that their parities allow for.
     """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    few = 2 * pairs.count() <= BROADCAST_NODES
-    sets = rows.select(F.col("row").alias("node"), "shingles")
-    shingles = written(sets.join(F.broadcast(ids) if few else ids, "node", "left_semi"), "simhash-shingles")
+    shingles = written(rows.select(F.col("row").alias("node"), "shingles").join(ids.hint("merge"), "node", "left_semi"), "simhash-shingles")
     links = written(similar(shingles, pairs, least), "simhash-links")
     joined, tried = components(links), pairs  # a tried pair of unlinked nodes is not similar
     failed = written(pairs.join(links, ["a", "b"], "left_anti"), "simhash-failed")

@@ -35,7 +35,7 @@ class Rule:
 
     def globs(self) -> list[str]:
         quoted = _quote(self.host.lower()), _quote(self.path)
-        return ["{}{}**".format(*quoted), "*.{}{}**".format(*quoted)]
+        return ["{}\0{}**".format(*quoted), "*.{}\0{}**".format(*quoted)]
 
 
 def _quote(text: str) -> str:
@@ -107,7 +107,7 @@ def _pack(states: list[np.ndarray], words: int) -> np.ndarray:
     return out
 
 
-#: Globs that judge what no rule fits; they see host and path as one text. Whatever they don't block is allowed.
+#: Globs that judge what no rule fits; they see the host, a zero byte and the path. Whatever they don't block is allowed.
 BLOCK_GLOBS = (
     "ads.**",
     "*.ads.**",
@@ -151,11 +151,11 @@ def judge(pages: DataFrame, rules: Sequence[Rule], block_globs: Sequence[str] =
         for batch in batches:
             hosts, hoff = tk.buffers(batch.column("host"))
             paths, poff = tk.buffers(batch.column("path"))
-            sizes = np.diff(hoff) + np.diff(poff)
+            sizes = np.diff(hoff) + 1 + np.diff(poff)  # a zero byte between them
             offsets = np.concatenate([[0], np.cumsum(sizes)])
             data = np.zeros(offsets[-1], np.uint8)
-            in_host = np.arange(len(data)) - np.repeat(offsets[:-1], sizes) < np.repeat(np.diff(hoff), sizes)
-            data[in_host], data[~in_host] = hosts, paths
+            at = np.arange(len(data)) - np.repeat(offsets[:-1], sizes) - np.repeat(np.diff(hoff), sizes)
+            data[at < 0], data[at > 0] = hosts, paths
             hit = automaton.match(data, offsets)
             n = len(ranked)
             by_rule = hit[:, : 2 * n].reshape(-1, n, 2).any(2) if n else np.zeros((len(hit), 0), bool)

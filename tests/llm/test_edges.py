@@ -69,6 +69,9 @@ def test_urls(spark):
     assert got[0] == (None, "", "", None, "allow") and got[2][1:3] == ("", "") and got[4][3] == "com/fr/"
     assert url_filter.judge(pages.limit(0), url_filter.RULES).count() == 0
     assert {r["verdict"] for r in url_filter.judge(pages, [], ["**"]).collect()} == {"block"}
+    hosts = spark.createDataFrame([(1, "http://community.net/a"), (2, "http://a.com"), (3, "http://com/x")], "page_id long, url string")
+    got = url_filter.judge(hosts, [url_filter.Rule("block", "com", "")], []).orderBy("page_id").collect()
+    assert [r["verdict"] for r in got] == ["allow", "block", "block"]
 
 
 def test_vectors(spark):
