@@ -466,9 +466,9 @@ def settled(rows: DataFrame, pairs: DataFrame, least: float = SIMILARITY) -> Dat
     if failed.isEmpty():
         return joined
     clusters = components(pairs).withColumnRenamed("root", "cluster")
-    # two nodes have one pair, which has been compared
-    open_ = clusters.join(failed.select(F.col("b").alias("node")), "node").select("cluster").distinct()
-    open_ = clusters.join(open_, "cluster", "left_semi").groupBy("cluster").agg(F.count("*").alias("size")).where("size > 2").select("cluster")
+    # what is one already needs no search, and two nodes have one pair, which has been compared
+    state = clusters.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")).groupBy("cluster")
+    open_ = state.agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("size > 2 and low <> high").select("cluster")
     clusters = written(clusters.join(open_, "cluster", "left_semi"), "simhash-open")
     if clusters.isEmpty():
         return joined
