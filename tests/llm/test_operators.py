@@ -370,7 +370,9 @@ def test_classes(spark, monkeypatch, bucket):
     assert got == {k: least[root[f]] for k, f in enumerate(fps)}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [0, 30, 1 << 20])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "TASK_LINKS", most)
     rng = random.Random(2)
     links = [(k, k + 1) for k in range(40)] + [(100 + k, 100) for k in range(1, 30)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
     df = spark.createDataFrame(links, "a long, b long")
