@@ -4,12 +4,15 @@ Both halves of the vectors are quantised by themselves, so K centroids a half ma
 inner products with the halves' centroids and visits pairs of centroids from the largest sum on, found by a heap, until
 the cells visited hold a calibrated share of all vectors. Their entries are reranked by the inner product itself.
 
-Entries are dealt to shards by cell, large cells to several, and a query goes only to shards that hold cells it visits.
+Entries are dealt to shards by cell, large cells to several, and a query goes only to shards that hold cells it visits. A
+task holds the entries of one shard and streams its queries through them, so what is shuffled are the entries, once for each
+BLOCK queries, and the visits.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +29,9 @@ ROUNDS = 8
 #: Share of true neighbours wanted among the entries visited, by sample queries, and how many of those.
 RECALL = 0.97
 PROBES = 256
-#: Entries of a shard and queries of a block that are multiplied in one task.
+#: Entries of a shard, which a task holds, and queries that it streams through them before the shard is held once more.
 SHARD = 8192
-BLOCK = 1024
+BLOCK = 1 << 20
 
 
 def kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -161,7 +164,7 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = NEIGHBOURS) -> Dat
         if parts[c] > 1:
             shard, room = shard + int(parts[c]), 0
     handle = spark.sparkContext.broadcast((index, begins, parts))
-    blocks = max(1, -(-total // (20 * BLOCK)))
+    blocks = max(1, -(-coded.where(is_query).count() // BLOCK))
     least = max(k + 1, int(np.ceil(index.share * total)))
 
     def route(batches):
@@ -186,35 +189,52 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = NEIGHBOURS) -> Dat
             at = begins[cell] + np.abs(batch.column("part").to_numpy()) % parts[cell]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "vector", "cell")), pa.array(at)], names=["vec_id", "vector", "cell", "shard"])
 
-    entries = coded.withColumn("part", F.shiftrightunsigned(F.xxhash64("vec_id", F.lit(1)), 1)).mapInArrow(place, "vec_id long, vector array<double>, cell long, shard long")
-    entries = entries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    entries = coded.withColumn("part", F.shiftrightunsigned(F.xxhash64("vec_id", F.monotonically_increasing_id()), 1)).mapInArrow(place, "vec_id long, vector array<double>, cell long, shard long")
+    entries = entries.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "vector", "cell", F.lit(0.0).alias("down"))
     queries = coded.where(is_query).select("vec_id", "vector").mapInArrow(route, "query_id long, vector array<double>, down double, shard long")
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    queries = queries.select("shard", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), "vector", F.lit(0).cast("long").alias("cell"), "down")
 
-    def rerank(asked: pa.Table, held: pa.Table) -> pa.Table:
+    def best(asked: pa.RecordBatch, x: np.ndarray, ids: np.ndarray, cell: np.ndarray) -> Iterator[pa.RecordBatch]:
         index, _, _ = handle.value
-        out: list[list] = [[], [], []]
-        if asked.num_rows and held.num_rows:
-            x, ids, cell = _matrix(held.column("vector"), dim), held.column("vec_id").to_numpy(), held.column("cell").to_numpy()
-            all_q, query_ids, down = _matrix(asked.column("vector"), dim), asked.column("query_id").to_numpy(), asked.column("down").to_numpy()
-            for at in range(0, len(all_q), 256):
-                q = all_q[at : at + 256]
-                a, b = index.scores(q)
-                reach = a[:, cell // len(index.right)] + b[:, cell % len(index.right)]
-                near = q @ x.T
-                near[(reach < down[at : at + 256, None] - 1e-9) | (query_ids[at : at + 256, None] == ids)] = -np.inf
-                top = min(k, near.shape[1])
-                edge = np.partition(near, near.shape[1] - top, axis=1)[:, near.shape[1] - top]
-                for r in range(len(q)):
-                    some = np.flatnonzero((near[r] >= edge[r] - 1e-9) & (near[r] > -np.inf))
-                    score = (x[some] * q[r]).sum(1)
-                    best = np.lexsort((ids[some], -score))[:k]
-                    out[0] += [query_ids[at + r]] * len(best)
-                    out[1] += ids[some][best].tolist()
-                    out[2] += score[best].tolist()
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
-
-    found = queries.groupBy("shard", "block").cogroup(entries.groupBy("shard", "block")).applyInArrow(rerank, "query_id long, vec_id long, score double")
+        all_q, query_ids, down = _matrix(asked.column("vector"), dim), asked.column("id").to_numpy(), asked.column("down").to_numpy()
+        for at in range(0, len(all_q), 256):
+            out: list[list] = [[], [], []]
+            q = all_q[at : at + 256]
+            a, b = index.scores(q)
+            reach = a[:, cell // len(index.right)] + b[:, cell % len(index.right)]
+            near = q @ x.T
+            near[(reach < down[at : at + 256, None] - 1e-9) | (query_ids[at : at + 256, None] == ids)] = -np.inf
+            top = min(k, near.shape[1])
+            edge = np.partition(near, near.shape[1] - top, axis=1)[:, near.shape[1] - top]
+            for r in range(len(q)):
+                some = np.flatnonzero((near[r] >= edge[r] - 1e-9) & (near[r] > -np.inf))
+                score = (x[some] * q[r]).sum(1)
+                first = np.lexsort((ids[some], -score))[:k]
+                out[0] += [query_ids[at + r]] * len(first)
+                out[1] += ids[some][first].tolist()
+                out[2] += score[first].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
+
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by shard and block, entries before queries."""
+        now, held, ready = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("shard", "block", "kind")], 1)
+            edge = np.flatnonzero((np.diff(keys, axis=0) != 0).any(1)) + 1
+            for begin, end in zip([0, *edge], [*edge, len(keys)], strict=True):
+                if begin == end:
+                    continue
+                part, (*own, kind) = batch.slice(begin, end - begin), keys[begin].tolist()
+                if own != now:
+                    now, held, ready = own, [], None
+                if kind == 0:
+                    held.append((_matrix(part.column("vector"), dim), part.column("id").to_numpy(), part.column("cell").to_numpy()))
+                elif held:
+                    ready = ready or tuple(np.concatenate(side) for side in zip(*held, strict=True))
+                    yield from best(part, *ready)
+
+    dealt = entries.unionByName(queries).repartition("shard", "block").sortWithinPartitions("shard", "block", "kind")
+    found = dealt.mapInArrow(rerank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

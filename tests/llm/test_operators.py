@@ -509,6 +509,18 @@ def test_recall(spark):
     assert np.mean(hits) >= 0.9
 
 
+def test_shards_and_blocks_do_not_matter(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(700, 8))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(5, x[5].tolist())] * 150  # one id that very many rows have
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = lambda: sorted(map(tuple, ann.nearest_neighbours(df, F.col("vec_id") % 20 == 0, 5).collect()))
+    wanted = found()
+    monkeypatch.setattr(ann, "SHARD", 64)
+    monkeypatch.setattr(ann, "BLOCK", 7)
+    got = found()
+    assert [g[:3] for g in got] == [w[:3] for w in wanted] and np.allclose([g[3] for g in got], [w[3] for w in wanted])
+
+
 def test_visit_goes_by_falling_sum():
     rng = np.random.default_rng(2)
     index = ann.MultiIndex(rng.normal(size=(500, 8)))
