@@ -1,10 +1,9 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
-Every batch of documents is a shard. The shard's words become ids of the benchmark's vocabulary, and a
-suffix array over the word positions that can begin a benchmark window is sorted by the suffixes'
-leading words. Every benchmark suffix of window length is looked up by binary search; the range
-it finds holds all verbatim occurrences, and occurrences that follow one another on a diagonal make up the
-longest verbatim matches, reported with their places. Documents are then marked or removed.
+Every batch of documents is a shard. The shard's words become ids of the benchmark's vocabulary. Of the runs of benchmark words in
+which leading words of a window occur a whole suffix array is built, by doubling. Every benchmark suffix is looked up in it by binary
+search: the range that its first window has holds all verbatim occurrences. An occurrence that no earlier word continues is followed to
+its end, which gives the longest verbatim matches and their places. Documents are then marked or removed.
 
 Nothing is shuffled: documents stay where they are read, the benchmark goes to them. It is the stated
 query set: its blocks of at most ``BLOCK_BYTES`` are broadcast, and a shard is searched block by block.
@@ -20,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .fm_index import suffix_array
 from .shared import table
 
 WINDOW = 13
@@ -30,24 +30,22 @@ LEAD = 4
 
 
 class Suffixes:
-    """The benchmark side: vocabulary, item windows as rows of word ids, ids of leading words."""
+    """The benchmark side: vocabulary, word ids, where windows begin, hashes of their leading words."""
 
     def __init__(self, ids: list, texts: list[str | None], window: int = WINDOW):
         w = tk.words(pa.array(texts, pa.string()), tk.ALNUM, lower=True)
         h = tk.hashes(w)
         self.items, self.window = [str(x) for x in ids], window
         self.vocabulary, code = np.unique(h, return_inverse=True)
-        code = code.astype(np.uint32) + 1  # 0: not in the benchmark
-        rows: dict[int, list[tuple[int, int, np.ndarray]]] = {}
-        for k, (a, b) in enumerate(zip(w.first[:-1], w.first[1:], strict=True)):
-            size = min(window, b - a)
-            for i in range(a, b - size + 1) if size else ():
-                rows.setdefault(int(size), []).append((k, i - a, code[i : i + size]))
-        #: by window length: item of each window, its place in the item, its word ids
-        self.groups = {
-            n: (np.array([x[0] for x in g]), np.array([x[1] for x in g]), np.stack([x[2] for x in g])) for n, g in rows.items()
-        }
-        self.lead = {n: np.unique(_fold(g[2][:, : min(n, LEAD)])) for n, g in self.groups.items()}
+        self.code = code.astype(np.uint32) + 1  # 0: not in the benchmark
+        row = w.row()
+        self.first, self.last = w.first[:-1][row], w.first[1:][row]  # of the item that a word is in
+        size = np.minimum(window, w.count)[row]
+        at = np.flatnonzero(np.arange(len(row)) + size <= self.last)
+        self.item = row
+        #: by window length: where the windows begin
+        self.groups = {int(n): at[size[at] == n] for n in np.unique(size[at])}
+        self.lead = {n: np.unique(_fold(self.code[g[:, None] + np.arange(min(n, LEAD))])) for n, g in self.groups.items()}
 
 
 def _fold(codes: np.ndarray) -> np.ndarray:
@@ -78,7 +76,8 @@ class Shard:
             at = np.minimum(np.searchsorted(vocabulary, hashed[maybe]), len(vocabulary) - 1)
             hit = vocabulary[at] == hashed[maybe]
             self.code[maybe[hit]] = at[hit] + 1
-        self.last = np.repeat(w.first[1:], w.count)  # end of the row that a word is in
+        row = w.row()
+        self.first, self.last = w.first[:-1][row], w.first[1:][row]  # of the row that a word is in
 
     def positions(self, n: int) -> np.ndarray:
         """Suffixes of n words or more whose leading words begin a benchmark window."""
@@ -91,22 +90,59 @@ class Shard:
             return p
         return p[_member(self.suffixes.lead[n], _fold(self.code[p[:, None] + np.arange(q)]))]
 
-    def matches(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-        """(document position, item, place in item, words) of every occurrence of a window."""
-        for n, (item, place, query) in self.suffixes.groups.items():
-            p = self.positions(n)
-            if not len(p):
-                continue
-            packed = _packed(self.code[p[:, None] + np.arange(n)])
-            order = np.argsort(packed, kind="stable")  # the suffix array
-            array, key = p[order], packed[order]
-            wanted = _packed(query)
+    def places(self, candidates: np.ndarray) -> np.ndarray:
+        """For each word its place in the order of all suffixes of the runs of benchmark words that hold a candidate.
+
+        A suffix ends with its run; of equal ones the earlier is the lesser.
+        """
+        known = self.code[:-1] > 0
+        new = known.copy()
+        new[1:] &= ~known[:-1] | (self.first[1:] != self.first[:-1])
+        run = np.cumsum(new) - 1
+        wanted = np.zeros(len(known), bool)
+        wanted[run[candidates]] = True  # by run
+        at = np.flatnonzero(known & wanted[np.maximum(run, 0)])
+        run = np.unique(run[at], return_inverse=True)[1]
+        n = int(run[-1]) + 1
+        symbols = np.empty(len(at) + n, np.int64)
+        own = np.arange(len(at)) + run  # an end symbol of its own after each run
+        symbols[own] = np.unique(self.code[at], return_inverse=True)[1] + n
+        symbols[np.append(np.flatnonzero(np.diff(run)), len(at) - 1) + np.arange(n) + 1] = np.arange(n)
+        order = np.empty(len(symbols), np.int64)
+        order[suffix_array(symbols)] = np.arange(len(symbols))
+        out = np.full(len(known), -1, np.int64)
+        out[at] = order[own]
+        return out
+
+    def matches(self) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """(document position, benchmark position, words) of every occurrence of a window."""
+        begin = {n: self.positions(n) for n in self.suffixes.groups}
+        every = np.concatenate([np.zeros(0, np.int64), *begin.values()])
+        if not len(every):
+            return
+        places = self.places(every)
+        for n, query in self.suffixes.groups.items():
+            array = begin[n][np.argsort(places[begin[n]])]  # the suffix array's entries of n words or more
+            key = _packed(self.code[array[:, None] + np.arange(n)])
+            wanted = _packed(self.suffixes.code[query[:, None] + np.arange(n)])
             low, high = np.searchsorted(key, wanted, "left"), np.searchsorted(key, wanted, "right")
             for many in _chunks(high - low):
                 size = high[many] - low[many]
                 row = np.repeat(many, size)
                 at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low[many], size)
-                yield array[at], item[row], place[row], n
+                yield array[at], query[row], n
+
+    def longest(self, p: np.ndarray, q: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The occurrences that no equal word precedes, and how many words they are equal for: ``n`` or more."""
+        s = self.suffixes
+        inner = (p > self.first[p]) & (q > s.first[q]) & (self.code[p - 1] == s.code[q - 1])
+        p, q = p[~inner], q[~inner]
+        size, live = np.full(len(p), n, np.int64), np.arange(len(p))
+        while len(live):
+            live = live[(p[live] + size[live] < self.last[p[live]]) & (q[live] + size[live] < s.last[q[live]])]
+            live = live[self.code[p[live] + size[live]] == s.code[q[live] + size[live]]]
+            size[live] += 1
+        return p, q, size
 
 
 def _chunks(size: np.ndarray, most: int = 1 << 20) -> Iterator[np.ndarray]:
@@ -123,16 +159,6 @@ def _packed(codes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(codes.astype(">u4")).view(f"S{4 * codes.shape[1]}").ravel()
 
 
-def longest(position: np.ndarray, item: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
-    """Join occurrences that follow one another: first position, item, place, words of each longest match."""
-    order = np.lexsort((position, place - position, item))
-    position, item, place = position[order], item[order], place[order]
-    new = np.ones(len(position), bool)
-    new[1:] = (item[1:] != item[:-1]) | (np.diff(position) != 1) | (np.diff(place) != 1)
-    first = np.flatnonzero(new)
-    return position[first], item[first], place[first], np.diff(np.append(first, len(position))) + n - 1
-
-
 def blocks(spark: SparkSession, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list:
     """Broadcast handles of the benchmark's blocks, none of which holds more text than asked for (or one item)."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
@@ -145,26 +171,30 @@ def blocks(spark: SparkSession, benchmark: DataFrame, window: int = WINDOW, bloc
     return out
 
 
-def _search(batch_text: pa.Array, handles: list, spans: bool) -> tuple[tk.Words, np.ndarray, list[set], list[list]]:
+def _search(batch_text: pa.Array, handles: list, spans: bool) -> tuple[tk.Words, np.ndarray, list[set], list[list], np.ndarray]:
     w = tk.words(batch_text, tk.ALNUM, lower=True)
     hashed, row = tk.hashes(w), w.row()
     cover = np.zeros(len(hashed) + 1, np.int64)
     items: list[set] = [set() for _ in range(len(w.first) - 1)]
     found: list[list] = [[] for _ in items]
+    most = np.zeros(len(items), np.int64)
     for handle in handles:
         s = handle.value
-        for position, item, place, n in Shard(w, s, hashed).matches():
+        shard = Shard(w, s, hashed)
+        for position, query, n in shard.matches():
             np.add.at(cover, position, 1)
             np.subtract.at(cover, position + n, 1)
-            for r, k in np.unique(np.stack([row[position], item]), axis=1).T:
+            for r, k in np.unique(np.stack([row[position], s.item[query]]), axis=1).T:
                 items[r].add(s.items[k])
+            p, q, size = shard.longest(position, query, n)
+            np.maximum.at(most, row[p], size)
             if spans:
-                for p, k, i, m in zip(*longest(position, item, place, n), strict=True):
+                for p, q, m in zip(p, q, size, strict=True):
                     r = row[p]
-                    found[r].append({"start": int(p - w.first[r]), "n_words": int(m), "item_id": s.items[k], "item_start": int(i)})
+                    found[r].append({"start": int(p - w.first[r]), "n_words": int(m), "item_id": s.items[s.item[q]], "item_start": int(q - s.first[q])})
         if len(handles) > 1:
             handle.__dict__.pop("_value", None)  # one block in memory at a time
-    return w, np.cumsum(cover[:-1]) > 0, items, found
+    return w, np.cumsum(cover[:-1]) > 0, items, found, most
 
 
 SPANS = "array<struct<start:long,n_words:long,item_id:string,item_start:long>>"
@@ -173,7 +203,7 @@ SPANS = "array<struct<start:long,n_words:long,item_id:string,item_start:long>>"
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, spans: bool = True) -> DataFrame:
     """``docs`` with what each document shares with the benchmark.
 
-    Adds ``n_words``, ``n_hit`` (words inside an occurrence of a window), ``item_ids`` (sorted as strings) and
+    Adds ``n_words``, ``n_hit`` (words inside an occurrence of a window), ``item_ids`` (sorted as strings), ``longest`` (words of the longest match; 0 without) and
     ``spans``: the longest verbatim matches by place (word offsets in document and item). A window is ``window``
     consecutive words of an item; a shorter item is one window, an item without words none.
 
@@ -181,7 +211,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     results; rows with a null doc_id are searched as any other. Columns of the same names in ``docs`` are replaced.
     """
     handles = blocks(docs.sparkSession, benchmark, window, block_bytes)
-    added = {"n_words": "long", "n_hit": "long", "item_ids": "array<string>", "spans": SPANS}
+    added = {"n_words": "long", "n_hit": "long", "item_ids": "array<string>", "longest": "long", "spans": SPANS}
     if not spans:
         del added["spans"]
     docs = docs.drop(*added)
@@ -191,10 +221,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     def run(batches):
         for whole in batches:
             for batch in tk.slices(whole):
-                w, hit, items, found = _search(batch.column("text"), handles, spans)
+                w, hit, items, found, most = _search(batch.column("text"), handles, spans)
                 n_hit = np.diff(np.append(0, np.cumsum(hit))[w.first])
                 columns = [batch.column(c) for c in kept]
-                columns += [pa.array(w.count, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+                columns += [pa.array(w.count, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(most)]
                 if spans:
                     kind = pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64()), ("item_id", pa.string()), ("item_start", pa.int64())]))
                     columns.append(pa.array([sorted(x, key=lambda y: (y["start"], y["item_id"], y["item_start"])) for x in found], kind))
@@ -215,10 +245,10 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
     Null and empty texts stay, so does everything if the benchmark has no words; null ids don't matter, repeated rows go
     or stay together, clashing column names are kept apart.
     """
-    named = {c: f"__kept_{i}" for i, c in enumerate(docs.columns) if c.lower() in ("n_words", "n_hit", "item_ids")}
+    named = {c: f"__kept_{i}" for i, c in enumerate(docs.columns) if c.lower() in ("n_words", "n_hit", "item_ids", "longest")}
     marked = contamination(docs.withColumnsRenamed(named), benchmark, window, spans=False)
     affected = F.col("n_hit") > 0 if share is None else is_contaminated(share)
-    return marked.where(~affected).drop("n_words", "n_hit", "item_ids").withColumnsRenamed({v: k for k, v in named.items()}).select(*docs.columns)
+    return marked.where(~affected).drop("n_words", "n_hit", "item_ids", "longest").withColumnsRenamed({v: k for k, v in named.items()}).select(*docs.columns)
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,20 +261,23 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         is_contaminated().alias("contaminated"),
+        "longest",
     )
 
 
 #: Windows are compared as word strings; a document word is hit if a window that covers it occurs.
 OP10_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
-win AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+b AS (SELECT row_number() OVER () AS b, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+win AS (SELECT b, i AS j, item_id, least(13, len(w)) AS n, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') AS s FROM (SELECT b, item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
 lens AS (SELECT DISTINCT n FROM win),
 pos AS (SELECT r, i, n, array_to_string(w[i : i + n - 1], ' ') AS s FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lens WHERE len(w) >= n)),
-occ AS (SELECT pos.r, pos.i, pos.n, win.item_id FROM pos JOIN win USING (n, s)),
+occ AS (SELECT pos.r, pos.i, pos.n, win.item_id, win.b, win.j FROM pos JOIN win USING (n, s)),
 hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM occ) GROUP BY r),
+isl AS (SELECT r, b, j - i AS d, n, i - row_number() OVER (PARTITION BY r, b, j - i ORDER BY i) AS g FROM occ),
+lon AS (SELECT r, max(c) AS longest FROM (SELECT r, count(*) + min(n) - 1 AS c FROM isl GROUP BY r, b, d, g) GROUP BY r),
 its AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM occ) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest
+FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r) LEFT JOIN lon USING (r)
 """

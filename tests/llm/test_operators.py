@@ -487,6 +487,27 @@ def test_contamination(spark, block_bytes):
         n, hit, found = plain_hits(texts[r["doc_id"]], items, 5)
         assert (r["n_words"], r["n_hit"], list(r["item_ids"])) == (n, hit, found)
         assert len({i for s in r["spans"] for i in range(s["start"], s["start"] + s["n_words"])}) == hit
+        assert r["longest"] == max([s["n_words"] for s in r["spans"]], default=0)
+
+
+def test_suffixes_of_a_shard_are_in_order():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(["a", "b", "zz"], [5, 5, 1], k=rng.randint(0, 60))) for _ in range(30)] * 2
+    s = decontamination.Suffixes([1, 2], ["a b a a b a b b a a", "b a"], 4)
+    w = tk.words(pa.array(texts), tk.ALNUM, lower=True)
+    shard = decontamination.Shard(w, s, tk.hashes(w))
+    at = shard.positions(4)
+    code, row = shard.code.tolist(), w.row()
+
+    def suffix(p):
+        out, end = [], w.first[row[p] + 1]
+        while p < end and code[p]:
+            out.append(code[p])
+            p += 1
+        return out
+
+    ordered = [suffix(p) for p in at[np.argsort(shard.places(at)[at])].tolist()]
+    assert len(ordered) > 50 and ordered == sorted(ordered)
 
 
 # neighbours
