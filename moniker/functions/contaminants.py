@@ -17,12 +17,20 @@ EXAMPLES = (
 ORPHANS = (("tanaka", "yuki"), ("田中雪", "タナカ ユキ", "다나카 유키"))
 
 
-def is_contaminant(label: Column, value: Column, examples=EXAMPLES, orphans=ORPHANS) -> Column:
-    """``value`` holds an example form that is not for this label (labels are compared without accents)."""
-    key = F.lower(strip_marks(label))
+def label_key(label: Column) -> Column:
+    """What labels are compared by: lower case without accents."""
+    return F.lower(strip_marks(label))
+
+
+def holds_example(key: Column, value: Column, examples=EXAMPLES, orphans=ORPHANS) -> Column:
+    """``value`` holds an example form that is not for the label with this key."""
     has = lambda forms: F.exists(F.array(*map(F.lit, forms)), lambda f: value.contains(f))
     found = F.lit(False)
     for labels, forms in examples:
         found = found | (~key.isin(*labels) & has(forms))
     words, forms = orphans
     return found | (~F.exists(F.array(*map(F.lit, words)), lambda w: key.contains(w)) & has(forms))
+
+
+def is_contaminant(label: Column, value: Column, examples=EXAMPLES, orphans=ORPHANS) -> Column:
+    return holds_example(label_key(label), value, examples, orphans)

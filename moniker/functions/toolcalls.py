@@ -86,3 +86,8 @@ def emitted_scripts(call: Column, alternatives: int = 2) -> Column:
         entries.append(F.struct(F.lit(tag).alias("key"), distinct(F.concat(F.array(main), alts, extra)).alias("value")))
     found = F.map_filter(F.map_from_entries(F.array(*entries)), lambda _, v: F.size(v) > 0)
     return F.when(call["name"] == "emit_scripts", found)
+
+
+def alternative_spellings(call: Column, most: int = 3) -> Column:
+    """Other Latin spellings that a call gives, none twice; null for other calls."""
+    return F.when(call["name"] == "emit_alt_latin", F.coalesce(string_list(call["args"]["alts"], most), F.array().cast("array<string>")))

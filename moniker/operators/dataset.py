@@ -37,8 +37,8 @@ def evenly_picked(index: Column, total: int, size: int) -> Column:
     """Whether an index from 0 is one of ``size`` spread evenly over ``total``: floor(k * total / size) for some k."""
     if total <= 0 or size <= 0:
         return F.lit(False)
-    k = F.floor((index * size + total - 1) / total) if total * size < 1 << 52 else F.expr(f"({index._jc.toString()} * {size} + {total - 1}) div {total}")
-    return (k < size) & (F.floor(k * total / size) == index)
+    k = F.call_function("div", index * size + (total - 1), F.lit(total))
+    return (k < size) & (F.call_function("div", k * total, F.lit(size)) == index)
 
 
 def hash_rank_key(key: Column, seed: int) -> Column:

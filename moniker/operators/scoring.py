@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .evaluation import stated
+
 
 class Scorer(Protocol):
     """What a model must do: encode a cluster's surfaces, and give a surface's cost by token under an encoding."""
@@ -56,14 +58,14 @@ def posteriors(clusters: DataFrame, scorer: Scorer, most: int = 12) -> DataFrame
     return clusters.where(F.size("surfaces") > 0).select("key", "surfaces").mapInPandas(run, "key string, mean array<double>, logvar array<double>")
 
 
-def cross_scored(queries: DataFrame, panel: DataFrame, scorer: Scorer, primed: tuple[bool, ...] = (True,)) -> DataFrame:
+def cross_scored(queries: DataFrame, panel: DataFrame, scorer: Scorer, primed: tuple[bool, ...] = (True,), most: int = 100_000) -> DataFrame:
     """Columns id, candidate, primed, nll_tok: cost by token of each candidate's surfaces under each query's encoding.
 
-    The panel is what the query set is matched against, a stated set: it is exploded to surfaces once and goes through
-    the scorer in batches. Costs are averaged by surface, then by candidate.
+    The panel is what the query set is matched against, a stated set of ``most`` clusters at most (more are an error): it
+    is exploded to surfaces once and goes through the scorer in batches. Costs are averaged by surface, then by candidate.
     """
     asked = posteriors(queries, scorer).select(F.col("key").alias("id"), "mean")
-    told = panel.select(F.col("key").alias("candidate"), F.posexplode("surfaces").alias("at", "s")).select("candidate", "at", "s.tag", "s.text")
+    told = stated(panel, most).select(F.col("key").alias("candidate"), F.posexplode("surfaces").alias("at", "s")).select("candidate", "at", "s.tag", "s.text")
     flags = F.explode(F.array(*map(F.lit, primed))).alias("primed")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,17 +84,15 @@ def ranked(scores: DataFrame, order: str, most: int = 10) -> DataFrame:
     The margin is the median of the other candidates' scores minus the own score; null for a lone candidate. Equal
     scores keep the order of ``order``.
     """
-    whole = Window.partitionBy("id")
     at = Window.partitionBy("id").orderBy("score", order)
-    n = F.count("*").over(whole)
-    sorted_scores = F.array_sort(F.collect_list("score").over(whole))
-    out = scores.select("id", "name", "score", F.row_number().over(at).alias("rank"), n.alias("__n"), sorted_scores.alias("__s"))
+    best = scores.select("id", "name", "score", F.row_number().over(at).alias("rank")).where(F.col("rank") <= most)
+    whole = scores.groupBy("id").agg(F.array_sort(F.collect_list("score")).alias("__s"))
     # the k-th of the others (from 1) is the k-th of all below the own rank, else the next one
     other = lambda k: F.when(k < F.col("rank"), F.get("__s", k - 1)).otherwise(F.get("__s", k))
-    m = (F.col("__n") - 1).cast("int")
+    m = F.size("__s") - 1
     low, high = F.floor((m + 1) / 2).cast("int"), F.floor((m + 2) / 2).cast("int")
     median = F.when(m > 0, (other(low) + other(high)) / 2)
-    return out.where(F.col("rank") <= most).select("id", "rank", "name", "score", (median - F.col("score")).alias("margin"))
+    return best.join(whole, "id").select("id", "rank", "name", "score", (median - F.col("score")).alias("margin"))
 
 
 def kl_terms(mean: Column, logvar: Column) -> Column:

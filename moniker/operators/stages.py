@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scripts, toolcalls
-from ..functions.base import let
 from ..functions.cells import merge_by_tag
 from ..functions.names import title_name
+from ..sources.lines import scratch
+from . import prompts
 
 # Sampling of each stage's attempts.
 STAGES = (
@@ -72,8 +73,12 @@ class Service:
             for pdf in batches:
                 yield pdf.assign(raw_text=[once(*r) for r in zip(pdf["stage"], pdf["key"], pdf["attempt"], pdf["prompt"], strict=True)])
 
-        schema = requests.select("stage", "key", "attempt", "prompt", F.lit("").alias("raw_text")).schema
-        return requests.select("stage", "key", "attempt", "prompt").mapInPandas(run, schema).drop("prompt")
+        said = requests.select("stage", "key", "attempt", "prompt")
+        told = said.mapInPandas(run, said.withColumn("raw_text", F.lit("")).schema).drop("prompt")
+        # written, so that what reads an answer twice does not ask twice
+        path = scratch(requests.sparkSession, "answers")
+        told.write.parquet(path)
+        return requests.join(requests.sparkSession.read.schema(told.schema).parquet(path), ["stage", "key", "attempt"], "left")
 
 
 def first_call(raw_text: Column) -> Column:
@@ -81,14 +86,15 @@ def first_call(raw_text: Column) -> Column:
 
 
 def attempted(client: Client, rows: DataFrame, stage: str, parse, attempts: int = 2) -> DataFrame:
-    """``rows`` (key) with result and attempt: each attempt asks for what is still without a result."""
-    left, done = rows.select("key").distinct(), None
+    """``rows`` (key, perhaps label) with result and attempt: each attempt asks for what is still without a result."""
+    about = [c for c in ("key", "label") if c in rows.columns]
+    left, done = rows.select(*about).distinct(), None
     for k in range(attempts):
-        asked = client.answers(left.select(F.lit(stage).alias("stage"), "key", F.lit(k).alias("attempt")))
-        parsed = asked.select("key", "attempt", parse(first_call(F.col("raw_text"))).alias("result"))
-        found = parsed.where("result is not null")
+        asked = client.answers(prompts.prompted(left.select(F.lit(stage).alias("stage"), *about, F.lit(k).alias("attempt"))))
+        parsed = asked.select(*about, "attempt", parse(first_call(F.col("raw_text"))).alias("result"))
+        found = parsed.where("result is not null").select("key", "attempt", "result")
         done = found if done is None else done.unionByName(found)
-        left = parsed.where("result is null").select("key")
+        left = parsed.where("result is null").select(*about)
     return rows.join(done, "key", "left")
 
 
@@ -147,11 +153,3 @@ def audited(client: Client, rows: DataFrame) -> DataFrame:
         F.when(fixed, r["family"]).alias("fixed_family"),
         F.when(F.col("outcome") == "dropped", "audit_unrecoverable_or_invalid").alias("drop_reason"),
     )
-
-
-def filtered_forms(forms: Column, contaminants: Column) -> Column:
-    """Struct kept, rejected of forms (map tag to texts): rejected are texts of another script or with a contaminant in them."""
-    def good(tag, v):
-        return scripts.in_script(v, tag) & ~F.exists(contaminants, lambda c: v.contains(c))
-
-    return let(forms, lambda f: F.struct(F.transform_values(f, lambda t, vs: F.array_distinct(F.filter(vs, lambda v: good(t, v)))).alias("kept"), F.transform_values(f, lambda t, vs: F.array_distinct(F.filter(vs, lambda v: ~good(t, v)))).alias("rejected")))

@@ -65,3 +65,18 @@ def read_history(spark: SparkSession, path: str, run: str) -> DataFrame:
     rows = spark.read.option("header", True).csv(path)
     numbers = [F.col(c).try_cast("double").alias(c) for c in rows.columns]
     return numbered(rows.select(*numbers), "step").withColumn("run", F.lit(run))
+
+
+def append_results(results: DataFrame, folder: str) -> None:
+    """Adds rows to a folder of CSV files with headers; columns in the order given."""
+    results.write.mode("append").option("header", True).csv(folder)
+
+
+def read_results(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    return spark.read.option("header", True).schema(schema).csv(folder)
+
+
+def history_lines(history: DataFrame) -> DataFrame:
+    """run and a JSON list of its validation rows by step; history (run, step, val_loss, train_loss)."""
+    rows = F.array_sort(F.collect_list(F.when(F.col("val_loss").isNotNull(), F.struct("step", "val_loss"))))
+    return history.groupBy("run").agg(F.to_json(rows).alias("val_history"))

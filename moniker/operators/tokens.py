@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
+import json
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import SCRIPTS
+from .evaluation import stated
 
 SPECIALS = ("[pad]", "[unk]", "[bos]", "[eos]", "[mask]", *(f"[{t}]" for t in SCRIPTS))
 CHUNK = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -76,20 +80,32 @@ def train(texts: DataFrame, column: str, size: int, specials: tuple[str, ...] =
     pairs: dict[tuple[str, str], int] = {}
     where: dict[tuple[str, str], set[int]] = {}
 
+    heap: list[tuple[int, tuple[str, str]]] = []
+
     def add(k: int, sign: int) -> None:
         parts, n = words[k]
         for pair in zip(parts, parts[1:], strict=False):
             pairs[pair] = pairs.get(pair, 0) + sign * n
+            touched.add(pair)
             if sign > 0:
                 where.setdefault(pair, set()).add(k)
 
+    def settle() -> None:
+        """Counts that changed go on the heap; older entries of the pair no longer agree and are skipped."""
+        for pair in touched:
+            if pairs.get(pair, 0) > 0:
+                heapq.heappush(heap, (-pairs[pair], pair))
+        touched.clear()
+
+    touched: set[tuple[str, str]] = set()
     for k in range(len(words)):
         add(k, 1)
+    settle()
     merges: list[tuple[str, str]] = []
-    while len(specials) + 256 + len(merges) < size and pairs:
-        best = min(pairs, key=lambda p: (-pairs[p], p))
-        if pairs[best] < 1:
-            break
+    while len(specials) + 256 + len(merges) < size and heap:
+        n, best = heapq.heappop(heap)
+        if pairs.get(best) != -n:
+            continue
         merges.append(best)
         for k in where.pop(best):
             add(k, -1)
@@ -105,6 +121,7 @@ def train(texts: DataFrame, column: str, size: int, specials: tuple[str, ...] =
             words[k] = (merged, n)
             add(k, 1)
         pairs.pop(best, None)
+        settle()
     return Vocabulary(merges, specials)
 
 
@@ -140,10 +157,61 @@ def verified(rows: DataFrame) -> DataFrame:
     )
 
 
-def vocabulary_checksum(rows: DataFrame) -> DataFrame:
-    """md5 over piece and id of all rows (piece, id), in order of the pieces."""
+def vocabulary_checksum(rows: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """md5 over piece and id of all rows (piece, id), in order of the pieces; an error for more than ``most`` pieces."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("piece", "id"))), lambda s: F.concat(s["piece"], s["id"].cast("string")))
-    return rows.agg(F.md5(F.array_join(ordered, "").cast("binary")).alias("checksum"))
+    return stated(rows, most).agg(F.md5(F.array_join(ordered, "").cast("binary")).alias("checksum"))
+
+
+def vocabulary_rows(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(vocabulary.pieces)), "id int, piece string").select("piece", "id")
+
+
+def vocabulary_report(rows: DataFrame, specials: tuple[str, ...] = SPECIALS) -> DataFrame:
+    """One row of ``rows`` (piece, id): number of pieces, specials that are not there, longer pieces with a brace in them.
+
+    Such pieces tell that the vocabulary was trained on whole lines instead of their values.
+    """
+    braced = F.when(F.col("piece").rlike("[{}]") & (F.length("piece") > 1), F.col("piece"))
+    special = F.when(F.col("piece").isin(*specials), F.col("piece"))
+    return rows.agg(
+        F.count("*").alias("vocab_size"),
+        F.array_except(F.array(*map(F.lit, specials)), F.collect_set(special)).alias("missing_specials"),
+        F.array_sort(F.collect_list(braced)).alias("pieces_with_braces"),
+    )
+
+
+def usable_vocabulary(rows: DataFrame) -> DataFrame:
+    """``rows`` (piece, id) if they hold the pad, begin and end tokens and one for each script, else an error naming the rest."""
+    needed = ("[pad]", "[bos]", "[eos]", *(f"[{t}]" for t in SCRIPTS))
+    missing = vocabulary_report(rows, needed).first()["missing_specials"]
+    if missing:
+        raise ValueError("the vocabulary lacks " + ", ".join(missing))
+    return rows
+
+
+def save_vocabulary(vocabulary: Vocabulary, folder: str) -> None:
+    """vocab.json (piece to id), merges.txt (a pair a line, in order) and special_tokens.json."""
+    out = Path(folder)
+    out.mkdir(parents=True, exist_ok=True)
+    (out / "vocab.json").write_text(json.dumps(vocabulary.ids, ensure_ascii=False), encoding="utf-8")
+    (out / "merges.txt").write_text("".join(f"{a} {b}\n" for a, b in vocabulary.merges), encoding="utf-8")
+    (out / "special_tokens.json").write_text(json.dumps(list(vocabulary.specials)), encoding="utf-8")
+
+
+def load_vocabulary(folder: str) -> Vocabulary:
+    """What ``save_vocabulary`` wrote; an error if the pieces' ids differ from those the merges give."""
+    at = Path(folder)
+    merges = [tuple(x.split(" ")) for x in (at / "merges.txt").read_text(encoding="utf-8").split("\n") if x]
+    out = Vocabulary(merges, tuple(json.loads((at / "special_tokens.json").read_text(encoding="utf-8"))))
+    if out.ids != json.loads((at / "vocab.json").read_text(encoding="utf-8")):
+        raise ValueError(f"pieces and merges in {folder} don't agree")
+    return out
+
+
+def prompt_fits(n_ids: Column, new: Column | int, most: int = 4096) -> Column:
+    """Whether a prompt and the tokens asked for fit the model's window."""
+    return n_ids + new <= most
 
 
 def input_tokens(prefix: Column, ids: Column, most: int, end: int | None = None) -> Column:

@@ -11,7 +11,7 @@ from ..functions import cells as C
 from ..functions import ids, names, scripts, toolcalls, variants
 from ..functions.base import spaced, strip, words
 from ..operators import batching, dataset, detectors, evaluation, expansion, grouping, letters, scoring, stages, tokens
-from ..sources.lines import last_by_key, numbered
+from ..sources.lines import last_by_key, positions
 from ..streaming import feed
 from . import inputs as I
 from .inputs import table
@@ -104,7 +104,7 @@ def split_cluster(spark, d):
 
 @query("WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS total FROM orders) SELECT o_orderkey, i AS idx FROM o WHERE i IN (SELECT (k * (SELECT count(*) FROM orders)) // 97 FROM range(97) t(k))")
 def stratified_val(spark, d):
-    rows = numbered(table(spark, d, "orders").select("o_orderkey"), "idx", ["o_orderkey"])
+    rows = positions(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", "idx")
     return rows.where(dataset.evenly_picked(F.col("idx"), table(spark, d, "orders").count(), 97))
 
 
@@ -138,7 +138,7 @@ _SHARDS = "WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey)
 
 
 def _sharded(spark, d):
-    return dataset.sharded(numbered(table(spark, d, "orders").select("o_orderkey"), "idx", ["o_orderkey"]), "idx", 2048).select("o_orderkey", "shard", "position", "key")
+    return dataset.sharded(positions(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", "idx"), "idx", 2048).select("o_orderkey", "shard", "position", "key")
 
 
 @query(_SHARDS + " SELECT * FROM s")

@@ -7,13 +7,14 @@ import json
 import re
 import tarfile
 from collections.abc import Iterator
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.base import strip
 from ..schema import RECORD, SCRIPTS
-from .lines import numbered
+from .lines import read_raw
 
 _SURFACE = "struct<tag:string,text:string>"
 
@@ -25,7 +26,7 @@ def read_clusters(spark: SparkSession, path: str, key_field: str = "id", strict:
     ``line-N``. Blank lines and lines without surfaces are left out. Lines with an error raise one if ``strict``,
     else they come back with it.
     """
-    lines = numbered(spark.read.text(path)).where(strip(F.col("value")) != "").withColumn("n", F.col("line_no") + 1)
+    lines = read_raw(spark, path, "value").where(strip(F.col("value")) != "").withColumn("n", F.col("line_no") + 1)
     parsed = lines.withColumn("j", F.try_parse_json("value"))
     shared = F.try_variant_get("j", "$.tag", "string")
     raw = F.from_json(F.get_json_object("value", "$.surfaces"), "array<string>")
@@ -93,6 +94,53 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("r", F.from_json("body", RECORD)).select("shard", "position", "key", "r.tags", "r.cells")
 
 
+def verified_shards(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """``manifest`` (shard, n, ...) with n_read, the members that the shards at ``path`` hold; an error where they differ."""
+    read = read_shards(spark, path).groupBy("shard").agg(F.count("*").alias("n_read"))
+    both = manifest.join(read, "shard", "full_outer")
+    wrong = F.concat(F.lit("shard "), F.col("shard"), F.lit(" holds "), F.coalesce("n_read", F.lit(0)), F.lit(" members, not "), F.coalesce("n", F.lit(0)))
+    return both.withColumn("n_read", F.when(F.col("n").eqNullSafe(F.col("n_read")), F.col("n_read")).otherwise(F.raise_error(wrong).cast("long")))
+
+
+def offsets(manifest: DataFrame) -> DataFrame:
+    """shard, begin, end: record numbers of each shard, end exclusive; a row a shard, summed in one task."""
+    upto = F.sum("n").over(Window.orderBy("shard"))
+    return manifest.select("shard", (upto - F.col("n")).alias("begin"), upto.alias("end"))
+
+
+def shard_pattern(split: str, n_shards: int) -> str | None:
+    """File name pattern of a split's shards, none without shards."""
+    return f"{split}/shard-{{000000..{n_shards - 1:06d}}}.tar.gz" if n_shards else None
+
+
+def write_tables(folder: str, manifest: DataFrame, frequency: DataFrame) -> None:
+    """offsets.json (record numbers where shards begin and the last ends) and char_frequencies.json (letters by script).
+
+    ``frequency`` (tag, letter, n) holds a row a letter of an alphabet, ``manifest`` a row a shard.
+    """
+    ends = [r["end"] for r in offsets(manifest).orderBy("shard").toLocalIterator()]
+    by_tag: dict[str, list] = {}
+    for r in frequency.orderBy("tag", F.desc("n"), "letter").toLocalIterator():
+        by_tag.setdefault(r["tag"], []).append([r["letter"], r["n"]])
+    out = Path(folder)
+    out.mkdir(parents=True, exist_ok=True)
+    (out / "offsets.json").write_text(json.dumps([0, *ends]), encoding="utf-8")
+    (out / "char_frequencies.json").write_text(json.dumps(by_tag, ensure_ascii=False), encoding="utf-8")
+
+
+def read_frequencies(folder: str) -> dict[str, list[tuple[str, int]]]:
+    """Letters and counts by script as ``write_tables`` leaves them; an error without the file."""
+    at = Path(folder) / "char_frequencies.json"
+    if not at.is_file():
+        raise FileNotFoundError(f"{at} is not there: build the shards first")
+    return {t: [(c, n) for c, n in pairs] for t, pairs in json.loads(at.read_text(encoding="utf-8")).items()}
+
+
+def first_records(records: DataFrame, n: int) -> DataFrame:
+    """The first records of the first shard."""
+    return records.join(records.agg(F.min("shard").alias("shard")), "shard").orderBy("position").limit(n)
+
+
 def checked_records(records: DataFrame) -> DataFrame:
     """Records, with an error for lists of different length, none at all, or blank cells."""
     fine = (F.size("tags") == F.size("cells")) & (F.size("tags") > 0) & F.forall("cells", lambda c: strip(c) != "")

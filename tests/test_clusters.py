@@ -77,7 +77,9 @@ def test_group_companies(spark):
 
 
 def test_evenly_picked_and_numbered(spark):
-    df = lines.numbered(spark.range(1000, 1103, numPartitions=5).select(F.col("id").alias("v")), "i", ["v"])
+    df = lines.positions(spark.range(1000, 1103, numPartitions=5).select(F.col("id").alias("v")), "v", "i", width=16)
+    assert [r["i"] for r in df.orderBy("v").collect()] == list(range(103))
+    assert [r["i"] for r in lines.numbered(spark.range(0, 50, numPartitions=7), "i").orderBy("id").collect()] == list(range(50))
     assert [tuple(r) for r in df.orderBy("v").limit(2).collect()] == [(1000, 0), (1001, 1)]
     got = {r["i"] for r in df.where(dataset.evenly_picked(F.col("i"), 103, 10)).collect()}
     assert got == {(k * 103) // 10 for k in range(10)}
