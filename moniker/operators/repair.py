@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells as C
 from ..functions import toolcalls, variants
+from ..sources.lines import settled
 from .dataset import rewritten
 from .expansion import cluster_cells
 from .stages import Client, attempted, audited
@@ -20,7 +21,7 @@ def repaired(client: Client, flagged: DataFrame, chinese: tuple[str, str] = ("",
     a script is dropped. All four answers are joined by line.
     """
     rows = flagged.withColumn("key", F.col("line_no").cast("string"))
-    told = audited(client, rows)
+    told = settled(audited(client, rows), "audits")
     fixed = told.where("outcome = 'fixed'").select("key", display_name(F.col("fixed_given"), F.col("fixed_family")).alias("label"))
     alts = attempted(client, fixed, "alternatives", toolcalls.alternative_spellings).select("key", F.coalesce("result", F.array().cast("array<string>")).alias("alts"))
     forms = transcribed(client, fixed, chinese).select("key", "forms", "missing")
@@ -33,11 +34,12 @@ def repaired(client: Client, flagged: DataFrame, chinese: tuple[str, str] = ("",
         "outcome": F.when(short, "dropped").otherwise(F.col("outcome")),
     })
     kept = lambda c: F.when(F.col("outcome") == "fixed", c)
-    return both.select(
+    records = both.select(
         "line_no", F.col("line").alias("original"), "flags", "given", "family",
         kept(F.col("fixed_given")).alias("fixed_given"), kept(F.col("fixed_family")).alias("fixed_family"), kept(F.col("alts")).alias("alts"),
         kept(C.format_line(cluster_cells(latin, F.col("forms")))).alias("new_line"), "outcome", "drop_reason", "warnings",
     )
+    return settled(records, "repair")
 
 
 def report_lines(records: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from ..functions import names, scripts, toolcalls, variants
 from ..functions.base import distinct, strip
 from ..functions.contaminants import holds_example, label_key
 from ..schema import SCRIPTS
+from ..sources.lines import settled
 from . import prompts
 from .expansion import company_script_forms
 from .stages import Client, attempted, first_call
@@ -45,7 +46,7 @@ def answered(client: Client, asks: DataFrame, attempt: int) -> DataFrame:
 
 def tried(client: Client, asks: DataFrame) -> DataFrame:
     """``answered``, asked once more where no call came."""
-    first = answered(client, asks, 0)
+    first = settled(answered(client, asks, 0), "answers")
     return first.where("found is not null").unionByName(answered(client, first.where("found is null").drop("found"), 1))
 
 
@@ -102,7 +103,7 @@ def completed(client: Client, rows: DataFrame, passes: Mapping[str, tuple[str, .
     each = F.explode(F.array(*(F.struct(F.lit(s).alias("stage"), F.array(*map(F.lit, t)).alias("tags")) for s, t in passes.items())))
     asks = todo.select(each.alias("p"), "key", "label").select("p.stage", "key", "label", "p.tags")
     first = gathered(todo, tried(client, asks), "raw").withColumn("fit", fitted(person_forms(F.col("raw"), chinese), F.col("label_key")))
-    first = first.select("key", "label", "label_key", "fit.kept", "fit.rejected", missing(F.col("fit.kept")).alias("missing"))
+    first = settled(first.select("key", "label", "label_key", "fit.kept", "fit.rejected", missing(F.col("fit.kept")).alias("missing")), "passes")
     more = gathered(first, answered(client, _narrow(first, "transliterate"), 1), "extra")
     extra = fitted(person_forms(F.col("extra"), chinese), F.col("label_key"))["kept"]
     done = more.select("key", C.merge_by_tag(F.col("kept"), extra).alias("forms"))
@@ -117,7 +118,7 @@ def transcribed(client: Client, rows: DataFrame, chinese: tuple[str, str] = ("",
 
     def state(raw: DataFrame) -> DataFrame:
         fit = raw.withColumn("fit", fitted(person_forms(F.col("raw"), chinese), F.col("label_key")))
-        return fit.select("key", "label", "label_key", "raw", F.col("fit.kept").alias("forms"), "fit.rejected", missing(F.col("fit.kept")).alias("missing"))
+        return settled(fit.select("key", "label", "label_key", "raw", F.col("fit.kept").alias("forms"), "fit.rejected", missing(F.col("fit.kept")).alias("missing")), "wave")
 
     def added(now: DataFrame, answers: DataFrame) -> DataFrame:
         return state(gathered(now, answers, "more").withColumn("raw", C.merge_by_tag(F.col("raw"), F.col("more"))))
@@ -138,10 +139,12 @@ def company_scripts(client: Client, rows: DataFrame, chinese: tuple[str, str] =
     """
     shown = rows.select("label").where("label is not null").distinct().withColumn("key", F.col("label"))
     told = attempted(client, shown, "judge", toolcalls.plausible_scripts).select("key", "label", F.array_intersect(_all_tags(), F.coalesce("result", F.array().cast("array<string>"))).alias("tags"))
+    told = settled(told, "judged")
     asks = told.where("size(tags) > 0").select(F.lit("company_emit").alias("stage"), "key", "label", "tags")
     widened = lambda c: fitted(company_script_forms(F.col(c), chinese), label_key(F.col("label")))
     first = answered(client, asks, 0).where("found is not null").withColumn("fit", widened("found"))
     first = first.select("stage", "key", "label", "tags", F.col("fit.kept").alias("kept"), "fit.rejected").withColumn("missing", missing(F.col("kept"), F.col("tags")))
+    first = settled(first, "emitted")
     again = answered(client, first.where("size(missing) > 0").select("stage", "key", "label", F.col("missing").alias("tags"), "rejected"), 1)
     extra = again.where("found is not null").select("key", widened("found")["kept"].alias("extra"))
     done = first.join(extra, "key", "left").select("label", C.merge_by_tag(F.col("kept"), F.coalesce("extra", _nothing())).alias("forms"))

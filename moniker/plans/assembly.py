@@ -179,7 +179,7 @@ def transcribe_wave(spark, d):
     """SELECT p_partkey, CASE WHEN length(p_name) % 3 = 0 THEN 'cy,jp' WHEN length(p_name) % 3 = 1 THEN 'kr' ELSE '' END AS scripts,
 CASE WHEN length(p_name) % 3 = 0 THEN CASE WHEN length(p_name) % 2 = 1 THEN 'cy,jp' ELSE 'cy' END WHEN length(p_name) % 3 = 1 AND length(p_name) % 2 = 1 THEN 'kr' ELSE '' END AS forms FROM part"""
 )
-def company_scripts(spark, d):
+def company_scripts_judged(spark, d):
     """Judged scripts by name, their forms with one retry; rows of one name share them, incomplete ones stay."""
     n = F.length("p_name")
     judge = F.when(n % 3 == 0, '["jp", "cy", "xx"]').when(n % 3 == 1, '["kr"]')

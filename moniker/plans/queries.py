@@ -23,6 +23,8 @@ ORACLE_SQL: dict[str, str] = {}
 def query(sql: str | None = None):
     def register(run):
         name = run.__name__
+        if name in QUERIES:
+            raise ValueError(f"two queries named {name}")
         QUERIES[name] = run
         if sql:
             ORACLE_SQL[name] = sql

@@ -117,3 +117,10 @@ def scratch(spark: SparkSession, tag: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "/tmp/moniker-shared"
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, for what several later steps read."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
