@@ -9,6 +9,8 @@ from __future__ import annotations
 import random
 import re
 import string
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +26,9 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _NAMES = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
-#: Tokens that the models judge; they need a letter and a digit.
-_TOKEN = re.compile(r"(?=([A-Za-z0-9+/_-]{20,}={0,2}))\1")
-_MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])", re.S)
+#: Tokens that the models judge: the shortest strings labelled random have as many characters.
+LEAST_CHARS = 16
+_TOKEN = re.compile(rf"(?=([A-Za-z0-9+/_-]{{{LEAST_CHARS},}}={{0,2}}))\1")
 
 _ALPHABET = string.ascii_letters + string.digits + "+/_-="
 _CODE = {c: i + 1 for i, c in enumerate(_ALPHABET)}  # 0 stands before a token
@@ -34,9 +36,9 @@ _CODE = {c: i + 1 for i, c in enumerate(_ALPHABET)}  # 0 stands before a token
 RANDOM_STRINGS = 20_000
 SAMPLE_DOCS = 2_000
 SAMPLE_WORDS = 100
-#: Nats per character that the threshold has at least, and above the highest ordinary sample.
+#: Nats per character that the threshold has at least, and the share of held-out samples that may lie beyond the level of their label.
 LEAST = 0.5
-MARGIN = 0.15
+BEYOND = 0.001
 
 
 class Markov:
@@ -67,12 +69,14 @@ class Detector:
     """Log-likelihood ratio per character with its threshold."""
 
     def __init__(self, random_strings: list[str], ordinary: list[str]):
-        fit = ordinary[::2] or ["a"]
-        self.random, self.ordinary = Markov(random_strings), Markov(fit)
-        held = [self.ratio(t) for t in ordinary[1::2] if len(t) >= 20]
-        self.threshold = max(LEAST, max(held, default=0.0) + MARGIN) if held else LEAST
-        # a wrongly labelled sample must not close the detector
-        self.threshold = min(self.threshold, 1.5)
+        self.random, self.ordinary = Markov(random_strings[::2]), Markov(ordinary[::2] or ["a"])
+        # halfway between the labels' held-out samples; a few wrongly labelled ones move neither level
+        low, high = self._level(ordinary[1::2], 1 - BEYOND), self._level(random_strings[1::2], BEYOND)
+        self.threshold = LEAST if low is None or high is None else max(LEAST, (low + high) / 2)
+
+    def _level(self, tokens: list[str], share: float) -> float | None:
+        ratios = [self.ratio(t) for t in tokens if len(t) >= LEAST_CHARS]
+        return float(np.quantile(ratios, share)) if ratios else None
 
     def ratio(self, token: str) -> float:
         return (self.random.score(token) - self.ordinary.score(token)) / len(token)
@@ -86,11 +90,12 @@ class Detector:
             out += [(m.start(), m.end(), "access") for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
         out += [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
         base = sorted((a, b) for a, b, _ in out)
+        starts, ends = [a for a, _ in base], list(accumulate((b for _, b in base), max))
         for m in _TOKEN.finditer(text):
-            token = m[1]
-            if not _MIXED.match(token) or any(a < m.end(1) and m.start(1) < b for a, b in base):
+            before = bisect_left(starts, m.end(1))
+            if before and ends[before - 1] > m.start(1):  # within a span of a pattern
                 continue
-            if self.ratio(token) > self.threshold:
+            if self.ratio(m[1]) > self.threshold:
                 out.append((m.start(1), m.end(1), "random"))
         return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 

@@ -13,7 +13,10 @@ FALLBACK_DIR = "/tmp/moniker-shared"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (named or FALLBACK_DIR).rstrip("/")
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
