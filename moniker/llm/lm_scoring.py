@@ -136,6 +136,18 @@ def _contexts(code: np.ndarray, word: np.ndarray) -> list[np.ndarray]:
     return [*own, tk.mix(word + tk._K1)]
 
 
+def _together(code: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Sorting by it puts runs with equal contexts together: first by the last byte known, then by the one before and so on."""
+    return (code >> np.uint64(8)).byteswap() | ((word & np.uint64(0xFFFF)) << np.uint64(8)) | (code & np.uint64(255))
+
+
+def _changes(x: np.ndarray) -> np.ndarray:
+    """Whether each differs from the one before; the first does."""
+    out = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
+
+
 def _row_keys(context: np.ndarray, high: np.ndarray | None = None) -> np.ndarray:
     """Key of the row of the upper half byte, or, after ``high``, of the lower; the last four bits are zero."""
     return (context if high is None else tk.mix(context + (high + np.uint64(1)) * tk._K1)) & ~np.uint64(15)
@@ -239,6 +251,14 @@ class Mixer:
             far = far[(got != mark[far]) & (got != 0)]
         return self.place[at].astype(np.int64) * 16
 
+    def _slots(self, keys: list[np.ndarray]) -> list[np.ndarray]:
+        """``slot`` of each; equal keys that stand together are looked up once."""
+        out = []
+        for key in keys:
+            new = _changes(key)
+            out.append(self.slot(key[new])[np.cumsum(new) - 1])
+        return out
+
     def mixed(self, states: list[np.ndarray], node: np.ndarray, k: int, worth, weights, refined):
         """Probability of a one, and all that learning needs."""
         x = [own[state] for own, state in zip(worth, states, strict=True)]
@@ -321,35 +341,55 @@ class Mixer:
     def cost(self, code: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Bits of the last byte of each run after the others."""
         out = np.empty(len(code), np.float32)
-        scale = np.float32((_BUCKETS - 1) / (2 * _RANGE))
+        order = np.argsort(_together(code, word))
         for first in range(0, len(code), 1 << 15):  # small enough for the processor's cache
-            part = slice(first, first + (1 << 15))
-            every = np.ones(len(code[part]), np.float64)
-            for k, bit, node, states in self._bits(code[part], word[part]):
-                known = np.zeros(len(bit), np.int16)
-                for state in states:
-                    known += state != 0
-                dot = self.bias[7 - k].take(known)
-                known <<= 8
-                for j, state in enumerate(states):
-                    dot += self.adds[7 - k, j].take(known + state)
-                np.clip(dot, -_RANGE, _RANGE, out=dot)
-                at = (dot + np.float32(_RANGE)) * scale
-                low = np.minimum(at.astype(np.int32), _BUCKETS - 2)
-                at -= low
-                place = node * _BUCKETS + low
-                seen = self.refine.take(place)
-                seen += at * (self.refine.take(place + 1) - seen)
-                np.exp(-dot, out=dot)
-                dot += 1
-                np.divide(np.float32(1), dot, out=dot)
-                dot += seen
-                dot *= np.float32(0.5)
-                np.clip(dot, np.float32(1e-5), np.float32(1 - 1e-5), out=dot)
-                every *= np.where(bit == 1, dot, 1 - dot)
-            out[part] = -np.log2(every)
+            part = order[first : first + (1 << 15)]
+            out[part] = self._cost(code[part], word[part])
         return out
 
+    def _cost(self, code: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """``cost`` of runs in the order of ``_together``: those with equal contexts and upper bits share the next bit's prediction."""
+        scale = np.float32((_BUCKETS - 1) / (2 * _RANGE))
+        byte, other = (code & np.uint64(255)).astype(np.int64), _changes(word)
+        every = np.ones(len(code), np.float64)
+        for k in range(7, -1, -1):
+            new = other | _changes(code >> np.uint64(k + 1))
+            one = np.flatnonzero(new)
+            if k == 7:
+                contexts = _contexts(code[one], word[one])
+                slots, of = self._slots([_row_keys(c) for c in contexts]), np.cumsum(new) - 1
+            elif k == 3:
+                high = (code[one] >> np.uint64(4)) & np.uint64(15)
+                row = of[one]
+                slots, of = self._slots([_row_keys(c[row], high) for c in contexts]), np.cumsum(new) - 1
+            node = (byte[one] | 256) >> (k + 1)
+            inner = node if k > 3 else (1 << (3 - k)) | (node & ((1 << (3 - k)) - 1))
+            row = of[one]
+            states = [self.state[s[row] + inner] for s in slots]
+            known = np.zeros(len(one), np.int16)
+            for state in states:
+                known += state != 0
+            dot = self.bias[7 - k].take(known)
+            known <<= 8
+            for j, state in enumerate(states):
+                dot += self.adds[7 - k, j].take(known + state)
+            np.clip(dot, -_RANGE, _RANGE, out=dot)
+            at = (dot + np.float32(_RANGE)) * scale
+            low = np.minimum(at.astype(np.int32), _BUCKETS - 2)
+            at -= low
+            place = node * _BUCKETS + low
+            seen = self.refine.take(place)
+            seen += at * (self.refine.take(place + 1) - seen)
+            np.exp(-dot, out=dot)
+            dot += 1
+            np.divide(np.float32(1), dot, out=dot)
+            dot += seen
+            dot *= np.float32(0.5)
+            np.clip(dot, np.float32(1e-5), np.float32(1 - 1e-5), out=dot)
+            dot = np.repeat(dot, np.diff(np.append(one, len(code))))
+            every *= np.where((byte >> k) & 1, dot, 1 - dot)
+        return -np.log2(every)
+
     def bits(self, texts: pa.Array) -> np.ndarray:
         """Bits of each text, its end included."""
         out = np.zeros(len(texts))
