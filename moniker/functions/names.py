@@ -177,14 +177,14 @@ def split_display(name: Column) -> Column:
 
 def heal(given: Column, family: Column) -> Column:
     """Struct given, family; an empty family takes the last token of the given side unless that is a bare initial."""
-    g, f = strip(given), strip(family)
 
-    def healed(tokens):
+    def healed(x):
+        tokens, g, f = x["t"], x["g"], x["f"]
         last = F.element_at(tokens, F.greatest(F.size(tokens), F.lit(1)))
         takes = (f == "") & (F.size(tokens) >= 2) & ~F.regexp_replace(F.coalesce(last, F.lit("")), r"\.+$", "").rlike(r"^\p{L}$")
         return F.struct(F.when(takes, spaced(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))))).otherwise(g).alias("given"), F.when(takes, last).otherwise(f).alias("family"))
 
-    return let(words(g), healed)
+    return let(F.struct(strip(given).alias("g"), strip(family).alias("f")), lambda s: let(F.struct(words(s["g"]).alias("t"), s["g"].alias("g"), s["f"].alias("f")), healed))
 
 
 def sides_of_forms(forms: Column) -> Column:

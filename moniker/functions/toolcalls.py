@@ -23,26 +23,26 @@ def strip_thinking(text: Column) -> Column:
 def calls(text: Column) -> Column:
     """Array of struct name, args (map of raw parameter texts); the XML form first, else a JSON list of calls."""
 
+    none = F.create_map().cast("map<string,string>")
+
+    def found(text, pattern, **groups):
+        return F.struct(*(F.regexp_extract_all(text, F.lit(pattern), F.lit(k)).alias(name) for name, k in groups.items()))
+
+    def arguments(body):
+        from_json = F.when(strip(body).startswith("{"), F.from_json(strip(body), "map<string,string>"))
+        # of parameters given twice the last counts
+        last = lambda p, k: F.element_at(F.reverse(p["v"]), F.array_position(F.reverse(p["k"]), k).cast("int"))
+        given = lambda p: F.map_from_entries(F.transform(F.array_distinct(p["k"]), lambda k: F.struct(k.alias("key"), strip(last(p, k)).alias("value"))))
+        return let(found(body, PARAMETER, k=1, v=2), lambda p: F.when(F.size(p["k"]) > 0, given(p)).otherwise(F.coalesce(from_json, none)))
+
     def of(t):
-        names, bodies = F.regexp_extract_all(t, F.lit(CALL), F.lit(1)), F.regexp_extract_all(t, F.lit(CALL), F.lit(2))
-
-        def arguments(body):
-            keys, values = F.regexp_extract_all(body, F.lit(PARAMETER), F.lit(1)), F.regexp_extract_all(body, F.lit(PARAMETER), F.lit(2))
-            # of parameters given twice the last counts
-            last = F.map_from_entries(
-                F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("key"), F.element_at(F.filter(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda p: p["k"] == k), -1)["v"].alias("value")))
-            )
-            from_json = F.when(strip(body).startswith("{"), F.from_json(strip(body), "map<string,string>"))
-            none = F.create_map().cast("map<string,string>")
-            return F.when(F.size(keys) > 0, F.transform_values(last, lambda _, v: strip(v))).otherwise(F.coalesce(from_json, none))
-
-        xml = F.zip_with(names, bodies, lambda n, b: F.struct(strip(n).alias("name"), arguments(b).alias("args")))
         listed = F.when(strip(t).startswith("["), F.from_json(strip(t), "array<struct<name:string,arguments:map<string,string>,parameters:map<string,string>>>"))
         json = F.transform(
             F.filter(F.coalesce(listed, F.array().cast("array<struct<name:string,arguments:map<string,string>,parameters:map<string,string>>>")), lambda c: c["name"].isNotNull()),
-            lambda c: F.struct(c["name"].alias("name"), F.coalesce(c["arguments"], c["parameters"], F.create_map().cast("map<string,string>")).alias("args")),
+            lambda c: F.struct(c["name"].alias("name"), F.coalesce(c["arguments"], c["parameters"], none).alias("args")),
         )
-        return F.when(F.size(xml) > 0, xml).otherwise(json)
+        xml = lambda x: F.zip_with(x["n"], x["b"], lambda n, b: F.struct(strip(n).alias("name"), arguments(b).alias("args")))
+        return let(found(t, CALL, n=1, b=2), lambda x: F.when(F.size(x["n"]) > 0, xml(x)).otherwise(json))
 
     return let(strip_thinking(text), of)
 

@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scripts, toolcalls
+from ..functions.base import let
 from ..functions.cells import merge_by_tag
 from ..functions.names import title_name
-from ..sources.lines import scratch
+from ..sources.lines import scratch, settled, spread
 from . import prompts
 
 # Sampling of each stage's attempts.
@@ -85,13 +86,21 @@ def first_call(raw_text: Column) -> Column:
     return F.get(toolcalls.calls(F.coalesce(raw_text, F.lit(""))), 0)
 
 
+def read_call(raw_text: Column, parse) -> Column:
+    """``parse`` of the first call, which is taken out of the text once."""
+    return let(first_call(raw_text), lambda call: parse(call))  # a second parameter of parse is not the place
+
+
 def attempted(client: Client, rows: DataFrame, stage: str, parse, attempts: int = 2) -> DataFrame:
-    """``rows`` (key, perhaps label) with result and attempt: each attempt asks for what is still without a result."""
+    """``rows`` (key, perhaps label) with result and attempt: each attempt asks for what is still without a result.
+
+    Every answer is read once, by all cores, and what it says is written.
+    """
     about = [c for c in ("key", "label") if c in rows.columns]
     left, done = rows.select(*about).distinct(), None
     for k in range(attempts):
         asked = client.answers(prompts.prompted(left.select(F.lit(stage).alias("stage"), *about, F.lit(k).alias("attempt"))))
-        parsed = asked.select(*about, "attempt", parse(first_call(F.col("raw_text"))).alias("result"))
+        parsed = settled(spread(asked).select(*about, "attempt", read_call(F.col("raw_text"), parse).alias("result")), stage)
         found = parsed.where("result is not null").select("key", "attempt", "result")
         done = found if done is None else done.unionByName(found)
         left = parsed.where("result is null").select(*about)
