@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from ..functions import cells as C
 from ..functions import names, scripts, toolcalls, variants
-from ..functions.base import distinct, strip
+from ..functions.base import distinct, let, strip
 from ..functions.contaminants import holds_example, label_key
 from ..schema import SCRIPTS
-from ..sources.lines import settled
+from ..sources.lines import settled, spread
 from . import prompts
 from .expansion import company_script_forms
-from .stages import Client, attempted, first_call
+from .stages import Client, attempted, read_call
 
 TAGS = SCRIPTS[1:]
 # Scripts asked for together.
@@ -39,8 +39,8 @@ def _nothing() -> Column:
 
 def answered(client: Client, asks: DataFrame, attempt: int) -> DataFrame:
     """``asks`` (stage, key, label, tags) with ``found``: forms by tag, of the tags asked for; null without such a call."""
-    raw = client.answers(prompts.prompted(asks.withColumn("attempt", F.lit(attempt))))
-    found = toolcalls.emitted_scripts(first_call(F.col("raw_text")))
+    raw = spread(client.answers(prompts.prompted(asks.withColumn("attempt", F.lit(attempt)))))
+    found = read_call(F.col("raw_text"), toolcalls.emitted_scripts)
     return raw.select(*asks.columns, F.map_filter(found, lambda t, _: F.array_contains("tags", t)).alias("found"))
 
 
@@ -52,10 +52,12 @@ def tried(client: Client, asks: DataFrame) -> DataFrame:
 
 def gathered(rows: DataFrame, answers: DataFrame, name: str) -> DataFrame:
     """``rows`` (key, ...) with the forms by tag of all their answers, those of the first stage by name first."""
-    entries = answers.select("key", "stage", F.explode("found").alias("tag", "forms"))
+    # the outer explode, as the other one asks for the map beforehand, which reads each answer once more
+    entries = answers.select("key", "stage", F.explode_outer("found").alias("tag", "forms")).where("tag is not null")
     by_key = entries.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("stage", "tag", "forms"))).alias("e"))
-    of = lambda t: F.array_distinct(F.flatten(F.transform(F.filter("e", lambda e: e["tag"] == t), lambda e: e["forms"])))
-    forms = F.map_filter(F.map_from_entries(F.transform(_all_tags(), lambda t: F.struct(t.alias("key"), of(t).alias("value")))), lambda _, v: F.size(v) > 0)
+    of = lambda e, t: F.array_distinct(F.flatten(F.transform(F.filter(e, lambda x: x["tag"] == t), lambda x: x["forms"])))
+    merged = lambda e: F.map_from_entries(F.transform(_all_tags(), lambda t: F.struct(t.alias("key"), of(e, t).alias("value"))))
+    forms = F.map_filter(let(F.col("e"), merged), lambda _, v: F.size(v) > 0)
     return rows.join(by_key.select("key", forms.alias(name)), "key", "left").withColumn(name, F.coalesce(name, _nothing()))
 
 
@@ -69,13 +71,10 @@ def fitted(forms: Column, label: Column) -> Column:
 
     ``label`` is a ``label_key``.
     """
-    good = lambda tag, v: scripts.in_script(v, tag) & ~holds_example(label, v)
-    clean = lambda vs: distinct(F.transform(vs, strip))
-    filled = lambda m: F.map_filter(m, lambda _, vs: F.size(vs) > 0)
-    return F.struct(
-        filled(F.transform_values(forms, lambda t, vs: F.filter(clean(vs), lambda v: good(t, v)))).alias("kept"),
-        filled(F.transform_values(forms, lambda t, vs: F.filter(clean(vs), lambda v: ~good(t, v)))).alias("rejected"),
-    )
+    judged = lambda tag, v: F.struct(v.alias("form"), (scripts.in_script(v, tag) & ~holds_example(label, v)).alias("good"))
+    each = F.transform_values(forms, lambda t, vs: F.transform(distinct(F.transform(vs, strip)), lambda v: judged(t, v)))
+    told = lambda m, test: F.map_filter(F.transform_values(m, lambda _, vs: F.transform(F.filter(vs, test), lambda v: v["form"])), lambda _, vs: F.size(vs) > 0)
+    return let(each, lambda m: F.struct(told(m, lambda v: v["good"]).alias("kept"), told(m, lambda v: ~v["good"]).alias("rejected")))
 
 
 def missing(forms: Column, wanted: Column | None = None) -> Column:
@@ -102,9 +101,9 @@ def completed(client: Client, rows: DataFrame, passes: Mapping[str, tuple[str, .
     todo = _keyed(rows)
     each = F.explode(F.array(*(F.struct(F.lit(s).alias("stage"), F.array(*map(F.lit, t)).alias("tags")) for s, t in passes.items())))
     asks = todo.select(each.alias("p"), "key", "label").select("p.stage", "key", "label", "p.tags")
-    first = gathered(todo, tried(client, asks), "raw").withColumn("fit", fitted(person_forms(F.col("raw"), chinese), F.col("label_key")))
+    first = spread(gathered(todo, tried(client, asks), "raw")).withColumn("fit", fitted(person_forms(F.col("raw"), chinese), F.col("label_key")))
     first = settled(first.select("key", "label", "label_key", "fit.kept", "fit.rejected", missing(F.col("fit.kept")).alias("missing")), "passes")
-    more = gathered(first, answered(client, _narrow(first, "transliterate"), 1), "extra")
+    more = spread(gathered(first, answered(client, _narrow(first, "transliterate"), 1), "extra"))
     extra = fitted(person_forms(F.col("extra"), chinese), F.col("label_key"))["kept"]
     done = more.select("key", C.merge_by_tag(F.col("kept"), extra).alias("forms"))
     return rows.join(done.withColumn("missing", missing(F.col("forms"))), "key", "left")
@@ -117,7 +116,7 @@ def transcribed(client: Client, rows: DataFrame, chinese: tuple[str, str] = ("",
     """
 
     def state(raw: DataFrame) -> DataFrame:
-        fit = raw.withColumn("fit", fitted(person_forms(F.col("raw"), chinese), F.col("label_key")))
+        fit = spread(raw).withColumn("fit", fitted(person_forms(F.col("raw"), chinese), F.col("label_key")))
         return settled(fit.select("key", "label", "label_key", "raw", F.col("fit.kept").alias("forms"), "fit.rejected", missing(F.col("fit.kept")).alias("missing")), "wave")
 
     def added(now: DataFrame, answers: DataFrame) -> DataFrame:

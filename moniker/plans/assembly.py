@@ -138,8 +138,8 @@ def _call(value: Callable[[int, str], Column | None], tags=transliteration.TAGS)
 def _answers(spark, d, *rows: tuple[Column, Column, Column], key: str = "p_partkey") -> stages.Responses:
     """Answers (stage, attempt, raw_text; null: none) for each part."""
     each = F.explode(F.array(*(F.struct(s.alias("stage"), a.alias("attempt"), t.alias("raw_text")) for s, a, t in rows))).alias("r")
-    said = table(spark, d, "part").select(F.col(key).cast("string").alias("key"), each).select("r.stage", "key", "r.attempt", "r.raw_text")
-    return stages.Responses(said.where("raw_text is not null").distinct())
+    said = files.spread(table(spark, d, "part")).select(F.col(key).cast("string").alias("key"), each).select("r.stage", "key", "r.attempt", "r.raw_text")
+    return stages.Responses(files.settled(said.where("raw_text is not null").distinct(), "said"))
 
 
 def _first(j: int, tag: str) -> Column:

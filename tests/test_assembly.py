@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from moniker.functions import toolcalls
 from moniker.operators import dataset, evaluation, letters, merging, prompts, repair, stages, tokens, transliteration
 from moniker.sources import clusters, lines
 
@@ -167,3 +168,26 @@ def test_a_service_is_asked_once(spark, tmp_path):
 def test_tools_name_their_tags():
     tool = prompts.script_tool(("cy", "jp", "th"))["function"]["parameters"]
     assert tool["required"] == ["cy", "jp", "th"] and set(tool["properties"]) == {"cy", "jp", "th", "jp_kana", "cy_alt", "jp_alt"}
+
+
+def test_a_call_is_taken_out_of_an_answer_once(spark):
+    asks = spark.createDataFrame([("transcribe", "k", "x", ["cy"])], "stage string, key string, label string, tags array<string>")
+    told = transliteration.answered(answers(spark, ("transcribe", "k", 0, "none")), asks, 0)
+    plan = told._jdf.queryExecution().optimizedPlan().treeString().replace(" ", "")
+    assert 0 < plan.count("regexp_extract_all") <= 4
+
+
+def test_answers_of_one_file_are_read_by_several_tasks(spark, tmp_path):
+    said = call("emit_alt_latin", alts="a, b")
+    keys = spark.range(400).select(F.col("id").cast("string").alias("key"))
+    keys.select(F.lit("alternatives").alias("stage"), "key", F.lit(0).alias("attempt"), F.lit(said).alias("raw_text")).coalesce(1).write.parquet(str(tmp_path / "one"))
+    client = stages.Responses(spark.read.parquet(str(tmp_path / "one")))
+    out = stages.attempted(client, keys, "alternatives", toolcalls.alternative_spellings)
+    assert out.where("result[0] = 'a, b'").count() == 400
+    assert len(out.inputFiles()) > 1
+
+
+def test_second_forms_of_a_call_are_read(spark):
+    asks = spark.createDataFrame([("transcribe", "k", "x", ["cy"])], "stage string, key string, label string, tags array<string>")
+    told = transliteration.answered(answers(spark, ("transcribe", "k", 0, call("emit_scripts", cy="Иван", cy_alt='["Иоанн", "Ваня", "Ян"]'))), asks, 0)
+    assert told.first()["found"] == {"cy": ["Иван", "Иоанн", "Ваня"]}
