@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import SCRIPTS
-from .evaluation import stated
 
+#: Bytes of a block of a checksum: what a task holds of them at once is a batch of blocks.
+BLOCK = 1 << 13
 SPECIALS = ("[pad]", "[unk]", "[bos]", "[eos]", "[mask]", *(f"[{t}]" for t in SCRIPTS))
 CHUNK = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -157,10 +161,32 @@ def verified(rows: DataFrame) -> DataFrame:
     )
 
 
-def vocabulary_checksum(rows: DataFrame, most: int = 1 << 20) -> DataFrame:
-    """md5 over piece and id of all rows (piece, id), in order of the pieces; an error for more than ``most`` pieces."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("piece", "id"))), lambda s: F.concat(s["piece"], s["id"].cast("string")))
-    return stated(rows, most).agg(F.md5(F.array_join(ordered, "").cast("binary")).alias("checksum"))
+def vocabulary_checksum(rows: DataFrame) -> DataFrame:
+    """md5 over piece and id of all rows (piece, id), in order of the pieces.
+
+    The rows are ordered in ranges and put together to blocks in the tasks of these. The digest goes from one byte to the
+    next, so one task takes the blocks in, sorted outside of memory where they are many; no row goes to the driver.
+    """
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            text = "".join(batch.column(0).drop_null().to_pylist()).encode()
+            cut = [text[k : k + BLOCK] for k in range(0, len(text), BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(cut), pa.int64()), pa.array(range(at, at + len(cut)), pa.int64()), pa.array(cut, pa.binary())], ["part", "at", "block"])
+            at += len(cut)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = hashlib.md5()
+        for batch in batches:
+            for block in batch.column(0):
+                out.update(block.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([out.hexdigest()])], ["checksum"])
+
+    ordered = rows.orderBy("piece", "id").select(F.concat("piece", F.col("id").cast("string")).alias("text"))
+    cut = ordered.mapInArrow(blocks, "part long, at long, block binary").repartition(1).sortWithinPartitions("part", "at")
+    told = cut.select("block").mapInArrow(digest, "checksum string")
+    return told.agg(F.coalesce(F.max("checksum"), F.lit(hashlib.md5().hexdigest())).alias("checksum"))
 
 
 def vocabulary_rows(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:

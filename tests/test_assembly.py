@@ -1,5 +1,6 @@
 """Merging, files, shards, stages that ask a model, vocabularies, quantiles."""
 
+import hashlib
 import random
 
 import pytest
@@ -191,3 +192,11 @@ def test_second_forms_of_a_call_are_read(spark):
     asks = spark.createDataFrame([("transcribe", "k", "x", ["cy"])], "stage string, key string, label string, tags array<string>")
     told = transliteration.answered(answers(spark, ("transcribe", "k", 0, call("emit_scripts", cy="Иван", cy_alt='["Иоанн", "Ваня", "Ян"]'))), asks, 0)
     assert told.first()["found"] == {"cy": ["Иван", "Иоанн", "Ваня"]}
+
+
+def test_checksum_of_more_pieces_than_a_million(spark):
+    n = (1 << 20) + 7
+    rows = spark.range(n).select(F.concat(F.lit("é"), F.col("id") % 1000).alias("piece"), "id")
+    ordered = sorted((f"é{k % 1000}", k) for k in range(n))
+    assert [r["checksum"] for r in tokens.vocabulary_checksum(rows).collect()] == [hashlib.md5("".join(f"{p}{k}" for p, k in ordered).encode()).hexdigest()]
+    assert tokens.vocabulary_checksum(rows.where("false")).first()["checksum"] == hashlib.md5(b"").hexdigest()
