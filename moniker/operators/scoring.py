@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -10,9 +12,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.lines import spread
 from .evaluation import stated
 
 
+#: Rows of costs that a task gives on at once.
+ROWS = 20_000
+
+
 class Scorer(Protocol):
     """What a model must do: encode a cluster's surfaces, and give a surface's cost by token under an encoding."""
 
@@ -21,6 +28,15 @@ class Scorer(Protocol):
     def nll(self, mean: list[float], tag: str | None, text: str) -> list[float]: ...
 
 
+@lru_cache(1 << 14)
+def _trigrams(text: str, dim: int) -> np.ndarray:
+    out = np.zeros(dim)
+    padded = f"^{text.lower()}$"
+    for k in range(len(padded) - 2):
+        out[zlib.crc32(padded[k : k + 3].encode()) % dim] += 1
+    return out / max(1.0, np.linalg.norm(out))
+
+
 class TrigramScorer:
     """A stand-in without a trained model: hashed character trigrams, cost by token from their distance."""
 
@@ -28,13 +44,7 @@ class TrigramScorer:
         self.dim = dim
 
     def _vector(self, text: str) -> np.ndarray:
-        import zlib
-
-        out = np.zeros(self.dim)
-        padded = f"^{text.lower()}$"
-        for k in range(len(padded) - 2):
-            out[zlib.crc32(padded[k : k + 3].encode()) % self.dim] += 1
-        return out / max(1.0, np.linalg.norm(out))
+        return _trigrams(text, self.dim)
 
     def encode(self, surfaces):
         v = np.stack([self._vector(t) for _, t in surfaces])
@@ -47,35 +57,52 @@ class TrigramScorer:
         return [far] * max(1, len(text.split()))
 
 
+def _encoded(scorer: Scorer, surfaces, most: int) -> tuple[list[float], list[float]]:
+    return scorer.encode([(s["tag"], s["text"]) for s in surfaces[:most]])
+
+
 def posteriors(clusters: DataFrame, scorer: Scorer, most: int = 12) -> DataFrame:
     """Columns key, mean, logvar of ``clusters`` (key, surfaces); at most ``most`` surfaces are looked at."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pairs = [scorer.encode([(s["tag"], s["text"]) for s in surfaces[:most]]) for surfaces in pdf["surfaces"]]
+            pairs = [_encoded(scorer, surfaces, most) for surfaces in pdf["surfaces"]]
             yield pd.DataFrame({"key": pdf["key"], "mean": [m for m, _ in pairs], "logvar": [v for _, v in pairs]})
 
     return clusters.where(F.size("surfaces") > 0).select("key", "surfaces").mapInPandas(run, "key string, mean array<double>, logvar array<double>")
 
 
-def cross_scored(queries: DataFrame, panel: DataFrame, scorer: Scorer, primed: tuple[bool, ...] = (True,), most: int = 100_000) -> DataFrame:
+def cross_scored(queries: DataFrame, panel: DataFrame, scorer: Scorer, primed: tuple[bool, ...] = (True,), most: int = 100_000, surfaces: int = 12) -> DataFrame:
     """Columns id, candidate, primed, nll_tok: cost by token of each candidate's surfaces under each query's encoding.
 
-    The panel is what the query set is matched against, a stated set of ``most`` clusters at most (more are an error): it
-    is exploded to surfaces once and goes through the scorer in batches. Costs are averaged by surface, then by candidate.
+    The panel is what the query set is matched against, a stated set of ``most`` clusters at most (more are an error): every
+    task has it, so a query is encoded and scored where it is, and only costs are shuffled. Costs are averaged by surface,
+    then by candidate. Of a query's surfaces ``surfaces`` at most are looked at.
     """
-    asked = posteriors(queries, scorer).select(F.col("key").alias("id"), "mean")
-    told = stated(panel, most).select(F.col("key").alias("candidate"), F.posexplode("surfaces").alias("at", "s")).select("candidate", "at", "s.tag", "s.text")
-    flags = F.explode(F.array(*map(F.lit, primed))).alias("primed")
+    own: dict[str, list[tuple[str, str]]] = {}
+    for r in stated(panel, most).select(F.col("key").alias("candidate"), F.explode("surfaces").alias("s")).select("candidate", "s.tag", "s.text").toLocalIterator():
+        own.setdefault(r["candidate"], []).append((r["tag"], r["text"]))
+    told = queries.sparkSession.sparkContext.broadcast(own)
+    columns = ["id", "candidate", "primed", "cost", "n"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            cost = [float(np.mean(scorer.nll(m, t if p else None, x))) for m, t, x, p in zip(pdf["mean"], pdf["tag"], pdf["text"], pdf["primed"], strict=True)]
-            yield pdf[["id", "candidate", "primed"]].assign(cost=cost)
-
-    pairs = asked.crossJoin(told).select("id", "candidate", "mean", "tag", "text", flags)
-    costs = pairs.mapInPandas(run, "id string, candidate string, primed boolean, cost double")
-    return costs.groupBy("id", "candidate", "primed").agg(F.avg("cost").alias("nll_tok"))
+            rows = []
+            for key, mine in zip(pdf["key"], pdf["surfaces"], strict=True):
+                mean = np.asarray(_encoded(scorer, mine, surfaces)[0])
+                for candidate, forms in told.value.items():
+                    for p in primed:
+                        costs = [scorer.nll(mean, t if p else None, x) for t, x in forms]
+                        rows.append((key, candidate, p, sum(sum(c) / len(c) for c in costs), len(costs)))
+                if len(rows) >= ROWS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
+
+    asked = spread(queries.where(F.size("surfaces") > 0).select("key", "surfaces"))
+    costs = asked.mapInPandas(run, "id string, candidate string, primed boolean, cost double, n long")
+    return costs.groupBy("id", "candidate", "primed").agg((F.sum("cost") / F.sum("n")).alias("nll_tok"))
 
 
 def ranked(scores: DataFrame, order: str, most: int = 10) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import random
 from statistics import median
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -220,3 +221,19 @@ def test_contaminants(spark):
     rows = [("Wei Zhang", "张伟", False), ("Li Na", "张伟", True), ("José María García-López", "何塞·玛丽亚·加西亚-洛佩斯", False), ("Yuki Abe", "田中雪", False), ("Ada King", "田中雪x", True), ("Ada King", "エイダ", False)]
     df = spark.createDataFrame(rows, "label string, value string, wanted boolean")
     assert df.where(is_contaminant(F.col("label"), F.col("value")) != F.col("wanted")).count() == 0
+
+
+def test_a_panel_is_scored_where_the_query_is(spark):
+    kind = "key string, surfaces array<struct<tag:string,text:string>>"
+    texts = {"a": ["Ada King"], "b": ["Bo Li", "Li Bo"], "none": []}
+    own = spark.createDataFrame([(k, [("la", x) for x in of]) for k, of in texts.items()], kind)
+    panel = spark.createDataFrame([("p", [("la", "Ada"), ("cy", "Ада Кинг")]), ("q", [("la", "Bo Li")])], kind)
+    scorer = scoring.TrigramScorer()
+    out = scoring.cross_scored(own, panel, scorer, (True, False))
+    got = {(r["id"], r["candidate"], r["primed"]): r["nll_tok"] for r in out.collect()}
+    means = {k: np.asarray(scorer.encode([("la", x) for x in of])[0]) for k, of in texts.items() if of}
+    cost = lambda k, forms: np.mean([np.mean(scorer.nll(means[k], None, x)) for x in forms])
+    wanted = {(k, c, p): cost(k, forms) for k in means for c, forms in {"p": ["Ada", "Ада Кинг"], "q": ["Bo Li"]}.items() for p in (True, False)}
+    assert got == pytest.approx(wanted)
+    plan = out._jdf.queryExecution().optimizedPlan().treeString()
+    assert "Join" not in plan and "Repartition" in plan
