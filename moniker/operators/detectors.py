@@ -11,6 +11,7 @@ from ..functions import cells as C
 from ..functions.base import among, let, strip, words
 from ..functions.names import PARTICLES, is_initial
 from ..schema import FLAGS
+from ..sources.lines import spread
 
 # Title, generational, noise words; particles that are syllables too; title markers by script.
 TITLES = (
@@ -182,14 +183,22 @@ DETECTORS: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
-def flag(clusters: DataFrame, cells: str = "cells") -> DataFrame:
-    """``clusters`` with forms (Latin spellings) and flags of all detectors."""
-    out = clusters.withColumn("forms", C.forms(F.col(cells)))
-    for name, detect in DETECTORS.items():
-        out = out.withColumn(f"__{name}", detect(F.col(cells), F.col("forms")))
-    return out.withColumn("flags", F.concat(*(F.col(f"__{n}") for n in DETECTORS))).drop(*(f"__{n}" for n in DETECTORS))
+def flag(clusters: DataFrame, cells: str = "cells", only: tuple[str, ...] = tuple(DETECTORS)) -> DataFrame:
+    """``clusters`` with forms (Latin spellings) and flags of all detectors, or of some by name; by all cores."""
+    out = spread(clusters).withColumn("forms", C.forms(F.col(cells)))
+    for name in only:
+        out = out.withColumn(f"__{name}", DETECTORS[name](F.col(cells), F.col("forms")))
+    return out.withColumn("flags", F.concat(*(F.col(f"__{n}") for n in only))).drop(*(f"__{n}" for n in only))
+
+
+def each_flag(flagged: DataFrame, *keep: str) -> DataFrame:
+    """A row (detector, evidence) for each flag.
+
+    By the outer explode, as the other one asks for flags beforehand: a filter that runs the detectors before rows are dealt out.
+    """
+    return flagged.select(*keep, F.explode_outer("flags").alias("__f")).where("__f is not null").select(*keep, "__f.detector", "__f.evidence")
 
 
 def by_detector(flagged: DataFrame) -> DataFrame:
     """Flags by the family of their detector."""
-    return flagged.select(F.explode("flags").alias("f")).groupBy(F.substring_index("f.detector", "_", 1).alias("detector")).agg(F.count("*").alias("n"))
+    return each_flag(flagged).groupBy(F.substring_index("detector", "_", 1).alias("detector")).agg(F.count("*").alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import cells as C
 from ..functions import scripts, variants
 from ..schema import SCRIPTS
+from ..sources.lines import spread
 
 
 def company_lines(lines: DataFrame) -> DataFrame:
@@ -16,7 +17,7 @@ def company_lines(lines: DataFrame) -> DataFrame:
     Lines of Latin cells are ``expanded``: the spellings seen, then those of the first one in title case. Lines with
     cells of other scripts are ``passed`` as they are; what is no cluster line is left out. Input order is kept by line_no.
     """
-    parsed = lines.withColumn("c", C.parse_lenient(F.col("line"))).where("c is not null")
+    parsed = spread(lines).withColumn("c", C.parse_lenient(F.col("line"))).where("c is not null")
     seen = F.transform("c", lambda c: c["value"])
     is_latin = F.forall("c", lambda c: c["tag"] == "la")
     routed = parsed.withColumns({"route": F.when(is_latin, "expanded").otherwise("passed"), "seen": seen, "display": F.when(is_latin, variants.title_org(F.element_at(seen, 1)))})

@@ -166,8 +166,9 @@ def respelled(client: Client, lines: DataFrame) -> DataFrame:
 
     Lines that are no cluster, or give no family name, come back as they are, as do those without an answer after two attempts.
     """
-    cells = lines.withColumn("c", C.parse_lenient(F.col("line"))).withColumn("la", C.forms(F.col("c")))
+    cells = spread(lines).withColumn("c", C.parse_lenient(F.col("line"))).withColumn("la", C.forms(F.col("c")))
     sides = cells.withColumn("n", F.when(F.size("la") > 0, sides_of_latin(F.col("la")))).withColumn("key", F.when(F.col("n.family") != "", F.col("line_no").cast("string")))
+    sides = settled(sides, "sides")
     asks = sides.where("key is not null").select("key", display_name(F.col("n.given"), F.col("n.family")).alias("label"))
     alts = attempted(client, asks, "alternatives", toolcalls.alternative_spellings).select("key", F.col("result").alias("alts"))
     latin = variants.with_alternatives(F.col("n.given"), F.col("n.family"), F.col("alts"), F.col("la"))
@@ -175,4 +176,4 @@ def respelled(client: Client, lines: DataFrame) -> DataFrame:
     rebuilt = C.format_line(F.concat(F.transform(latin, cell), C.others(F.col("c"))))
     line = F.when(F.col("key").isNull(), F.col("line")).when(F.size(F.coalesce("alts", F.array().cast("array<string>"))) > 0, rebuilt)
     kept = C.format_line(F.concat(F.transform(F.array_distinct("la"), cell), C.others(F.col("c"))))
-    return sides.join(alts, "key", "left").select("line_no", line.otherwise(kept).alias("line"))
+    return spread(sides.join(alts, "key", "left")).select("line_no", line.otherwise(kept).alias("line"))

@@ -11,7 +11,7 @@ from ..functions import cells as C
 from ..functions import ids, names, scripts, toolcalls, variants
 from ..functions.base import spaced, strip, words
 from ..operators import batching, dataset, detectors, evaluation, expansion, grouping, letters, scoring, stages, tokens
-from ..sources.lines import last_by_key, positions
+from ..sources.lines import last_by_key, positions, spread
 from ..streaming import feed
 from . import inputs as I
 from .inputs import table
@@ -259,13 +259,13 @@ SELECT id, string_agg(x, '|' ORDER BY place) AS variants FROM d GROUP BY id"""
 @query(_VARIANTS)
 def person_variants(spark, d):
     """All Latin spellings of a name (G1)."""
-    return I.people(spark, d).select("id", F.array_join(variants.person_variants(F.col("given"), F.col("family")), "|").alias("variants"))
+    return spread(I.people(spark, d)).select("id", F.array_join(variants.person_variants(F.col("given"), F.col("family")), "|").alias("variants"))
 
 
 @query(f"WITH {I.PEOPLE}, t AS (SELECT id, {_TITLE('a')} AS a, {_TITLE('b')} AS b FROM people) SELECT id, CASE WHEN a = b THEN 8 ELSE 16 END AS n FROM t")
 def person_alternatives(spark, d):
     """Spellings with another romanisation; one that swaps the sides is left out."""
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("w"))
+    p = spread(table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name")).select("id", F.split("p_name", " ").alias("w"))
     alternatives = F.array(F.concat(F.col("w")[1], F.lit(" "), F.col("w")[0]), F.concat(F.lit("zoe "), F.col("w")[1]))
     return p.select("id", F.size(variants.with_alternatives(F.col("w")[0], F.col("w")[1], alternatives)).alias("n"))
 
@@ -289,7 +289,7 @@ b AS (SELECT id, unnest(list_concat(list_transform(s, lambda x: c || ' ' || x),
 u AS (SELECT id, unnest([x, upper(x)]) AS x, unnest([2 * bi, 2 * bi + 1]) AS place FROM b), d AS (SELECT id, x, min(place) AS place FROM u GROUP BY id, x)
 SELECT id, string_agg(x, '|' ORDER BY place) AS variants FROM d GROUP BY id""")
 def company_variants(spark, d):
-    return I.companies(spark, d).select("id", F.array_join(variants.company_variants(F.col("display")), "|").alias("variants"))
+    return spread(I.companies(spark, d)).select("id", F.array_join(variants.company_variants(F.col("display")), "|").alias("variants"))
 
 
 @query(f"""WITH {I.COMPANIES}, t AS (SELECT id, display, {_WORDS('p_name', _TITLE)} AS c, {_FORM} AS s, f FROM companies),
@@ -376,42 +376,42 @@ UNION ALL SELECT line_no, 'D5_duplicate', '''' || a || ' ' || b || ''' in ''' ||
 UNION ALL SELECT line_no, 'D6_title_taint', '''др'' in cy cell' FROM f WHERE o = 1 UNION ALL SELECT line_no, 'D6_latin_leak', 'latin chars in cy{' || a || '}' FROM f WHERE o = 2)"""
 
 
-def _flags(spark, d):
-    return detectors.flag(I.flagged_people(spark, d))
+def _flags(spark, d, only=tuple(detectors.DETECTORS)):
+    return detectors.flag(I.flagged_people(spark, d), only=only)
 
 
-def _one(spark, d, kind):
-    return _flags(spark, d).select("line_no", F.explode("flags").alias("f")).where(F.col("f.detector").startswith(kind)).select("line_no", "f.detector", "f.evidence")
+def _one(spark, d, name):
+    return detectors.each_flag(_flags(spark, d, (name,)), "line_no")
 
 
 @query(_FLAGS + " SELECT * FROM x WHERE detector LIKE 'D1%'")
 def detect_titles(spark, d):
-    return _one(spark, d, "D1")
+    return _one(spark, d, "titles")
 
 
 @query(_FLAGS + " SELECT * FROM x WHERE detector LIKE 'D2%'")
 def detect_generational(spark, d):
-    return _one(spark, d, "D2")
+    return _one(spark, d, "generational")
 
 
 @query(_FLAGS + " SELECT * FROM x WHERE detector LIKE 'D3%'")
 def detect_particles(spark, d):
-    return _one(spark, d, "D3")
+    return _one(spark, d, "particles")
 
 
 @query(_FLAGS + " SELECT * FROM x WHERE detector LIKE 'D4%'")
 def detect_noise(spark, d):
-    return _one(spark, d, "D4")
+    return _one(spark, d, "noise")
 
 
 @query(_FLAGS + " SELECT * FROM x WHERE detector LIKE 'D5%'")
 def detect_structural(spark, d):
-    return _one(spark, d, "D5")
+    return _one(spark, d, "structure")
 
 
 @query(_FLAGS + " SELECT * FROM x WHERE detector LIKE 'D6%'")
 def detect_taint(spark, d):
-    return _one(spark, d, "D6")
+    return _one(spark, d, "taint")
 
 
 @query(_FLAGS + " SELECT substr(detector, 1, 2) AS detector, count(*) AS n FROM x GROUP BY 1")

@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from moniker.plans import queries as plans
@@ -60,3 +61,19 @@ def test_native_paths_have_no_python(spark, capsys):
         entry.queries()[name](spark, str(DATA)).explain()
     plan = capsys.readouterr().out
     assert not any(x in plan for x in ("EvalPython", "ArrowEval", "MapInPandas", "MapInArrow"))
+
+
+@pytest.mark.parametrize("name", ["person_variants", "person_alternatives", "company_variants", "company_lines", "respelled_lines"])
+def test_rows_of_one_file_are_spelled_by_several_tasks(spark, name):
+    out = plans.QUERIES[name](spark, str(DATA))
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+@pytest.mark.parametrize("name", ["detect_titles", "detect_noise", "detect_taint", "flags_by_detector"])
+def test_detectors_run_once_by_several_tasks(spark, name):
+    plan = plans.QUERIES[name](spark, str(DATA))._jdf.queryExecution().optimizedPlan().treeString()
+    lines = plan.split("\n")
+    runs = [k for k, line in enumerate(lines) if "aggregate(" in line or "latin chars in" in line]
+    dealt = [k for k, line in enumerate(lines) if "Repartition" in line]
+    assert runs and dealt and max(runs) < dealt[0]  # above it in the tree, so after it
+    assert not any("Filter" in lines[k] for k in runs)
