@@ -99,12 +99,14 @@ def clusters_round_trip(spark, d):
 _SHARDED = _PLACED + ", s AS (SELECT *, idx // 2048 AS shard, idx % 2048 AS position, printf('cluster-%09d', idx) AS key FROM placed)"
 
 
-def _written_shards(spark, d) -> tuple[str, DataFrame]:
+def _written_shards(spark, d, settle: bool = False) -> tuple[str, DataFrame]:
+    """Folder of the shards and their records, which are written too if more than the shards is made of them."""
     placed = files.positions(I.clusters(spark, d), "line_no", "idx")
     records = dataset.sharded(placed, "idx", 2048).select("shard", "position", "key", F.transform("cells", lambda c: c["tag"]).alias("tags"), F.transform("cells", lambda c: c["value"]).alias("cells"))
+    records = files.settled(records, "records") if settle else records
     path = files.scratch(spark, "shards")
     shards.write_shards(records, path)
-    return path, dataset.manifest(records, 2048)
+    return path, records
 
 
 @query(_SHARDED + " SELECT shard, position, key, line FROM s")
@@ -119,7 +121,8 @@ def shards_round_trip(spark, d):
 @query(_SHARDED + ", m AS (SELECT shard, count(*) AS n FROM s GROUP BY shard) SELECT shard, n, n AS n_read, CAST(sum(n) OVER (ORDER BY shard) - n AS BIGINT) AS \"begin\", CAST(sum(n) OVER (ORDER BY shard) AS BIGINT) AS \"end\" FROM m")
 def shards_verified(spark, d):
     """Members read back from each shard against the manifest, and the shards' offsets (K3, K5)."""
-    path, manifest = _written_shards(spark, d)
+    path, records = _written_shards(spark, d, settle=True)
+    manifest = files.settled(dataset.manifest(records, 2048), "manifest")
     return shards.verified_shards(spark, path, manifest.select("shard", "n")).join(shards.offsets(manifest), "shard")
 
 

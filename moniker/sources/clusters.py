@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import json
 import re
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.base import strip
 from ..schema import RECORD, SCRIPTS
-from .lines import read_raw
+from .lines import read_raw, spread
 
 _SURFACE = "struct<tag:string,text:string>"
 
@@ -60,16 +61,20 @@ def write_shards(records: DataFrame, path: str) -> None:
     """Records (shard, position, key, tags, cells) as tar.gz blobs by shard, ``blob`` files of Parquet, a row a shard."""
 
     def pack(pdf):
-        body = io.BytesIO()
-        with tarfile.open(fileobj=body, mode="w:gz") as tar:
-            for r in pdf.sort_values("position").itertuples():
-                data = json.dumps({"tags": list(r.tags), "cells": list(r.cells)}, ensure_ascii=False).encode()
-                info = tarfile.TarInfo(f"{r.key}.json")
-                info.size = len(data)
-                tar.addfile(info, io.BytesIO(data))
-        return pdf.iloc[:1].assign(blob=[body.getvalue()], n=[len(pdf)])[["shard", "n", "blob"]]
-
-    records.groupBy("shard").applyInPandas(pack, "shard long, n long, blob binary").write.mode("overwrite").parquet(path)
+        parts, size = [], 0
+        for r in pdf.sort_values("position").itertuples():
+            data = r.body.encode()
+            info = tarfile.TarInfo(f"{r.key}.json")
+            info.size = len(data)
+            parts.append(info.tobuf() + data + bytes(-len(data) % tarfile.BLOCKSIZE))
+            size += len(parts[-1])
+        # two empty blocks end an archive, which is filled up to whole records
+        end = 2 * tarfile.BLOCKSIZE
+        blob = gzip.compress(b"".join(parts) + bytes(end + -(size + end) % tarfile.RECORDSIZE))
+        return pdf.iloc[:1].assign(blob=[blob], n=[len(pdf)])[["shard", "n", "blob"]]
+
+    body = F.to_json(F.struct("tags", "cells"), {"ignoreNullFields": "false"}).alias("body")
+    spread(records.select("shard", "position", "key", body), "shard").groupBy("shard").applyInPandas(pack, "shard long, n long, blob binary").write.mode("overwrite").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:

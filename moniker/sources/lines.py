@@ -126,10 +126,10 @@ def settled(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt out evenly over all cores, for rows that take long beside their size.
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt out evenly over all cores (rows of equal ``by`` to one task), for rows that take long beside their size.
 
     Spark cuts files and shuffles into tasks by bytes, so millions of short rows may go to one task.
     """
     spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *by)
