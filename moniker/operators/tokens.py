@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import SCRIPTS
+from ..sources.lines import spread
 
 #: Bytes of a block of a checksum: what a task holds of them at once is a batch of blocks.
 BLOCK = 1 << 13
@@ -130,18 +131,24 @@ def train(texts: DataFrame, column: str, size: int, specials: tuple[str, ...] =
 
 
 def encoded(texts: DataFrame, key: str, column: str, vocabulary: Vocabulary) -> DataFrame:
-    """Columns key, ids. Each distinct chunk is encoded once, and joined back."""
+    """Columns key, ids. Each distinct text is encoded once, each of its chunks once in a batch, and joined back; none: no ids."""
     handle = texts.sparkSession.sparkContext.broadcast(vocabulary)
-    pieces = texts.select(key, F.posexplode_outer(chunks(F.col(column))).alias("at", "chunk"))
+    distinct = spread(texts.select(F.col(column).alias("__text")).where("__text is not null").distinct()).select("__text", chunks(F.col("__text")).alias("__chunks"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(ids=[handle.value.encode_chunk(c) for c in pdf["chunk"]])
-
-    known = pieces.select("chunk").where("chunk is not null").distinct().mapInPandas(run, "chunk string, ids array<int>")
-    joined = pieces.join(known, "chunk", "left")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda s: F.coalesce(s["ids"], F.array().cast("array<int>")))
-    return joined.groupBy(key).agg(F.flatten(ordered).alias("ids"))
+            known: dict[str, list[int]] = {}
+            ids = []
+            for of in pdf["__chunks"]:
+                for c in of:
+                    if c not in known:
+                        known[c] = handle.value.encode_chunk(c)
+                ids.append([i for c in of for i in known[c]])
+            yield pd.DataFrame({"__text": pdf["__text"], "ids": ids})
+
+    known = distinct.mapInPandas(run, "__text string, ids array<int>")
+    none = F.array().cast("array<int>")
+    return texts.select(key, F.col(column).alias("__text")).join(known, "__text", "left").select(key, F.coalesce("ids", none).alias("ids"))
 
 
 def decoded(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> DataFrame:

@@ -1,13 +1,15 @@
 """Cells, validation, detectors, splits, sources."""
 
+import io
 import json
+import tarfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from moniker.functions import cells as C
 from moniker.functions import toolcalls as T
-from moniker.operators import dataset, detectors, grouping
+from moniker.operators import dataset, detectors, grouping, tokens
 from moniker.sources import clusters, lines
 
 
@@ -135,3 +137,24 @@ def test_checkpoint_last_wins(spark, tmp_path):
     schema = ST.StructType([ST.StructField("line_no", ST.LongType()), ST.StructField("outcome", ST.StringType())])
     got = {r["line_no"]: r["outcome"] for r in lines.read_checkpoint(spark, str(tmp_path / "c"), schema).collect()}
     assert got == {1: "z", 2: "y"}
+
+
+def test_shards_are_written_by_several_tasks_and_read_by_any_tar(spark, tmp_path):
+    cells = F.array(F.concat(F.lit('é"\\'), F.col("id").cast("string")), F.lit("张"))
+    records = spark.range(400).select(F.floor(F.col("id") / 20).alias("shard"), F.pmod("id", F.lit(20)).alias("position"), F.format_string("c-%09d", "id").alias("key"), F.array(F.lit("la"), F.lit("cn")).alias("tags"), cells.alias("cells"))
+    clusters.write_shards(records.coalesce(1), str(tmp_path / "s"))
+    written = spark.read.parquet(str(tmp_path / "s"))
+    assert len(written.inputFiles()) > 1
+    with tarfile.open(fileobj=io.BytesIO(written.where("shard = 3").first()["blob"]), mode="r:gz") as tar:
+        got = [(m.name, json.loads(tar.extractfile(m).read())) for m in tar]
+    assert got == [(f"c-{k:09d}.json", {"tags": ["la", "cn"], "cells": [f'é"\\{k}', "张"]}) for k in range(60, 80)]
+
+
+def test_each_distinct_text_is_encoded_once(spark):
+    vocabulary = tokens.Vocabulary([("a", "b")])
+    rows = spark.createDataFrame([("1", "ab ab"), ("2", "ab ab"), ("3", ""), ("4", None)], "key string, value string")
+    out = tokens.encoded(rows, "key", "value", vocabulary)
+    got = {r["key"]: r["ids"] for r in out.collect()}
+    one = [i for c in ("ab", " ab") for i in vocabulary.encode_chunk(c)]
+    assert got == {"1": one, "2": one, "3": [], "4": []}
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().treeString()
